@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from bookflow.functions.arrays import let
 from bookflow.settings import MAX_TAG, MAX_TAGS
 
 # ---- Fixed values --------------------------------------------------------------------------
@@ -174,8 +175,9 @@ def norm_tags(tags) -> Column:
         strip(F.regexp_replace(strip(t), "^#+", "")), 1, MAX_TAG))
     kept = F.filter(cleaned, lambda t: t.isNotNull() & (t != ""))
     # Position of the first tag with the same lower-case form decides which spelling stays.
-    lowered = F.transform(kept, F.lower)
-    first = F.filter(kept, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
+    both = F.struct(kept.alias("tag"), F.transform(kept, F.lower).alias("low"))
+    first = let(both, lambda v: F.filter(
+        v["tag"], lambda t, i: F.array_position(v["low"], F.lower(t)) == i + 1))
     return F.slice(first, 1, MAX_TAGS)
 
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookflow.functions.text import (LINE_BREAK, _c, dehyphenate, fix_letter_spacing, is_decorative,
                                      is_page_number, match_key, normalize_unicode, squeeze_blanks, strip)
@@ -100,7 +101,7 @@ def _pattern(p: str):
     return _compiled[p]
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def match_any(lines: pd.Series, patterns: pd.Series) -> pd.Series:
     """Per line: does any of the row's own patterns match?  Null patterns give null.
 
@@ -172,7 +173,7 @@ def clean_pages_profile(pages: DataFrame, profiles: DataFrame,
 
 def valid_rules(rules: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Keep the rules whose pattern compiles."""
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def ok(s: pd.Series) -> pd.Series:
         return s.map(lambda p: p is not None and _pattern(p) is not None)
     return rules.filter(ok(F.col(pattern)))

@@ -272,7 +272,7 @@ def reanchor(notes: DataFrame, tl: DataFrame) -> DataFrame:
     sents = scan.prefix_sum(tl.select("book", "ch", "i", "t"), ["book", "ch"], ["i"],
                             F.floor(F.col("i") / BLOCK), _ro=(F.length("t") + 1).cast("long"))
     todo = sents.join(lost.select("book", "ch").distinct(), ["book", "ch"], "left_semi")
-    hits = substring_join(_chapter_blocks(todo), lost, "text", "_q", ["book", "ch"])
+    hits = substring_join(_chapter_blocks(todo), lost, "text", "_q", ["blk"], ["book", "ch"])
     own_from, own_to = F.col("blk") * SPAN - F.col("at"), (F.col("blk") + 1) * SPAN - F.col("at")
     last = F.least(own_to, F.length("text") - F.length("_q") + 1)
     # Hits that start in the block itself; hits in the overlap belong to the neighbour.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from bookflow.functions.arrays import let
 from bookflow.functions.text import _c, match_key, normalize_unicode, strip, title_matches, word_count
 from bookflow.operators import scan
 from bookflow.operators.clean import match_any
@@ -70,7 +71,7 @@ def first_page_with(titles: DataFrame, pages: DataFrame) -> DataFrame:
     want = titles.withColumn("_want", F.substring(match_key("title"), 1, 40))
     keys = pages.select("book", F.col("page").alias("_p"), match_key("text").alias("_text"))
     need = want.select("book", "_want").distinct()
-    hit = substring_join(keys, need, "_text", "_want", ["book"]).groupBy("book", "_want").agg(
+    hit = substring_join(keys, need, "_text", "_want", ["_p"], ["book"]).groupBy("book", "_want").agg(
         F.min("_p").alias("_first"))
     return want.join(hit, ["book", "_want"], "left").withColumn(
         "page", F.coalesce("_first", F.lit(0)).cast("long")).drop("_want", "_first")
@@ -81,7 +82,7 @@ def page_find(pages: DataFrame, queries: DataFrame) -> DataFrame:
     from bookflow.functions.text import squash
     q = queries.withColumn("needle", match_key("q")).filter("needle <> ''")
     keys = pages.select("book", "page", match_key("raw").alias("_text"))
-    hits = substring_join(keys, q, "_text", "needle").select("q", "book", "page")
+    hits = substring_join(keys, q, "_text", "needle", ["book", "page"]).select("q", "book", "page")
     top = (hits.withColumn("rank", F.row_number().over(W.partitionBy("q", "book").orderBy("page")))
            .filter("rank <= 5"))
     shown = top.join(pages, ["book", "page"]).select(
@@ -308,46 +309,61 @@ def section_bounds(sectioned: DataFrame, lengths: DataFrame) -> DataFrame:
 # ---- heading labels at the start of a chapter --------------------------------------------------
 
 _PARA = r"(?U)^\s*([^\n]+?)\s*(?:\n\n|\n|$)"
+_CAPS = (r"^((?:(?:[^A-Za-z \n]+ )*(?=[^ \n]*[A-Z][^ \na-zA-Z]*[A-Z])[^ \n\p{Ll}]+ ){2,})(?=[a-z]\s)")
+
+
+def _skip(text: Column, at: Column, pattern: str) -> Column:
+    """Length of what the pattern matches at a position."""
+    return F.length(F.regexp_extract(F.substring(text, at + 1, F.length(text)), pattern, 0))
 
 
 def heading_cut(text, title, patterns) -> Column:
-    """Number of leading characters of a chapter that are heading labels, not prose."""
-    t, ttl = _c(text), F.coalesce(_c(title), F.lit(""))
-    key = match_key(ttl, nfkc=False)
-    rest = lambda cut: F.substring(t, cut + 1, F.length(t))
-    usable = (F.size(patterns) > 0) | (key != "")
-
-    # Up to three short paragraphs that match a label pattern or repeat the title.
-    cut, going = F.lit(0), usable
-    for _ in range(3):
-        r = rest(cut)
-        para = strip(F.regexp_extract(r, _PARA, 1))
-        whole = F.length(F.regexp_extract(r, _PARA, 0))
-        pkey = match_key(para, nfkc=False)
-        label = F.exists(patterns, lambda p: F.regexp_like(para, p)) | (
-            (key != "") & ((pkey == key) | ((F.length(key) >= 4) & F.contains(key, pkey))))
-        going = going & (para != "") & (F.length(para) <= 90) & label
-        cut = F.when(going, cut + whole).otherwise(cut)
-
-    # The title still glued to the first sentence.
-    plain = normalize_unicode(strip(ttl), nfkc=False)
-    lead = F.length(F.regexp_extract(rest(cut), r"(?U)^\s*", 0))
-    body = rest(cut + lead)
-    glued = (F.length(plain) >= 4) & (F.lower(F.substring(body, F.lit(1), F.length(plain))) == F.lower(plain)) & (
-        F.substring(body, F.length(plain) + 1, F.lit(1)).rlike(r"[ \n\t.,:;\-]"))
-    after = cut + lead + F.length(plain)
-    cut = F.when(usable & glued, after + F.length(F.regexp_extract(rest(after), r"^[ \n\t.,:;\-]*", 0))
-                 ).otherwise(cut)
-
-    # A run of capitals in front of a lone drop-cap letter ("CONNECTORS , AND SALESMEN n the").
-    lead = F.length(F.regexp_extract(rest(cut), r"(?U)^\s*", 0))
-    caps = F.regexp_extract(
-        rest(cut + lead),
-        r"^((?:(?:[^A-Za-z \n]+ )*(?=[^ \n]*[A-Z][^ \na-zA-Z]*[A-Z])[^ \n\p{Ll}]+ ){2,})(?=[a-z]\s)", 1)
-    after = cut + lead + F.length(caps)
-    return F.when((key != "") & (caps != ""),
-                  after + F.length(F.regexp_extract(rest(after), r"^[ \n\t]*", 0))
-                  ).otherwise(cut).cast("int")
+    """Number of leading characters of a chapter that are heading labels, not prose.
+
+    Three steps, each bound to a variable: up to three short paragraphs that match a label
+    pattern or repeat the title; the title glued to the first sentence; a run of capitals
+    before a lone drop-cap letter ("CONNECTORS , AND SALESMEN n the").
+    """
+    t = _c(text)
+    key = match_key(F.coalesce(_c(title), F.lit("")), nfkc=False)
+    plain = normalize_unicode(strip(F.coalesce(_c(title), F.lit(""))), nfkc=False)
+
+    def label(st, v):
+        rest = F.substring(v["t"], st["cut"] + 1, F.length(v["t"]))
+
+        def judge(para):
+            pkey = match_key(para, nfkc=False)
+            hit = F.exists(v["pats"], lambda p: F.regexp_like(para, p)) | let(pkey, lambda k: (
+                v["key"] != "") & ((k == v["key"]) | ((F.length(v["key"]) >= 4) & F.contains(v["key"], k))))
+            return (para != "") & (F.length(para) <= 90) & hit
+
+        ok = st["on"] & let(strip(F.regexp_extract(rest, _PARA, 1)), judge)
+        return let(F.struct(ok.alias("ok"), F.length(F.regexp_extract(rest, _PARA, 0)).alias("n")),
+                   lambda x: F.struct((st["cut"] + F.when(x["ok"], x["n"]).otherwise(0)).alias("cut"),
+                                      x["ok"].alias("on")))
+
+    def glued(cut, v):
+        at = cut + _skip(v["t"], cut, r"(?U)^\s*")
+        return let(at, lambda a: let(a + F.length(v["plain"]), lambda end: F.when(
+            (F.length(v["plain"]) >= 4)
+            & (F.lower(F.substring(v["t"], a + 1, F.length(v["plain"]))) == F.lower(v["plain"]))
+            & F.substring(v["t"], end + 1, F.lit(1)).rlike(r"[ \n\t.,:;\-]"),
+            end + _skip(v["t"], end, r"^[ \n\t.,:;\-]*")).otherwise(cut)))
+
+    def capitals(cut, v):
+        at = cut + _skip(v["t"], cut, r"(?U)^\s*")
+        return let(at, lambda a: let(F.regexp_extract(F.substring(v["t"], a + 1, F.length(v["t"])), _CAPS, 1),
+                   lambda caps: F.when((v["key"] != "") & (caps != ""), a + F.length(caps) + _skip(
+                       v["t"], a + F.length(caps), r"^[ \n\t]*")).otherwise(cut)))
+
+    def run(v):
+        start = F.struct(F.lit(0).alias("cut"), F.lit(True).alias("on"))
+        usable = (F.size(v["pats"]) > 0) | (v["key"] != "")
+        cut = let(start, lambda a: let(label(a, v), lambda b: let(label(b, v), lambda c: let(
+            label(c, v), lambda d: let(d["cut"], lambda e: let(glued(e, v), lambda f: capitals(f, v)))))))
+        return F.when(usable, cut).otherwise(0).cast("int")
+
+    return let(F.struct(t.alias("t"), key.alias("key"), plain.alias("plain"), patterns.alias("pats")), run)
 
 
 # ---- page sample -----------------------------------------------------------------------------

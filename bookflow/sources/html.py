@@ -7,6 +7,7 @@ import html as _html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookflow.functions.text import _c, normalize_unicode, strip
 
@@ -15,14 +16,16 @@ BLOCK_TAGS = ("p", "div", "section", "article", "blockquote", "li", "ul", "ol",
               "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "figure", "figcaption", "pre",
               "header", "footer")
 SKIP_TAGS = ("script", "style", "head", "title", "nav")
-BASIC_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'",
-                  "&nbsp;": " ", "&amp;": "&"}            # the ampersand last
+# Common entities, decoded without leaving the JVM; the ampersand comes last.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": " ", "copy": "©",
+            "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’",
+            "ldquo": "“", "rdquo": "”", "amp": "&"}
 # ------------------------------------------------------------------------------------------------
 
-_OTHER_ENTITY = r"&(?!(?:lt|gt|quot|apos|#39|nbsp|amp);)[A-Za-z#]"
+_OTHER_ENTITY = rf"&(?!(?:{'|'.join(ENTITIES)});)[A-Za-z#]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(_html.unescape, na_action="ignore")
 
@@ -42,8 +45,8 @@ def html_to_text(col, keep_comments: bool = False) -> Column:
     c = F.regexp_replace(c, rf"(?i)</(?:{'|'.join(BLOCK_TAGS)})\s*>|<(?:br|hr)\b[^>]*>", "\n")
     c = F.regexp_replace(c, r"<[/!?A-Za-z][^>]*>", "")
     plain = c
-    for ent, ch in BASIC_ENTITIES.items():
-        plain = F.replace(plain, F.lit(ent), F.lit(ch))
+    for name, ch in ENTITIES.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(ch))
     other = F.when(c.rlike(_OTHER_ENTITY), c)
     text = normalize_unicode(F.coalesce(_unescape(other), plain))
     lines = F.transform(F.split(text, "\n"), lambda s: strip(F.regexp_replace(s, "[ \t ]+", " ")))
