@@ -115,7 +115,7 @@ def _newest(df: DataFrame, stamp: Column) -> DataFrame:
 
 def _sided(df: DataFrame, side: int) -> DataFrame:
     seq = F.col("seq") if "seq" in df.columns else F.lit(0)
-    return df.drop("seq").withColumns({"_side": F.lit(side), "_seq": seq.cast("long")})
+    return df.withColumns({"_side": F.lit(side), "_seq": seq.cast("long")}).drop("seq")
 
 
 def merge_lww(local: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
@@ -276,7 +276,7 @@ def reanchor(notes: DataFrame, tl: DataFrame) -> DataFrame:
     own_from, own_to = F.col("blk") * SPAN - F.col("at"), (F.col("blk") + 1) * SPAN - F.col("at")
     last = F.least(own_to, F.length("text") - F.length("_q") + 1)
     # Hits that start in the block itself; hits in the overlap belong to the neighbour.
-    spots = F.when(last > own_from, F.filter(
+    spots = F.when(last > F.greatest(F.lit(0), own_from), F.filter(
         F.sequence(F.greatest(F.lit(0), own_from).cast("int"), (last - 1).cast("int")),
         lambda p: F.substring(F.col("text"), p + 1, F.length("_q")) == F.col("_q")))
     hits = hits.withColumn("p", F.explode(spots))

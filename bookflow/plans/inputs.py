@@ -55,7 +55,7 @@ def progress(spark, sf) -> DataFrame:
         (F.col("user_id") % 3).cast("string").alias("device"), (F.col("event_id") % 7).cast("int").alias("ci"),
         F.col("value").alias("t"), (F.col("event_id") % 50).cast("int").alias("si"),
         F.round(F.least(F.lit(1.0), F.col("value") / 100), 3).alias("frac"),
-        F.unix_millis("ts").alias("updated"), F.col("event_id").alias("seq"))
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("updated"), F.col("event_id").alias("seq"))
 
 
 # ---- the same views for the SQL side -----------------------------------------------------------
@@ -161,4 +161,4 @@ def sql_timeline(src: str = "sen") -> str:
 
 PROGRESS = """pr AS (SELECT CAST(user_id AS VARCHAR) AS "user", event_type AS book, CAST(user_id % 3 AS VARCHAR) AS device,
   CAST(event_id % 7 AS INTEGER) AS ci, value AS t, CAST(event_id % 50 AS INTEGER) AS si,
-  round(least(1.0::DOUBLE, value / 100), 3) AS frac, epoch_ms(ts) AS updated, event_id AS seq FROM events)"""
+  round(least(1.0::DOUBLE, value / 100), 3) AS frac, epoch_us(ts) // 1000 AS updated, event_id AS seq FROM events)"""
