@@ -209,6 +209,17 @@ def snippet(text, query, before: int = 30, after: int = 50, pos=None) -> Column:
                     F.when(b < F.length(t), "…").otherwise(""))
 
 
+def occurrences(text, needle) -> Column:
+    """0-based positions of all occurrences, overlapping ones included; the needle is not empty."""
+    t, q = _c(text), _c(needle)
+    quoted = F.concat(F.lit("(?s)(?=\\Q"), F.replace(q, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    n = F.regexp_count(t, quoted)
+    none = F.array().cast("array<int>")
+    found = F.aggregate(F.sequence(F.lit(1), n), none, lambda a, _: F.concat(a, F.array(
+        F.position(q, t, F.coalesce(F.try_element_at(a, F.lit(-1)) + 2, F.lit(1))) - 1)))
+    return F.when(n > 0, found).otherwise(none)
+
+
 # ---- pronunciation --------------------------------------------------------------------------
 
 def _java_valid(pattern: str) -> bool:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from bookflow.functions.text import norm_tags, slug_tag, squash, strip
+from bookflow.functions.text import norm_tags, occurrences, slug_tag, squash, strip
 from bookflow.functions.times import as_float, as_int
 from bookflow.operators import scan
 from bookflow.operators.lookup import asof_scan, substring_join
-from bookflow.settings import (BLOCK, COLORS, KINDS, MAX_CONTEXT, MAX_EXACT, MAX_NOTE, NOTE_FIELDS)
+from bookflow.settings import (BLOCK, COLORS, KINDS, MAX_CONTEXT, MAX_EXACT, MAX_NOTE, NOTE_FIELDS,
+                               stage)
 
 READING_ORDER = ["ch", "si", "cs", "created"]
 PLAYER_ORDER = ["ch", "si", "s"]
@@ -265,20 +266,18 @@ def reanchor(notes: DataFrame, tl: DataFrame) -> DataFrame:
             .groupBy("book", "id", "_q").agg(F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), " ").alias("_now"))
             .filter("_now = _q").select("book", "id", F.lit(True).alias("_same")))
-    n = n.join(same, ["book", "id"], "left")
+    n = stage(n.join(same, ["book", "id"], "left"), "note_ranges")
     kept = F.coalesce("_same", F.lit(False)) | ((F.col("_q") == "") & F.col("_in"))
     lost = n.filter(~kept & (F.col("_q") != "")).select("book", "ch", "id", "_q", "prefix", "suffix")
 
     sents = scan.prefix_sum(tl.select("book", "ch", "i", "t"), ["book", "ch"], ["i"],
                             F.floor(F.col("i") / BLOCK), _ro=(F.length("t") + 1).cast("long"))
+    sents = stage(sents, "sentence_offsets")
     todo = sents.join(lost.select("book", "ch").distinct(), ["book", "ch"], "left_semi")
-    hits = substring_join(_chapter_blocks(todo), lost, "text", "_q", ["blk"], ["book", "ch"])
+    hits = substring_join(stage(_chapter_blocks(todo), "chapter_blocks"), lost, "text", "_q", ["blk"], ["book", "ch"])
     own_from, own_to = F.col("blk") * SPAN - F.col("at"), (F.col("blk") + 1) * SPAN - F.col("at")
-    last = F.least(own_to, F.length("text") - F.length("_q") + 1)
     # Hits that start in the block itself; hits in the overlap belong to the neighbour.
-    spots = F.when(last > F.greatest(F.lit(0), own_from), F.filter(
-        F.sequence(F.greatest(F.lit(0), own_from).cast("int"), (last - 1).cast("int")),
-        lambda p: F.substring(F.col("text"), p + 1, F.length("_q")) == F.col("_q")))
+    spots = F.filter(occurrences("text", "_q"), lambda p: (p >= own_from) & (p < own_to))
     hits = hits.withColumn("p", F.explode(spots))
     pre, suf = squash("prefix"), squash("suffix")
     left = F.greatest(F.lit(0), F.col("p") - F.length(pre) - 4)
@@ -290,6 +289,7 @@ def reanchor(notes: DataFrame, tl: DataFrame) -> DataFrame:
         F.min(F.struct((~fits).alias("bad"), (F.col("at") + F.col("p")).alias("pos"))).alias("h"))
     best = best.select("book", "ch", "id", F.col("h.pos").alias("_a"),
                        (F.col("h.pos") + F.col("_len") - 1).alias("_b"))
+    best = stage(best, "note_hits")
     starts = sents.select("book", "ch", "_ro", F.col("i").cast("int").alias("_i"))
     a = asof_scan(best, starts, ["book", "ch"], "_a", "_ro", ["_i"], 1 << 16).withColumnRenamed("_i", "_fi")
     b = asof_scan(a, starts, ["book", "ch"], "_b", "_ro", ["_i"], 1 << 16).withColumnRenamed("_i", "_fj")
