@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from bookflow.settings import stage
+
 BLK = "_blk"
 
 
@@ -176,8 +178,12 @@ def finite_state(df: DataFrame, by: Sequence[str], order: Sequence[str], block:
         x = pdf.sort_values(ordr, kind="stable")[ins].to_numpy()
         return pd.DataFrame({**head(pdf, [*by, "_sup", BLK]), "_tab": [_run_table(step, x, states)]})
 
-    slim = src.select(*by, "_sup", BLK, *dict.fromkeys([*ordr, *ins]))
-    tables = slim.groupBy(*by, "_sup", BLK).applyInPandas(block_table, fields(sup_f, blk_f, tab_f))
+    # A fixed number of partitions: few bytes but much work per row, so sizes must not decide.
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = src.select(*by, "_sup", BLK, *dict.fromkeys([*ordr, *ins])).repartition(n_parts, *by, BLK)
+    # Needed on the way up and on the way down: written once, one short table per block.
+    tables = stage(slim.groupBy(*by, "_sup", BLK).applyInPandas(block_table, fields(sup_f, blk_f, tab_f)),
+                   "fold_tables")
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.arange(states, dtype=np.int32)
@@ -209,7 +215,7 @@ def finite_state(df: DataFrame, by: Sequence[str], order: Sequence[str], block:
             cur = step(cur, x)
         return pdf.drop(columns=["_entry"]).assign(**{name: np.asarray(out, dtype=np.int32)})
 
-    joined = src.join(blk_entry.drop("_sup"), [*by, BLK])
+    joined = src.join(blk_entry.drop("_sup"), [*by, BLK]).repartition(n_parts, *by, BLK)
     out_schema = T.StructType([f for f in joined.drop("_entry").schema]
                               + [T.StructField(name, T.IntegerType())])
     return joined.groupBy(*by, BLK).applyInPandas(states_of_rows, out_schema).drop(BLK, "_sup")

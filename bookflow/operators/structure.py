@@ -14,7 +14,7 @@ from bookflow.functions.text import _c, match_key, normalize_unicode, strip, tit
 from bookflow.operators import scan
 from bookflow.operators.clean import match_any
 from bookflow.operators.lookup import asof_scan, substring_join
-from bookflow.settings import (BLOCK, FRONT_MATTER_CHARS, SAMPLE_BUDGET, SECTION_WORDS)
+from bookflow.settings import BLOCK, FRONT_MATTER_CHARS, SAMPLE_BUDGET, SECTION_WORDS, stage
 
 OFFSET_CELL = 1 << 20          # characters per block of an offset scan
 
@@ -272,14 +272,14 @@ def fixed_sections(sentences: DataFrame, words: int = SECTION_WORDS) -> DataFram
     ``sentences(book, page, k, w)``; adds the 0-based ``section`` of each sentence.  The word
     counter restarts at zero after each close, so this is a fold, run block-wise.
     """
-    blk = F.floor(F.col("page") / 64)
+    blk = F.floor(F.col("page") / 512)
 
     def step(s: np.ndarray, row: np.ndarray) -> np.ndarray:
         t = s + row[0]
         return np.where(t >= words, 0, t)
 
     d = scan.finite_state(sentences, ["book"], ["page", "k"], blk, ["w"], words, step, name="_s")
-    d = d.withColumn("closes", F.col("_s") + F.col("w") >= words)
+    d = stage(d.withColumn("closes", F.col("_s") + F.col("w") >= words), "section_ends")
     return scan.prefix_sum(d, ["book"], ["page", "k"], blk,
                            section=F.col("closes").cast("long")).drop("_s")
 

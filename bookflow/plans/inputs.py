@@ -9,14 +9,23 @@ from bookflow.operators import clean, segment, structure
 from bookflow.settings import configure, stage
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
+
+def table(spark: SparkSession, sf: str, name: str, spread: bool = True) -> DataFrame:
+    """A supplied table.  Text that comes in fewer files than there are cores is spread first:
+    the work per row is heavy and one file is one task here.  Large tables are read as they lie."""
     configure(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and name in TEXT_KEYS and len(df.inputFiles()) < cores:
+        return df.repartition(cores, *TEXT_KEYS[name])
+    return df
 
 
 def raw_pages(spark, sf) -> DataFrame:
     """documents as pages: book = source, page = position by doc_id."""
-    return clean.number_pages(table(spark, sf, "documents"), "source", "doc_id", "text")
+    return clean.number_pages(table(spark, sf, "documents", spread=False), "source", "doc_id", "text")
 
 
 def clean_corpus(spark, sf) -> DataFrame:

@@ -39,8 +39,7 @@ def html_to_text(col, keep_comments: bool = False) -> Column:
     body = F.regexp_extract(_c(col), r"(?is)<body\b[^>]*>(.*)", 1)
     c = F.when(body != "", body).otherwise(_c(col))
     c = F.regexp_replace(c, r"(?s)<!--(.*?)-->", "$1" if keep_comments else "")
-    for tag in SKIP_TAGS:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    c = F.regexp_replace(c, rf"(?is)<({'|'.join(SKIP_TAGS)})\b[^>]*>.*?</\1\s*>", "")
     c = F.replace(c, F.lit("\r"), F.lit(""))
     c = F.regexp_replace(c, rf"(?i)</(?:{'|'.join(BLOCK_TAGS)})\s*>|<(?:br|hr)\b[^>]*>", "\n")
     c = F.regexp_replace(c, r"<[/!?A-Za-z][^>]*>", "")

@@ -36,10 +36,11 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_manifests(df: DataFrame, doc: str, name: str) -> DataFrame:
     """Manifests held as JSON strings in a table (``name`` stands for the folder)."""
-    j = F.from_json(doc, T.StructType.fromDDL(MANIFEST), {"mode": "PERMISSIVE"})
-    d = df.select(F.col(name).cast("string").alias("dir"), j.alias("m"),
-                  F.try_parse_json(doc).isNotNull().alias("_ok"))
-    return with_defaults(d.filter("_ok AND m IS NOT NULL").select("dir", "m.*"))
+    j = F.from_json(doc, manifest_schema(), {"mode": "PERMISSIVE",
+                                             "columnNameOfCorruptRecord": "_corrupt_record"})
+    d = df.select(F.col(name).cast("string").alias("dir"), j.alias("m"))
+    return with_defaults(d.filter("m IS NOT NULL AND m._corrupt_record IS NULL").select(
+        "dir", "m.*").drop("_corrupt_record"))
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
