@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.functions.arrays import let, prefix_lengths
-from bookflow.functions.text import WS_CHARS, _c, strip
+from bookflow.functions.text import WS_CHARS, _c
 from bookflow.operators import scan
 from bookflow.settings import CHUNK_CHARS
 
@@ -31,14 +31,16 @@ def paragraph_spans(text) -> Column:
 
 
 def _sentences_of(par: Column) -> Column:
+    # Gap of stray end marks, then leading blanks, then the sentence itself.  The costly forms
+    # (regular expression, trimming a character set from the right) run only where needed.
     def one(x, pos):
-        # gap of stray end marks, then leading blanks, then the sentence itself
-        return let(F.struct(_lead(x, "^[.!?]*").alias("gap"), x.alias("x")), lambda v: let(
-            F.substring(v["x"], v["gap"] + 1, F.length(v["x"])), lambda m: let(
-                F.struct((par["cs"] + pos + v["gap"] + F.length(m) - F.length(F.ltrim(m, F.lit(WS_CHARS)))).alias("cs"),
-                         strip(m).alias("t")),
-                lambda s: F.struct(s["cs"].alias("cs"), (s["cs"] + F.length(s["t"])).alias("ce"),
-                                   s["t"].alias("t")))))
+        gap = F.when(F.substring(x, 1, 1).isin(".", "!", "?"), _lead(x, "^[.!?]*")).otherwise(0)
+        cut = lambda g: F.struct(g.alias("gap"), F.ltrim(F.substring(x, g + 1, F.length(x)), F.lit(WS_CHARS)).alias("m"))
+        return let(let(gap, cut), lambda v: let(
+            F.struct((par["cs"] + pos + F.length(x) - F.length(v["m"])).alias("cs"), F.when(
+                F.contains(F.lit(WS_CHARS), F.substring(v["m"], -1, 1)), F.rtrim(v["m"], F.lit(WS_CHARS))
+            ).otherwise(v["m"]).alias("t")),
+            lambda s: F.struct(s["cs"].alias("cs"), (s["cs"] + F.length(s["t"])).alias("ce"), s["t"].alias("t"))))
 
     def spans(pieces):
         return F.filter(F.zip_with(pieces, prefix_lengths(pieces), one), lambda s: s["t"] != "")

@@ -66,7 +66,7 @@ def manifests(spark, sf):
         F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), lambda i: F.struct(
             i.alias("i"), F.concat(F.lit("s"), i.cast("string")).alias("t"), (i * 2.0).alias("s"))).alias("sentences"))
         .alias("c")))), lambda x: x["c"]).alias("chapters"))
-    b = books(spark, sf).join(per, "book", "left")
+    b = I.spread(books(spark, sf), "book").join(per, "book", "left")
     k = F.col("cust")
     doc = F.to_json(F.struct(
         F.when(k % 2 == 0, F.col("book")).alias("id"), F.when(k % 3 > 0, F.col("title")).alias("title"),

@@ -12,20 +12,23 @@ from bookflow.settings import configure, stage
 TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 
 
-def table(spark: SparkSession, sf: str, name: str, spread: bool = True) -> DataFrame:
-    """A supplied table.  Text that comes in fewer files than there are cores is spread first:
-    the work per row is heavy and one file is one task here.  Large tables are read as they lie."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core work where the input has fewer files than there are cores (one small file
+    is one task).  Large inputs are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
+def table(spark: SparkSession, sf: str, name: str, even: bool = True) -> DataFrame:
+    """A supplied table; text tables are spread, as their rows are costly."""
     configure(spark)
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and name in TEXT_KEYS and len(df.inputFiles()) < cores:
-        return df.repartition(cores, *TEXT_KEYS[name])
-    return df
+    return spread(df, *TEXT_KEYS[name]) if even and name in TEXT_KEYS else df
 
 
 def raw_pages(spark, sf) -> DataFrame:
     """documents as pages: book = source, page = position by doc_id."""
-    return clean.number_pages(table(spark, sf, "documents", spread=False), "source", "doc_id", "text")
+    return clean.number_pages(table(spark, sf, "documents", even=False), "source", "doc_id", "text")
 
 
 def clean_corpus(spark, sf) -> DataFrame:

@@ -398,3 +398,29 @@ def heading_cut(spark, sf):
   SELECT book, page, priority, view FROM f WHERE keep""")
 def sample_pages(spark, sf):
     return structure.sample_pages(I.raw_pages(spark, sf), headings(spark, sf), budget=15000)
+
+
+# ---- profiles and rules ----------------------------------------------------------------------
+
+@query("""SELECT p_partkey::VARCHAR AS book, p_partkey % 4 <> 3 AS usable, CASE WHEN p_partkey % 4 IN (1, 3) THEN 'trust' ELSE 'derive' END AS toc,
+  CASE WHEN p_partkey % 4 <> 3 THEN p_name END AS sub, CASE WHEN p_partkey % 4 <> 3 THEN p_size END AS zone FROM part""")
+def profile_replies(spark, sf):
+    """Profiles from replies with fences, prose or nothing usable, written out and read again."""
+    from bookflow.sources.profiles import parse_profiles, profile_json
+    m = F.col("p_partkey") % 4
+    body = F.concat(F.lit('{"cleaning": {"drop_substrings": ["'), "p_name", F.lit('"], "header_zone_max_y": '),
+                    F.col("p_size").cast("string"), F.lit('}, "structure": {'), F.when(m == 1, "").otherwise('"toc": "derive"'), F.lit("}}"))
+    reply = (F.when(m == 0, body).when(m == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nDone.")))
+              .when(m == 2, F.concat(F.lit("Result "), body, F.lit(" (end)"))).otherwise("no idea {"))
+    p = parse_profiles(I.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("book"), reply.alias("r")), "book", "r")
+    again = parse_profiles(profile_json(p), "book", "doc").drop("usable").join(p.select("book", "usable"), "book")
+    return again.select("book", "usable", F.col("structure.toc").alias("toc"),
+                        F.get("cleaning.drop_substrings", F.lit(0)).alias("sub"), F.col("cleaning.header_zone_max_y").alias("zone"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 <> 0")
+def valid_rules(spark, sf):
+    """Every third pattern has an open bracket and is dropped."""
+    p = I.table(spark, sf, "part")
+    rx = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, "([").otherwise(".*"))
+    return clean.valid_rules(p.withColumn("pattern", rx)).select("p_partkey", "p_name")
