@@ -325,16 +325,17 @@ def feed_items(spark, sf):
     return export.feed_items(b, chapters(spark, sf), files(spark, sf), "http://host/", "nobody")
 
 
-@query(f"""WITH {BASE} SELECT book, (SELECT count(*) FROM o WHERE o.book = bk.book AND coalesce(o.status, 'ready') = 'ready' AND audio IS NOT NULL) AS n_items,
-  1::BIGINT AS n_heads FROM bk""")
+@query(f"""WITH {BASE}, e AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY ch) // 1024 AS part FROM o
+    WHERE coalesce(status, 'ready') = 'ready' AND audio IS NOT NULL)
+  SELECT book, -1::BIGINT AS ch, 0 AS kind, 0::BIGINT AS part, 0 AS n_items, 1 AS n_heads FROM bk UNION ALL SELECT book, 1, 2, 0, 0, 0 FROM bk
+  UNION ALL SELECT book, 0, 1, part, count(*), 0 FROM e GROUP BY book, part""".replace("0 AS n_items, 1 AS n_heads", "0::INTEGER AS n_items, 1::INTEGER AS n_heads").replace("count(*), 0", "count(*)::INTEGER, 0"))
 def feed_xml(spark, sf):
-    """Items and heads counted in the finished documents."""
-    from bookflow.plans.timeline_queries import glue
+    """Feed documents in parts: items and descriptions counted in each."""
     b = books(spark, sf).withColumn("author", F.lit("A & B"))
     items = export.feed_items(b, chapters(spark, sf), files(spark, sf), "http://host/", "nobody")
-    doc = glue(export.feed_xml(b, items, "http://host/", F.concat("title", F.lit(" by "), "author")), "\n")
-    return doc.select("book", F.regexp_count("text", F.lit("<item>\n")).cast("long").alias("n_items"),
-                      F.regexp_count("text", F.lit("<description>[^<]* by A &amp; B</description>")).cast("long").alias("n_heads"))
+    doc = export.feed_xml(b, items, "http://host/", F.concat("title", F.lit(" by "), "author"))
+    return doc.select("book", "ch", "kind", "part", F.regexp_count("text", F.lit("<item>\n")).alias("n_items"),
+                      F.regexp_count("text", F.lit("<description>[^<]* by A &amp; B</description>")).alias("n_heads"))
 
 
 PACK = f"""{BASE}, {FILES}, wt AS (SELECT book, audio AS name FROM o WHERE coalesce(status, 'ready') = 'ready' AND audio IS NOT NULL),

@@ -8,9 +8,9 @@ from bookflow.functions import text as T
 from bookflow.operators import export, notes as N
 from bookflow.operators.lookup import asof_grid  # noqa: F401
 from bookflow.plans import inputs as I
-from bookflow.plans.timeline_queries import TURN_TL, glue, turn_timeline
+from bookflow.plans.timeline_queries import TURN_TL, turn_timeline
 from bookflow.plans.text_queries import _clock
-from bookflow.settings import NOTE_FIELDS
+from bookflow.settings import NOTE_FIELDS, stage
 from bookflow.sources.files import parse_notes
 
 QUERIES, SQL = {}, {}
@@ -81,13 +81,25 @@ def note_rejects(spark, sf):
 
 @query(f"WITH {COERCED} SELECT {_FIELDS}, stamp AS created, stamp AS updated FROM co")
 def note_documents(spark, sf):
-    """Notes written as documents per book, read back and validated."""
-    docs = glue(export.notes_documents(_dirty(spark, sf).drop("ce")), "")
-    back = parse_notes(docs, "book", "text")
-    c = N.coerce_notes(back)[0]
+    """Notes documents, wrapped or a bare array, parsed and validated: one small document per event."""
+    d = _dirty(spark, sf).drop("ce")
+    note = F.to_json(F.array(F.struct(*[c for c in d.columns if c not in ("book", "seq")])))
+    doc = F.when(F.col("seq") % 2 == 0, note).otherwise(F.concat(F.lit('{"version": 1, "notes": '), note, F.lit("}")))
+    docs = stage(d.select("book", doc.alias("doc")), "note_documents")
+    c = N.coerce_notes(parse_notes(docs, "book", "doc"))[0]
     return _flat(c).join(c.select("book", "id", "created", "updated"), ["book", "id"])
 
 
+@query("""WITH n AS (SELECT event_type AS book, (row_number() OVER (PARTITION BY event_type) - 1) // 1024 AS part FROM events)
+  SELECT book, 0::BIGINT AS ch, 1 AS kind, part, count(*)::INTEGER AS n FROM n GROUP BY book, part
+  UNION ALL SELECT DISTINCT book, unnest([-1, 1]), 0, 0, 0 FROM n""")
+def note_document_parts(spark, sf):
+    """Notes documents per book, written in parts of 1024 notes."""
+    good = N.coerce_notes(_dirty(spark, sf))[0]
+    return export.notes_documents(good).select("book", "ch", "kind", "part", F.regexp_count(
+        "text", F.lit(r'\{"id":')).alias("n"))
+
+
 @query(f"WITH {COERCED} SELECT book, ch, count(*) AS n FROM co WHERE ch < length(book) GROUP BY 1, 2")
 def note_creation(spark, sf):
     d = N.create_notes(_dirty(spark, sf), _n_chapters(spark, sf), now())
@@ -313,23 +325,29 @@ _TG = "CASE WHEN tag = '' THEN '' ELSE '#' || replace(tag, ' ', '-') END"
 _CK = _clock("CAST(floor(s) AS BIGINT)")
 
 
-@query(f"""WITH {EXP}, x AS (SELECT book, ch, string_agg(chr(10) || CASE WHEN exact <> '' THEN '> ' || {_SQ} || chr(10) || chr(10) ELSE '' END || '*[' || ({_CK}) || ']*' ||
-    CASE WHEN tag <> '' THEN '  ' || {_TG} ELSE '' END || CASE WHEN note <> '' THEN chr(10) || chr(10) || '**Note:** ' || {_NB} ELSE '' END, chr(10) ORDER BY si, cs) AS t FROM nt GROUP BY 1, 2),
-  y AS (SELECT book, string_agg(chr(10) || '## ' || {_CT} || chr(10) || t, chr(10) ORDER BY ch) AS t FROM x GROUP BY book)
-  SELECT bo.book, '---' || chr(10) || 'title: ' || CASE WHEN title LIKE '%:%' THEN '"' || title || '"' ELSE title END || chr(10) || CASE WHEN author <> '' THEN 'author: ' || author || chr(10) ELSE '' END ||
-    'date: 2030-01-01' || chr(10) || 'tags: [audiobook, notes]' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || ' — Notes' ||
-    CASE WHEN author <> '' THEN chr(10) || chr(10) || '*by ' || author || '*' ELSE '' END || chr(10) || coalesce(t, chr(10) || '_No notes yet._') AS text FROM bo LEFT JOIN y USING (book)""")
+_PARTS = "SELECT *, (row_number() OVER (PARTITION BY book, ch ORDER BY si, cs) - 1) // 1024 AS part FROM nt"
+_HEADS = f"""SELECT DISTINCT book, ch, 0, 0, chr(10) || '## ' || {_CT} FROM nt
+  UNION ALL SELECT book, 0, 0, 0, chr(10) || '_No notes yet._' FROM bo WHERE book NOT IN (SELECT book FROM nt)"""
+_FRONT = """'---' || chr(10) || 'title: ' || CASE WHEN title LIKE '%:%' THEN '"' || title || '"' ELSE title END || chr(10) || CASE WHEN author <> '' THEN 'author: ' || author || chr(10) ELSE '' END ||
+    'date: 2030-01-01' || chr(10) || """
+
+
+@query(f"""WITH {EXP} SELECT book, -1::BIGINT AS ch, 0 AS kind, 0::BIGINT AS part, {_FRONT} 'tags: [audiobook, notes]' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || ' — Notes' ||
+    CASE WHEN author <> '' THEN chr(10) || chr(10) || '*by ' || author || '*' ELSE '' END AS text FROM bo
+  UNION ALL {_HEADS}
+  UNION ALL SELECT book, ch, 1, part, string_agg(chr(10) || CASE WHEN exact <> '' THEN '> ' || {_SQ} || chr(10) || chr(10) ELSE '' END || '*[' || ({_CK}) || ']*' ||
+    CASE WHEN tag <> '' THEN '  ' || {_TG} ELSE '' END || CASE WHEN note <> '' THEN chr(10) || chr(10) || '**Note:** ' || {_NB} ELSE '' END, chr(10) ORDER BY si, cs) FROM ({_PARTS}) GROUP BY 1, 2, 4""")
 def notes_markdown(spark, sf):
-    return glue(export.notes_markdown(*_export_inputs(spark, sf), now()), "\n")
+    return export.notes_markdown(*_export_inputs(spark, sf), now())
 
 
-@query(f"""WITH {EXP}, x AS (SELECT book, ch, string_agg(chr(10) || '> [!quote] ' || {_CT} || ' — [' || ({_CK}) || ']' || CASE WHEN exact <> '' THEN chr(10) || '> ' || {_SQ} ELSE '' END ||
+@query(f"""WITH {EXP}, tg AS (SELECT book, tag, row_number() OVER (PARTITION BY book ORDER BY seq) - 1 AS k FROM
+    (SELECT book, replace(tag, ' ', '-') AS tag, min(seq) AS seq FROM nt WHERE tag <> '' GROUP BY 1, 2))
+  SELECT book, -1::BIGINT AS ch, 0 AS kind, 0::BIGINT AS part, {_FRONT} 'source: x' || chr(10) || 'book_id: ' || book || chr(10) || 'tags:' || chr(10) || '  - audiobook' || chr(10) || '  - notes' AS text FROM bo
+  UNION ALL SELECT book, -1, 1, k, '  - ' || tag FROM tg UNION ALL SELECT book, -1, 2, 0, '---' || chr(10) || chr(10) || '# ' || title FROM bo
+  UNION ALL {_HEADS}
+  UNION ALL SELECT book, ch, 1, part, string_agg(chr(10) || '> [!quote] ' || {_CT} || ' — [' || ({_CK}) || ']' || CASE WHEN exact <> '' THEN chr(10) || '> ' || {_SQ} ELSE '' END ||
     CASE WHEN note <> '' OR tag <> '' THEN chr(10) || '>' ELSE '' END || CASE WHEN note <> '' THEN chr(10) || '> ' || replace({_NB}, chr(10), chr(10) || '> ') ELSE '' END ||
-    CASE WHEN tag <> '' THEN chr(10) || '> ' || {_TG} ELSE '' END || chr(10) || '^ch' || (ch + 1) || '-s' || si, chr(10) ORDER BY si, cs) AS t FROM nt GROUP BY 1, 2),
-  y AS (SELECT book, string_agg(chr(10) || '## ' || {_CT} || chr(10) || t, chr(10) ORDER BY ch) AS t FROM x GROUP BY book),
-  tg AS (SELECT book, string_agg('  - ' || tag || chr(10), '' ORDER BY seq) AS g FROM (SELECT book, replace(tag, ' ', '-') AS tag, min(seq) AS seq FROM nt WHERE tag <> '' GROUP BY 1, 2) GROUP BY book)
-  SELECT bo.book, '---' || chr(10) || 'title: ' || CASE WHEN title LIKE '%:%' THEN '"' || title || '"' ELSE title END || chr(10) || CASE WHEN author <> '' THEN 'author: ' || author || chr(10) ELSE '' END ||
-    'date: 2030-01-01' || chr(10) || 'source: x' || chr(10) || 'book_id: ' || bo.book || chr(10) || 'tags:' || chr(10) || '  - audiobook' || chr(10) || '  - notes' || chr(10) || coalesce(g, '') ||
-    '---' || chr(10) || chr(10) || '# ' || title || chr(10) || coalesce(t, chr(10) || '_No notes yet._') AS text FROM bo LEFT JOIN y USING (book) LEFT JOIN tg USING (book)""")
+    CASE WHEN tag <> '' THEN chr(10) || '> ' || {_TG} ELSE '' END || chr(10) || '^ch' || (ch + 1) || '-s' || si, chr(10) ORDER BY si, cs) FROM ({_PARTS}) GROUP BY 1, 2, 4""")
 def notes_obsidian(spark, sf):
-    return glue(export.notes_obsidian(*_export_inputs(spark, sf), now(), "x"), "\n")
+    return export.notes_obsidian(*_export_inputs(spark, sf), now(), "x")

@@ -370,9 +370,7 @@ def heading_cut(spark, sf):
     m, body = F.col("doc_id") % 5, F.concat(F.lit("x"), "text")
     text = (F.when(m == 0, F.concat(F.lit("CHAPTER 1\n\n"), body)).when(m == 1, F.concat(F.lit("ONE\n\nA Fine Title\n"), body))
              .when(m == 2, F.concat(F.lit("The Third Word: "), body))
-             .when(m == 3, F.concat(F.lit("CONNECTORS , AND SALES . "), F.lit("n "), body)).otherwise(body))
-    text = F.when(m == 3, F.concat(F.lit("CONNECTORS , AND SALES  "), body)).otherwise(text)
-    text = F.when(m == 3, F.concat(F.lit("CONNECTORS , AND SALESM "), F.lit("n the "), body)).otherwise(text)
+             .when(m == 3, F.concat(F.lit("CONNECTORS , AND SALESM n the "), body)).otherwise(body))
     title = F.when(m == 2, "The Third Word").when(m == 3, "Connected People").otherwise("A Fine Title")
     pats = F.array(F.lit("^CHAPTER [0-9]+$"), F.lit("^(ONE|TWO)$"))
     return I.table(spark, sf, "documents").filter("lang = 'en'").select(

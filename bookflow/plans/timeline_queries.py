@@ -228,45 +228,33 @@ def cues_vtt(spark, sf):
 @query(f"""WITH {CUES}, s AS (SELECT tl.*, sum(p::INTEGER) OVER (PARTITION BY tl.book, tl.ch ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS para
     FROM tl JOIN sh USING (book, ch)),
   pa AS (SELECT book, ch, coalesce(para, 0) AS para, string_agg(t, ' ' ORDER BY i) AS x FROM s GROUP BY 1, 2, 3),
-  c AS (SELECT book, ch, string_agg(x, chr(10) ORDER BY para) AS x FROM pa GROUP BY 1, 2),
-  h AS (SELECT book, string_agg(chr(10) || chr(10) || chr(10) || '## Turn ' || (ch + 1) || chr(10) || chr(10) || x, '' ORDER BY ch) AS x FROM c GROUP BY book),
   b AS (SELECT DISTINCT conv_id::VARCHAR AS book FROM conversations)
-  SELECT book, 'Talk: ' || book || CASE WHEN book::INTEGER % 2 = 0 THEN chr(10) || 'by A. "N" Other' ELSE '' END || coalesce(x, '') || chr(10) AS text
-  FROM b LEFT JOIN h USING (book)""")
+  SELECT book, -1::BIGINT AS ch, 0 AS kind, 0::BIGINT AS part, 'Talk: ' || book || CASE WHEN book::INTEGER % 2 = 0 THEN chr(10) || 'by A. "N" Other' ELSE '' END AS text FROM b
+  UNION ALL SELECT book, ch, 0, 0, chr(10) || chr(10) || chr(10) || '## Turn ' || (ch + 1) FROM sh
+  UNION ALL SELECT book, ch, 1, 0, chr(10) || chr(10) || string_agg(x, chr(10) ORDER BY para) FROM pa GROUP BY 1, 2
+  UNION ALL SELECT book, 4611686018427387904, 2, 0, chr(10) FROM b""")
 def transcript(spark, sf):
-    """Parts glued back per book for the comparison (books here are short)."""
-    tl = turn_timeline(spark, sf)
-    return glue(export.to_transcript(turn_books(spark, sf), turn_chapters(spark, sf), tl), "")
-
-
-def glue(parts, sep):
-    """Whole documents from parts, for checking small books only."""
-    keys = [c for c in ("ch", "kind", "part") if c in parts.columns]
-    return parts.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct(*keys, "text"))), lambda x: x["text"]), sep).alias("text"))
-
-
-@query(f"""WITH {CUES}, sj AS (SELECT book, ch, count(*) AS n, max(i) AS li, sum(s) AS ss, max(e) AS me FROM tl GROUP BY 1, 2),
-  st AS (SELECT book, ch, duration, coalesce(sum(duration) OVER (PARTITION BY book ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sg FROM chp),
-  b AS (SELECT book, count(*) AS total, count(*) FILTER (coalesce(status, 'ready') = 'ready') AS ready,
-    sum(CASE WHEN coalesce(status, 'ready') = 'ready' THEN duration ELSE 0 END) AS dur FROM chp GROUP BY book)
-  SELECT b.book, total AS n_total, ready AS n_ready, round(dur, 3) AS total_duration,
-    CASE WHEN total = ready THEN 'ready' ELSE 'partial' END AS status, ch AS ch, n AS n_sentences, (SELECT count(*) FROM tl t
-      WHERE t.book = b.book AND t.ch = sj.ch AND t.i % 4 = 0) AS n_topics, round(sg, 3) AS start_global, round(me, 3) AS last_end
-  FROM b JOIN sj USING (book) JOIN st USING (book, ch)""")
-def manifest_roundtrip(spark, sf):
-    """Build manifest documents, then read them back as JSON."""
-    from bookflow.sources import manifests as M
+    """In parts; a turn has fewer sentences than a part holds."""
+    return export.to_transcript(turn_books(spark, sf), turn_chapters(spark, sf), turn_timeline(spark, sf))
+
+
+@query(f"""WITH {CUES}, b AS (SELECT DISTINCT conv_id::VARCHAR AS book FROM conversations),
+  x AS (SELECT book, -1::BIGINT AS ch, 0 AS kind, 0::BIGINT AS part, 1 AS n FROM b UNION ALL SELECT book, 4611686018427387904, 9, 0, 0 FROM b
+    UNION ALL SELECT book, ch, unnest([0, 2, 4]), 0, unnest([1, 0, 0]) FROM chp
+    UNION ALL SELECT book, ch, 1, (i // 4) // 1024, count(*) FROM tl WHERE i % 4 = 0 GROUP BY 1, 2, 4
+    UNION ALL SELECT book, ch, 3, i // 1024, count(*) FROM tl GROUP BY 1, 2, 4)
+  SELECT book, ch, kind, part, n::INTEGER AS n FROM x""")
+def manifest_parts(spark, sf):
+    """Manifest documents in parts, with the number of objects opened in each."""
+    tl, books, ch, topics = _manifest_inputs(spark, sf)
+    return export.build_manifest(books, ch, tl, topics).select(
+        "book", "ch", "kind", "part", F.regexp_count("text", F.lit(r'\{"(?:id|i|title)":')).alias("n"))
+
+
+def _manifest_inputs(spark, sf):
     tl = turn_timeline(spark, sf)
     books = turn_books(spark, sf).withColumn("created", F.lit("2024-01-01T00:00:00"))
     ch = turn_chapters(spark, sf).withColumns({"level": F.lit(1), "page": F.lit(0), "audio": F.lit(None).cast("string")})
     topics = tl.filter("i % 4 = 0").withColumn("pos", F.floor(F.col("i") / 4)).select(
         "book", "ch", "pos", F.substring("t", 1, 9).alias("title"), F.lit(2).alias("level"), F.lit(None).cast("double").alias("time"))
-    docs = glue(export.build_manifest(books, ch, tl, topics), "")
-    m = M.parse_manifests(docs, "text", "book")
-    c = m.select(F.col("id").alias("book"), F.col("chapters_total").cast("long").alias("n_total"),
-                 F.col("chapters_ready").cast("long").alias("n_ready"), "total_duration", "status",
-                 F.explode("chapters").alias("c"))
-    return c.select("book", "n_total", "n_ready", "total_duration", "status", F.col("c.index").cast("long").alias("ch"),
-                    F.size("c.sentences").cast("long").alias("n_sentences"), F.size("c.topics").cast("long").alias("n_topics"),
-                    "c.start_global", F.array_max(F.transform("c.sentences", lambda s: s["e"])).alias("last_end"))
+    return tl, books, ch, topics

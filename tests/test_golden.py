@@ -175,6 +175,23 @@ def _doc(parts, sep):
     return sep.join(r.text for r in rows)
 
 
+def test_manifest_parts_make_one_document(spark):
+    b = spark.createDataFrame([("b", 'T "q"', "A")], "book string, title string, author string")
+    c = spark.createDataFrame([("b", 0, "One", 1, 0, "ready", "ch0.mp3", 2.5), ("b", 1, "Two", 1, 3, "pending", None, 1.5)],
+                              "book string, ch long, title string, level int, page int, status string, audio string, duration double")
+    s = spark.createDataFrame([("b", 0, i, f"s\\{i}", i * 1.0, i + 1.0, i, i + 1, i % 2) for i in range(1500)],
+                              "book string, ch long, i int, t string, s double, e double, cs int, ce int, p int")
+    t = spark.createDataFrame([("b", 0, 0, "x", 2, None)], "book string, ch long, pos int, title string, level int, time double")
+    d = json.loads(_doc(export.build_manifest(b, c, s, t), ""))
+    assert (d["id"], d["title"], d["status"], d["chapters_total"], d["chapters_ready"], d["total_duration"], d["timing_version"]) == (
+        "b", 'T "q"', "partial", 2, 1, 2.5, 2)
+    assert [x["start_global"] for x in d["chapters"]] == [0.0, 2.5]
+    assert [x["i"] for x in d["chapters"][0]["sentences"]] == list(range(1500))
+    assert d["chapters"][0]["sentences"][1] == {"i": 1, "t": "s\\1", "s": 1.0, "e": 2.0, "cs": 1, "ce": 2, "p": 1}
+    assert "p" not in d["chapters"][0]["sentences"][0] and d["chapters"][1]["sentences"] == []
+    assert d["chapters"][0]["topics"] == [{"title": "x", "level": 2, "time": None}]
+
+
 def test_note_exports(spark):
     cols = ("book string, seq long, ch long, si long, cs long, s double, created string, exact string, note string, tags array<string>")
     n = spark.createDataFrame([("demo", 0, 0, 2, 1, 65.0, "", "q", "Multi\n> line", ["idea", "key point"]),
