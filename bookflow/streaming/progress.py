@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bookflow.operators import scan
-from bookflow.settings import stage
 
 WEB_DEBOUNCE_MS, PHONE_DEBOUNCE_MS = 1500, 1000
 FOLLOW_MS = 12_000
@@ -237,10 +236,3 @@ def upsert_positions(path: str):
                 *read_version(batch.sparkSession, path, old).columns)))
         new.write.mode("overwrite").parquet(f"{path}/v={batch_id:012d}")
     return write
-
-
-def replay(df: DataFrame, name: str, schema=None) -> DataFrame:
-    """A table as a stream source (tests and backfills): written once, read as a file stream."""
-    path_df = stage(df, name)
-    path = path_df.inputFiles()[0].rsplit("/", 1)[0] if path_df.inputFiles() else None
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
