@@ -52,13 +52,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster, or a private temporary one when none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-bookflow-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Without that setting a local session (tests) gets one temporary folder of its own; a cluster
+    gets an error, as its executors could not see each other's local files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="spark-bookflow-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        folder = _own[0]
     return folder.rstrip("/")
 
 
