@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import bpe, token_files
+from bookflow.llm import bpe, decontaminate, simhash, token_files
 from bookflow.llm.common import table
 
 END_ID = 2
@@ -26,8 +26,19 @@ def bpe_query(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"), _vocabulary(), ids="", decoded="", keep=["doc_id"])
 
 
+def simhash_query(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def decontaminate_query(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"),
+                                       keep=["doc_id"]).drop("spans")
+
+
 QUERIES = {
     "op2_token_files": token_files_query,
     "op8_bpe": bpe_query,
+    "op9_simhash": simhash_query,
+    "op10_decontaminate": decontaminate_query,
 }
 SQL: dict[str, str] = {}
