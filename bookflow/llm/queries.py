@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import bpe, decontaminate, simhash, token_files
+from bookflow.llm import bpe, decontaminate, simhash, token_files, topk
 from bookflow.llm.common import table
 
 END_ID = 2
@@ -35,10 +35,24 @@ def decontaminate_query(spark: SparkSession, sf: str) -> DataFrame:
                                        keep=["doc_id"]).drop("spans")
 
 
+def topk_query(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = topk.quantize(table(spark, sf, "embeddings"), "vec_id", "embedding", 256.0)
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 QUERIES = {
     "op2_token_files": token_files_query,
+    "op5_topk": topk_query,
     "op8_bpe": bpe_query,
     "op9_simhash": simhash_query,
     "op10_decontaminate": decontaminate_query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+        FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+      SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+}
