@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import bpe, decontaminate, simhash, token_files, topk
+from bookflow.llm import bpe, decontaminate, langid, simhash, token_files, topk
 from bookflow.llm.common import table
 
 END_ID = 2
@@ -35,6 +35,17 @@ def decontaminate_query(spark: SparkSession, sf: str) -> DataFrame:
                                        keep=["doc_id"]).drop("spans")
 
 
+def fold(doc_id: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string")) % folds
+
+
+def langid_query(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    out = langid.identify(docs, langid.fit(docs, fold("doc_id", 4) != 2), keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def topk_query(spark: SparkSession, sf: str) -> DataFrame:
     vectors = topk.quantize(table(spark, sf, "embeddings"), "vec_id", "embedding", 256.0)
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -42,6 +53,7 @@ def topk_query(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_files": token_files_query,
+    "op3_langid": langid_query,
     "op5_topk": topk_query,
     "op8_bpe": bpe_query,
     "op9_simhash": simhash_query,
