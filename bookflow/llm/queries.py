@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import bpe, decontaminate, langid, simhash, token_files, topk
+from bookflow.llm import bpe, decontaminate, langid, simhash, token_files, topk, toxicity
 from bookflow.llm.common import table
 
 END_ID = 2
@@ -46,6 +46,13 @@ def langid_query(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def toxicity_query(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"), lambda c: fold(c, 3) != 1)
+    out = toxicity.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def topk_query(spark: SparkSession, sf: str) -> DataFrame:
     vectors = topk.quantize(table(spark, sf, "embeddings"), "vec_id", "embedding", 256.0)
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -54,6 +61,7 @@ def topk_query(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": token_files_query,
     "op3_langid": langid_query,
+    "op4_toxicity": toxicity_query,
     "op5_topk": topk_query,
     "op8_bpe": bpe_query,
     "op9_simhash": simhash_query,
