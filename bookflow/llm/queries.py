@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import bpe, decontaminate, langid, simhash, token_files, topk, toxicity
+from bookflow.llm import bpe, decontaminate, html_crf, langid, simhash, token_files, topk, toxicity
 from bookflow.llm.common import table
 
 END_ID = 2
@@ -58,11 +58,16 @@ def topk_query(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def html_query(spark: SparkSession, sf: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf, "pages"), html_crf.train(), keep=["page_id", "url"])
+
+
 QUERIES = {
     "op2_token_files": token_files_query,
     "op3_langid": langid_query,
     "op4_toxicity": toxicity_query,
     "op5_topk": topk_query,
+    "op6_html_crf": html_query,
     "op8_bpe": bpe_query,
     "op9_simhash": simhash_query,
     "op10_decontaminate": decontaminate_query,
