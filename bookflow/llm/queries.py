@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import bpe, decontaminate, html_crf, langid, simhash, token_files, topk, toxicity
+from bookflow.llm import bpe, decontaminate, html_crf, langid, pii, simhash, token_files, topk, toxicity
 from bookflow.llm.common import table
 
 END_ID = 2
+PII_KEY = "bookflow-surrogates"       # a deployment passes its own
 
 
 def _vocabulary() -> str:
@@ -62,7 +63,13 @@ def html_query(spark: SparkSession, sf: str) -> DataFrame:
     return html_crf.extract(table(spark, sf, "pages"), html_crf.train(), keep=["page_id", "url"])
 
 
+def pii_query(spark: SparkSession, sf: str) -> DataFrame:
+    out = pii.replace_entities(table(spark, sf, "documents"), PII_KEY)
+    return out.select("doc_id", "lang", "source", "text", F.length("text").cast("bigint").alias("n_chars"), "n_entities")
+
+
 QUERIES = {
+    "op1_pii": pii_query,
     "op2_token_files": token_files_query,
     "op3_langid": langid_query,
     "op4_toxicity": toxicity_query,
