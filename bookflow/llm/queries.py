@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import bpe, decontaminate, html_crf, langid, pii, simhash, token_files, topk, toxicity
+from bookflow.llm import bpe, chat, decontaminate, html_crf, langid, pii, simhash, token_files, topk, toxicity
 from bookflow.llm.common import table
 
 END_ID = 2
@@ -68,6 +68,10 @@ def pii_query(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "text", F.length("text").cast("bigint").alias("n_chars"), "n_entities")
 
 
+def chat_query(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.render(table(spark, sf, "conversations")).select("conv_id", "turn", "n_turns", "rendered")
+
+
 QUERIES = {
     "op1_pii": pii_query,
     "op2_token_files": token_files_query,
@@ -75,11 +79,19 @@ QUERIES = {
     "op4_toxicity": toxicity_query,
     "op5_topk": topk_query,
     "op6_html_crf": html_query,
+    "op7_chat": chat_query,
     "op8_bpe": bpe_query,
     "op9_simhash": simhash_query,
     "op10_decontaminate": decontaminate_query,
 }
 SQL: dict[str, str] = {
+    "op7_chat": """WITH c AS (SELECT conv_id, list([role, text] ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
+      p AS (SELECT l[1:n] AS l, bool_or(n < len(l)) AS goes_on FROM c, unnest(range(1, len(l) + 1)) AS r(n) GROUP BY 1),
+      w AS (SELECT l, min(conv_id) AS conv_id FROM c GROUP BY l),
+      k AS (SELECT w.conv_id, CAST(len(w.l) AS BIGINT) AS n_turns FROM w JOIN p USING (l) WHERE NOT goes_on)
+      SELECT conv_id, turn, n_turns, '<|im_start|>' || lower(trim(coalesce(role, 'unknown'), ' ')) || chr(10)
+        || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
+        || '<|im_end|>' || chr(10) AS rendered FROM conversations JOIN k USING (conv_id)""",
     "op5_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
         FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
