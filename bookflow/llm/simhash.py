@@ -91,7 +91,7 @@ def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             near = np.bitwise_count(left ^ x) <= radius
             if near.any():
                 found = left[near]
-                a.append(np.full(len(found), x))
+                a.append(np.full(len(found), x, np.uint64))
                 b.append(found)
                 front.extend(found.tolist())
                 left = left[~near]
