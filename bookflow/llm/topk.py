@@ -22,6 +22,7 @@ from bookflow.settings import stage
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096     # vectors
 SCORES = 1 << 21                              # scores held at once
 BUCKETS = 512
+LARGEST = (1 << 62) - 1
 
 
 def quantize(df: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
@@ -96,7 +97,8 @@ def _count(k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, state, _, scores, other in _cells(batches, 3):
             low, width, need = (state[:, j][:, None] for j in range(3))
-            bucket = np.where(other & (scores >= low) & (scores < low + width * buckets), (scores - low) // width, -1)
+            bucket = np.where(other & (scores >= low), (scores - low) // width, -1)
+            bucket[bucket >= buckets] = -1
             rows = len(ids)
             n = np.bincount((np.arange(rows)[:, None] * (buckets + 1) + bucket + 1).ravel(), minlength=rows * (buckets + 1))
             n = n.reshape(rows, buckets + 1)[:, 1:]
@@ -133,7 +135,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, buckets: int = BUCK
     Both sides have vec_id and q (array<bigint>, see ``quantize``); only vectors of equal dimension are compared. A
     query with fewer candidates gets all; a query without any gets no row. Ids may repeat among the candidates
     (each row counts); repeated query ids are taken as one row of the smallest vector. Empty tables give empty results.
-    Scores must fit 64 bits.
+    Scores must be below 2^62, whatever their sign.
 
     Queries travel in blocks to every block of candidates by an equi-join on a dealt number, not by a broadcast, so
     neither side needs to be small. What is shuffled afterwards is at most ``k`` counts or rows for each query
@@ -145,7 +147,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, buckets: int = BUCK
     q = stage(queries, "queries")
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     longest = [d.agg(F.max(norm)).first()[0] or 0.0 for d in (candidates, q)]
-    bound = math.ceil(longest[0] * longest[1] * (1 + 1e-9)) + 1
+    bound = min(math.ceil(longest[0] * longest[1] * (1 + 1e-9)) + 1, LARGEST)
     cells = c.count()
 
     def met(states: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ REMEMBERED = 400_000                                 # distinct tokens a task re
 # Second-person words, and characters that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner euch euer ihr sie tu te toi ton "
                           "ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split())
-LEET = str.maketrans("013457@$!|€", "oleastasile")
+LEET = str.maketrans("013457@$!|€", "oieastasile")
 TOKEN = re.compile(r"\S+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 HIT, PERSON, CAPITALS, HIDDEN, HIDDEN_HIT = 1, 2, 4, 8, 16
