@@ -62,11 +62,12 @@ def clean_note(df: DataFrame) -> DataFrame:
 
 
 def create_notes(raw: DataFrame, n_chapters: DataFrame, now: Column) -> DataFrame:
-    """New notes: validated, with an id from their content and equal created/updated stamps."""
+    """New notes: validated, with an id from all their fields (``seq`` among them, if the input numbers its rows)
+    and equal created/updated stamps."""
     good, _ = coerce_notes(raw, n_chapters)
     stamp = utc_stamp(now)
-    key = F.substring(F.sha2(F.concat_ws("\u001f", "book", "ch", "si", "sj", "exact", "note",
-                                         F.array_join("tags", ","), stamp), 256), 1, 32)
+    told = [c for c in good.columns if c not in ("id", "created", "updated")]
+    key = F.substring(F.sha2(F.concat(F.to_json(F.struct(*told)), stamp), 256), 1, 32)
     return good.withColumns({"id": key, "created": stamp, "updated": stamp})
 
 
@@ -77,13 +78,16 @@ def utc_stamp(ts: Column) -> Column:
 def patch_notes(notes: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
     """Overwrite only the fields present (non-null) in the patch; created stays.
 
-    The kind is the patch's if valid, else it follows from the merged body.
+    The kind is the patch's if valid, else it follows from the merged body. Several patches of one note
+    count field by field: the last one that has the field, by ``seq`` if the patches have it.
     """
     fields = [c for c in ("ch", "si", "sj", "cs", "ce", "s", "e", "exact", "prefix", "suffix", "color",
                           "tags", "note") if c in patches.columns]
-    p = patches.select("book", "id", F.lit(True).alias("_hit"),
-                       (F.col("kind") if "kind" in patches.columns else F.lit(None).cast("string")).alias("_kind"),
-                       *[F.col(c).alias(f"_p_{c}") for c in fields])
+    order = F.col("seq") if "seq" in patches.columns else F.monotonically_increasing_id()
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at")))
+    p = patches.withColumn("_at", order).groupBy("book", "id").agg(
+        F.lit(True).alias("_hit"), (last("kind") if "kind" in patches.columns else F.lit(None).cast("string")).alias("_kind"),
+        *[last(c).alias(f"_p_{c}") for c in fields])
     d = notes.join(p, ["book", "id"], "left")
     merged = d.withColumns({c: F.coalesce(f"_p_{c}", c) for c in fields})
     patched, _ = coerce_notes(merged.withColumn("kind", F.when(F.col("_hit"), F.col("_kind")).otherwise(
@@ -140,17 +144,22 @@ def merge_with_tombstones(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFr
     return w.filter(~dead).drop("deleted"), w.filter(dead).select("book", "id")
 
 
+def _stamp() -> Column:
+    """An empty stamp is none."""
+    return F.coalesce(F.nullif("updated", F.lit("")), "created", F.lit(""))
+
+
 def unpushed(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Local notes that are missing remotely or older there."""
-    r = remote.select("book", "id", F.coalesce("updated", "created", F.lit("")).alias("_r"))
-    mine = F.coalesce("updated", "created", F.lit(""))
+    r = remote.select("book", "id", _stamp().alias("_r"))
+    mine = _stamp()
     return local.join(r, ["book", "id"], "left").filter(
         F.col("_r").isNull() | (F.col("_r") < mine)).drop("_r")
 
 
 def changed_books(a: DataFrame, b: DataFrame) -> DataFrame:
     """Books whose set of (id, stamp) differs between two note sets."""
-    s = lambda d, n: d.select("book", "id", F.coalesce("updated", "created", F.lit("")).alias(n))
+    s = lambda d, n: d.select("book", "id", _stamp().alias(n))
     d = s(a, "_a").join(s(b, "_b"), ["book", "id"], "full")
     return d.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("book").distinct()
 
@@ -212,40 +221,44 @@ def highlight_colors(notes: DataFrame, n_sentences: DataFrame) -> DataFrame:
     return d.groupBy("book", "ch", "i").agg(F.max_by("color", "seq").alias("color"))
 
 
-SPAN = 4096                                   # characters per block of chapter text
-_REACH = MAX_EXACT + MAX_CONTEXT + 8          # a hit and its context reach at most this far
+SPAN = 4096                                   # characters per block of chapter text, at least
+_AROUND = MAX_CONTEXT + 8                     # context on either side of a hit
 
 
 def _chapter_blocks(sents: DataFrame) -> DataFrame:
     """Chapter text (sentences joined by a blank) in blocks with an overlap on both sides.
 
-    Blocks are cut by characters, so no chapter is ever held in one row; ``at`` is the offset
-    of ``text`` in the chapter, ``own`` the range of hit positions the block answers for.
+    ``_span`` is the chapter's block size: at least SPAN, and no less than the longest quote that is
+    searched there. So a hit that starts in a block ends in the next at the latest, and all blocks of a chapter
+    hold its text twice. ``at`` is the offset of ``text`` in the chapter.
     """
-    d = sents.select("book", "ch", "_ro", F.concat("t", F.lit(" ")).alias("_t"))
-    cut = d.select("book", "ch", "_ro", "_t", F.explode(F.sequence(
-        F.floor(F.col("_ro") / SPAN), F.floor((F.col("_ro") + F.length("_t") - 1) / SPAN))).alias("blk"))
-    frm = F.greatest(F.lit(0), F.col("blk") * SPAN - F.col("_ro"))
-    to = F.least(F.length("_t"), (F.col("blk") + 1) * SPAN - F.col("_ro"))
-    cut = cut.select("book", "ch", "blk", (F.col("_ro") + frm).alias("pos"),
+    span = F.col("_span")
+    d = sents.select("book", "ch", "_span", "_ro", F.concat("t", F.lit(" ")).alias("_t"))
+    cut = d.select("book", "ch", "_span", "_ro", "_t", F.explode(F.sequence(
+        F.floor(F.col("_ro") / span), F.floor((F.col("_ro") + F.length("_t") - 1) / span))).alias("blk"))
+    frm = F.greatest(F.lit(0), F.col("blk") * span - F.col("_ro"))
+    to = F.least(F.length("_t"), (F.col("blk") + 1) * span - F.col("_ro"))
+    cut = cut.select("book", "ch", "_span", "blk", (F.col("_ro") + frm).alias("pos"),
                      F.substring(F.col("_t"), (frm + 1).cast("int"), (to - frm).cast("int")).alias("x"))
 
     def glue(df):
-        return df.groupBy("book", "ch", "blk").agg(
+        return df.groupBy("book", "ch", "_span", "blk").agg(
             F.min("pos").alias("at"),
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))),
                                      lambda v: v["x"]), "").alias("text"))
 
     own = glue(cut)
-    tail = MAX_CONTEXT + 8
-    before = own.select("book", "ch", (F.col("blk") + 1).alias("blk"),
-                        (F.col("at") + F.greatest(F.lit(0), F.length("text") - tail)).alias("pos"),
-                        F.substring("text", -tail, tail).alias("x"))
-    after = own.select("book", "ch", (F.col("blk") - 1).alias("blk"), F.col("at").alias("pos"),
-                       F.substring("text", 1, _REACH).alias("x"))
-    me = own.select("book", "ch", "blk", F.col("at").alias("pos"), F.col("text").alias("x"))
+    before = own.select("book", "ch", "_span", (F.col("blk") + 1).alias("blk"),
+                        (F.col("at") + F.greatest(F.lit(0), F.length("text") - _AROUND)).alias("pos"),
+                        F.substring("text", -_AROUND, _AROUND).alias("x"))
+    after = own.select("book", "ch", "_span", (F.col("blk") - 1).alias("blk"), F.col("at").alias("pos"),
+                       F.col("text").alias("x"))
+    # The context of a hit that reaches the end of the next block is at the start of the one after it.
+    beyond = own.select("book", "ch", "_span", (F.col("blk") - 2).alias("blk"), F.col("at").alias("pos"),
+                        F.substring("text", 1, _AROUND).alias("x"))
+    me = own.select("book", "ch", "_span", "blk", F.col("at").alias("pos"), F.col("text").alias("x"))
     # Neighbours of blocks that do not exist themselves make rows without own positions.
-    return glue(me.unionByName(before).unionByName(after))
+    return glue(me.unionByName(before).unionByName(after).unionByName(beyond))
 
 
 def reanchor(notes: DataFrame, tl: DataFrame) -> DataFrame:
@@ -273,9 +286,10 @@ def reanchor(notes: DataFrame, tl: DataFrame) -> DataFrame:
     sents = scan.prefix_sum(tl.select("book", "ch", "i", "t"), ["book", "ch"], ["i"],
                             F.floor(F.col("i") / BLOCK), _ro=(F.length("t") + 1).cast("long"))
     sents = stage(sents, "sentence_offsets")
-    todo = sents.join(lost.select("book", "ch").distinct(), ["book", "ch"], "left_semi")
+    longest = lost.groupBy("book", "ch").agg(F.greatest(F.lit(SPAN), F.max(F.length("_q"))).cast("long").alias("_span"))
+    todo = sents.join(longest, ["book", "ch"])
     hits = substring_join(stage(_chapter_blocks(todo), "chapter_blocks"), lost, "text", "_q", ["blk"], ["book", "ch"])
-    own_from, own_to = F.col("blk") * SPAN - F.col("at"), (F.col("blk") + 1) * SPAN - F.col("at")
+    own_from, own_to = F.col("blk") * F.col("_span") - F.col("at"), (F.col("blk") + 1) * F.col("_span") - F.col("at")
     # Hits that start in the block itself; hits in the overlap belong to the neighbour.
     spots = F.filter(occurrences("text", "_q"), lambda p: (p >= own_from) & (p < own_to))
     hits = hits.withColumn("p", F.explode(spots))
@@ -307,4 +321,4 @@ def bookmarks(marks: DataFrame, tl: DataFrame, chapters: DataFrame) -> DataFrame
     text = tl.select("book", "ch", F.col("i").cast("int").alias("i"), F.col("t").alias("snip"))
     d = d.join(text, ["book", "ch", "i"], "left").join(
         chapters.select("book", "ch", F.col("title").alias("ch_title")), ["book", "ch"], "left")
-    return d.withColumn("snip", F.coalesce("snip", F.lit(""))).drop("ch", "i")
+    return d.withColumn("snip", F.coalesce("snip", F.lit(""))).drop("ch", "i").orderBy("book", "ci", "t")

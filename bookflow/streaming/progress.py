@@ -125,12 +125,15 @@ class _Debounce(StatefulProcessor):
         out, due = [], (self.due.get()[0] if self.due.exists() else None)
         if due is not None:
             self.handle.deleteTimer(due)
-        for r in pd.concat(list(rows)).sort_values(["updated", "seq"]).itertuples():
+        for r in (r for chunk in rows for r in chunk.sort_values(["updated", "seq"]).itertuples()):
             if due is not None and r.updated > due:
                 out += self._flush(key[0], due)
-            self.pending.updateValue((r.book,), (int(r.ci), float(r.t), int(r.si), float(r.frac),
-                                                 int(r.updated), int(r.seq)))
-            due = int(r.updated) + self.gap
+            # A late row neither replaces a newer position nor turns the timer back.
+            old = self.pending.getValue((r.book,)) if self.pending.containsKey((r.book,)) else None
+            if old is None or (old[4], old[5]) <= (r.updated, r.seq):
+                self.pending.updateValue((r.book,), (int(r.ci), float(r.t), int(r.si), float(r.frac),
+                                                     int(r.updated), int(r.seq)))
+            due = max(due or 0, int(r.updated) + self.gap)
         self.due.update((due,))
         self.handle.registerTimer(due)
         yield pd.DataFrame(out, columns=FLUSHED)
