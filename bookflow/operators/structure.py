@@ -322,7 +322,7 @@ def heading_cut(text, title, patterns) -> Column:
 
     Three steps, each bound to a variable: up to three short paragraphs that match a label
     pattern or repeat the title; the title glued to the first sentence; a run of capitals
-    before a lone drop-cap letter ("CONNECTORS , AND SALESMEN n the").
+    before a lone drop-cap letter ("FERRIES , AND HARBOURS n the").
     """
     t = _c(text)
     key = match_key(F.coalesce(_c(title), F.lit("")), nfkc=False)

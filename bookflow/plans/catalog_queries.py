@@ -66,7 +66,7 @@ def manifests(spark, sf):
         F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), lambda i: F.struct(
             i.alias("i"), F.concat(F.lit("s"), i.cast("string")).alias("t"), (i * 2.0).alias("s"))).alias("sentences"))
         .alias("c")))), lambda x: x["c"]).alias("chapters"))
-    b = I.spread(books(spark, sf), "book").join(per, "book", "left")
+    b = books(spark, sf).join(per, "book", "left")
     k = F.col("cust")
     doc = F.to_json(F.struct(
         F.when(k % 2 == 0, F.col("book")).alias("id"), F.when(k % 3 > 0, F.col("title")).alias("title"),
@@ -161,14 +161,14 @@ def continue_listening(spark, sf):
 
 
 @query(f"""WITH {SUMMARY}, {I.PROGRESS.replace('event_type AS book', "'c' || (event_id % 90) AS book")},
-  l AS (SELECT book, max(frac) AS frac FROM pr WHERE "user" = '1' GROUP BY book)
-  SELECT id, frac, CASE WHEN frac > 0 THEN CASE WHEN status = 'ready' AND frac >= 0.999 THEN 100 ELSE least(100, greatest(2, floor(frac * 100 + 0.5))) END END::INTEGER AS listened,
+  l AS (SELECT "user", book, max(frac) AS frac FROM pr GROUP BY "user", book)
+  SELECT id, "user", frac, CASE WHEN frac > 0 THEN CASE WHEN status = 'ready' AND frac >= 0.999 THEN 100 ELSE least(100, greatest(2, floor(frac * 100 + 0.5))) END END::INTEGER AS listened,
     CASE WHEN status <> 'ready' THEN least(100, CASE WHEN n_chapters > 0 THEN floor(chapters_ready::DOUBLE / n_chapters * 100 + 0.5) ELSE 0 END) END::INTEGER AS generated
   FROM sm LEFT JOIN l ON l.book = sm.id""")
 def cards(spark, sf):
-    p = I.progress(spark, sf).filter("user = '1'").withColumn("book", F.concat(F.lit("c"), (F.col("seq") % 90).cast("string")))
-    p = p.groupBy("book").agg(F.max("frac").alias("frac"))
-    return C.cards(C.library_summary(manifests(spark, sf)), p).select("id", "frac", "listened", "generated")
+    p = I.progress(spark, sf).withColumn("book", F.concat(F.lit("c"), (F.col("seq") % 90).cast("string")))
+    p = p.groupBy("user", "book").agg(F.max("frac").alias("frac"))
+    return C.cards(C.library_summary(manifests(spark, sf)), p).select("id", "user", "frac", "listened", "generated")
 
 
 @query(f"""WITH {BASE}, p AS (SELECT DISTINCT user_id::VARCHAR AS "user", 'c' || (event_id % 90) AS book, user_id % 9 AS ci, CASE WHEN user_id % 4 = 0 THEN 1.0 ELSE 0.4 END AS frac FROM events),

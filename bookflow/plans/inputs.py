@@ -9,26 +9,15 @@ from bookflow.operators import clean, segment, structure
 from bookflow.settings import configure, stage
 
 
-TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work where the input has fewer files than there are cores (one small file
-    is one task).  Large inputs are read as they lie."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
-
-
-def table(spark: SparkSession, sf: str, name: str, even: bool = True) -> DataFrame:
-    """A supplied table; text tables are spread, as their rows are costly."""
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A supplied table, as it lies: how finely files are split is set when the job is submitted."""
     configure(spark)
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, *TEXT_KEYS[name]) if even and name in TEXT_KEYS else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def raw_pages(spark, sf) -> DataFrame:
     """documents as pages: book = source, page = position by doc_id."""
-    return clean.number_pages(table(spark, sf, "documents", even=False), "source", "doc_id", "text")
+    return clean.number_pages(table(spark, sf, "documents"), "source", "doc_id", "text")
 
 
 def clean_corpus(spark, sf) -> DataFrame:

@@ -104,7 +104,7 @@ def note_document_parts(spark, sf):
 def note_creation(spark, sf):
     d = N.create_notes(_dirty(spark, sf), _n_chapters(spark, sf), now())
     ok = (F.length("id") == 32) & (F.col("created") == F.col("updated")) & (F.col("created") == NOW)
-    return d.filter(ok).groupBy("book", "ch").agg(F.countDistinct("id", "cs").alias("n"))
+    return d.filter(ok).groupBy("book", "ch").agg(F.countDistinct("id").alias("n"))
 
 
 @query(f"""WITH {COERCED}, p AS (SELECT k, CASE WHEN k % 3 = 0 THEN 'blue' END AS pc, CASE WHEN k % 7 < 2 THEN 'patched' END AS pn FROM c0 WHERE k % 2 = 0)
@@ -202,12 +202,12 @@ def changed_note_sets(spark, sf):
 
 
 @query("""WITH t AS (SELECT source AS book, doc_id AS seq, unnest(l) AS tag, generate_subscripts(l, 1) AS pos FROM
-    (SELECT source, doc_id, string_split(substr(text, 1, 60), ' ') AS l FROM documents)),
+    (SELECT source, doc_id, string_split(text, ' ') AS l FROM documents)),
   g AS (SELECT book, seq, pos, coalesce(nullif(regexp_replace(regexp_replace(trim(tag, chr(10) || ' '), '\\s+', '-', 'g'), '[^0-9A-Za-z_/\\-]', '', 'g'), ''), 'tag') AS slug FROM t)
   SELECT book, arg_min(slug, (seq, pos)) AS slug FROM g GROUP BY book, lower(slug)""")
 def distinct_tags(spark, sf):
     d = I.table(spark, sf, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("seq"),
-                                               F.split(F.substring("text", 1, 60), " ").alias("tags"))
+                                               F.split("text", " ").alias("tags"))
     return N.tag_list(d).select("book", "slug")
 
 

@@ -116,25 +116,24 @@ def locate_headings(spark, sf):
     return markers(spark, sf, corpus(spark, sf))
 
 
-@query(f"""WITH {I.CLEAN}, {HEADINGS}, j AS (SELECT hd.*, o.page_off, strpos(lower(text), lower(title)) AS p FROM hd
+@query(f"""WITH {I.CLEAN}, {HEADINGS}, j AS (SELECT hd.*, o.page_off, o.text, strpos(lower(text), lower(title)) AS p,
+      substr({I.sql_key('title')}, 1, 40) AS w, {I.sql_key('text')} AS nk FROM hd
     JOIN off o ON o.book = hd.book AND o.page = hd.page)
-  SELECT book, seq, CAST(page_off + CASE WHEN p > 0 THEN p - 1 ELSE 0 END AS BIGINT) AS off FROM j WHERE p > 0""")
+  SELECT book, seq, CAST(page_off + CASE WHEN p > 0 THEN p - 1 WHEN w <> '' AND strpos(nk, w) > 0
+    THEN CAST(floor((strpos(nk, w) - 1)::DOUBLE / greatest(1, length(nk)) * length(text)) AS BIGINT) ELSE 0 END AS BIGINT) AS off FROM j""")
 def locate_headings_direct(spark, sf):
-    """Titles that occur as written: every scanned heading does, but for dropped lines."""
-    pages = corpus(spark, sf)
-    d = structure.locate_headings(headings(spark, sf), pages, "direct")
-    ok = pages.select("book", "page", "text").join(d.drop("text"), ["book", "page"])
-    return ok.filter(F.contains(F.lower("text"), F.lower("title"))).select("book", "seq", "off")
+    """Titles as written, else by their keys, else the page's start."""
+    return structure.locate_headings(headings(spark, sf), corpus(spark, sf), "direct").select("book", "seq", "off")
 
 
 @query(f"""WITH {I.CLEAN}, t AS (SELECT source AS book, doc_id, substr({I.sql_key('text')}, 1, 40) AS w FROM documents
-    WHERE lang = 'en'),
+    ),
   k AS (SELECT book, page, {I.sql_key('text')} AS nk FROM cl)
   SELECT t.book, t.doc_id, coalesce(min(k.page), 0)::BIGINT AS page FROM t LEFT JOIN k
     ON k.book = t.book AND t.w <> '' AND contains(k.nk, t.w) GROUP BY 1, 2""")
 def first_page_with(spark, sf):
-    """Where in its book does each English document's opening occur first?"""
-    titles = I.table(spark, sf, "documents").filter("lang = 'en'").select(
+    """Where in its book does each document's opening occur first?"""
+    titles = I.table(spark, sf, "documents").select(
         F.col("source").alias("book"), "doc_id", F.col("text").alias("title"))
     return structure.first_page_with(titles, corpus(spark, sf)).select("book", "doc_id", "page")
 
@@ -213,19 +212,17 @@ def prefer_source(spark, sf):
 
 
 @query(f"""WITH {MARKERS}, k AS (SELECT book, page, page_off, text, {I.sql_key('text')} AS nk FROM off),
-  l AS (SELECT source AS book, doc_id AS seq, text AS title, substr({I.sql_key('text')}, 1, 40) AS w FROM documents
-    WHERE substr(source, 4)::INTEGER % 2 = 0 AND doc_id % 10 = 0 AND lang = 'en'),
+  l AS (SELECT source AS book, doc_id AS seq, substr({I.sql_key("split_part(text, chr(10), 1)")}, 1, 40) AS w FROM documents),
   fp AS (SELECT l.book, l.seq, l.w, coalesce(min(k.page) FILTER (contains(k.nk, l.w) AND l.w <> ''), 0) AS page FROM l
     JOIN k ON k.book = l.book GROUP BY 1, 2, 3)
   SELECT fp.book, fp.seq, CAST(k.page_off + CASE WHEN w <> '' AND strpos(nk, w) > 0 THEN CAST(floor((strpos(nk, w) - 1)::DOUBLE
       / greatest(1, length(nk)) * length(text)) AS BIGINT) ELSE 0 END AS BIGINT) AS off
     FROM fp JOIN k ON k.book = fp.book AND k.page = fp.page""")
 def profile_markers(spark, sf):
-    """Listed markers without a page: each is looked up by its title."""
-    docs = I.table(spark, sf, "documents").filter(
-        (F.substring("source", 4, 9).cast("int") % 2 == 0) & (F.col("doc_id") % 10 == 0) & (F.col("lang") == "en"))
+    """Listed markers without a page: each document's first line is looked up as a title."""
+    docs = I.table(spark, sf, "documents")
     listed = docs.groupBy(F.col("source").alias("book")).agg(F.array_sort(F.collect_list(
-        F.struct("doc_id", F.struct(F.lit(1).alias("level"), F.col("text").alias("title"),
+        F.struct("doc_id", F.struct(F.lit(1).alias("level"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
                                     F.lit(None).cast("int").alias("page")).alias("m")))).alias("x"))
     prof = listed.select("book", F.struct(F.lit("correct").alias("toc"), F.transform(
         "x", lambda v: v["m"]).alias("markers"), F.lit(None).cast("string").alias("heading_pattern")).alias("structure"))
@@ -363,17 +360,17 @@ def section_bounds(spark, sf):
     return structure.section_bounds(d, structure.book_lengths(pages)).select("book", "title", "start", "end")
 
 
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 11 WHEN 1 THEN 18 WHEN 2 THEN 16 WHEN 3 THEN 24 ELSE 0 END::INTEGER AS cut
-  FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 11 WHEN 1 THEN 18 WHEN 2 THEN 16 WHEN 3 THEN 22 ELSE 0 END::INTEGER AS cut
+  FROM documents""")
 def heading_cut(spark, sf):
     """Labels put in front of each text are cut again, and nothing else."""
     m, body = F.col("doc_id") % 5, F.concat(F.lit("x"), "text")
     text = (F.when(m == 0, F.concat(F.lit("CHAPTER 1\n\n"), body)).when(m == 1, F.concat(F.lit("ONE\n\nA Fine Title\n"), body))
              .when(m == 2, F.concat(F.lit("The Third Word: "), body))
-             .when(m == 3, F.concat(F.lit("CONNECTORS , AND SALESM n the "), body)).otherwise(body))
+             .when(m == 3, F.concat(F.lit("FERRIES , AND HARBOUR n the "), body)).otherwise(body))
     title = F.when(m == 2, "The Third Word").when(m == 3, "Connected People").otherwise("A Fine Title")
     pats = F.array(F.lit("^CHAPTER [0-9]+$"), F.lit("^(ONE|TWO)$"))
-    return I.table(spark, sf, "documents").filter("lang = 'en'").select(
+    return I.table(spark, sf, "documents").select(
         "doc_id", structure.heading_cut(text, title, pats).alias("cut"))
 
 

@@ -182,9 +182,9 @@ def chunk_sentences(spark, sf):
 
 # ---- scalar functions ------------------------------------------------------------------------
 
-@query(f"""SELECT doc_id, {I.sql_key('substr(text, 1, 200)')} AS k FROM documents""")
+@query(f"""SELECT doc_id, {I.sql_key('text')} AS k FROM documents""")
 def match_keys(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", T.match_key(F.substring("text", 1, 200)).alias("k"))
+    return I.table(spark, sf, "documents").select("doc_id", T.match_key("text").alias("k"))
 
 
 @query(f"""SELECT p_partkey, CASE WHEN regexp_replace(substr(trim(regexp_replace(lower(p_name || ' ' || p_type || ' & ' || p_brand || ' ' || p_name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 24), '-+$', '') = ''
@@ -215,7 +215,7 @@ def letter_spacing(spark, sf):
 @query("""WITH x AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r, lower(tag) AS lk, tag, pos FROM
     (SELECT doc_id, trim(regexp_replace(trim(t), '^#+', '')) AS tag, pos FROM
       (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM
-        (SELECT doc_id, string_split_regex(replace(substr(text, 1, 400), ' ', ',#'), '[,\\n]+') AS l FROM documents))) WHERE tag <> ''),
+        (SELECT doc_id, string_split_regex(replace(text, ' ', ',#'), '[,\\n]+') AS l FROM documents))) WHERE tag <> ''),
   y AS (SELECT doc_id, substr(tag, 1, 40) AS tag, pos, lower(substr(tag, 1, 40)) AS lk FROM x),
   z AS (SELECT doc_id, lk, arg_min(tag, pos) AS tag, min(pos) AS pos FROM y GROUP BY doc_id, lk),
   w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM z)
@@ -223,8 +223,8 @@ def letter_spacing(spark, sf):
     string_agg('#' || coalesce(nullif(regexp_replace(regexp_replace(tag, '\\s+', '-', 'g'), '[^0-9A-Za-z_/\\-]', '', 'g'), ''), 'tag'), ' ' ORDER BY pos) AS inline_tags
   FROM w WHERE r <= 20 GROUP BY doc_id""")
 def tags(spark, sf):
-    """Tags from the first words of a document: a string split at commas, '#' stripped."""
-    raw = F.replace(F.substring("text", 1, 400), F.lit(" "), F.lit(",#"))
+    """Tags from the words of a document: a string split at commas, '#' stripped."""
+    raw = F.replace(F.col("text"), F.lit(" "), F.lit(",#"))
     d = I.table(spark, sf, "documents").withColumn("t", T.norm_tags(T.split_tags(raw)))
     return d.filter(F.size("t") > 0).select("doc_id", F.array_join("t", "|").alias("tags"),
                                             T.inline_tags(F.col("t")).alias("inline_tags"))
@@ -246,11 +246,11 @@ def quoting(spark, sf):
         T.truncate(s, 12).alias("cut"))
 
 
-@query("""SELECT page_id, replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml,
+@query("""SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml,
   replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html FROM pages""")
 def escaping(spark, sf):
     return I.table(spark, sf, "pages").select(
-        "page_id", T.escape_markup(F.substring("html", 1, 400), "xml").alias("xml"),
+        "page_id", T.escape_markup("html", "xml").alias("xml"),
         T.escape_markup("html", "html").alias("html"))
 
 
@@ -262,15 +262,16 @@ def urls(spark, sf):
     return I.table(spark, sf, "pages").select("page_id", T.normalize_url(u).alias("url"))
 
 
-@query("""SELECT doc_id, replace(regexp_replace(regexp_replace(text, '\\bthe\\b', 'THEE', 'gi'), '([\\pL\\pN_])ou([^\\pL\\pN_]|$)', '\\1-ou-\\2', 'g'), 'and of', '$1 \\ und')
-  AS text FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '(^|[^\\pL\\pN_])the([^\\pL\\pN_]|$)', '\\1THEE\\2', 'gi'), '(^|[^\\pL\\pN_])the([^\\pL\\pN_]|$)', '\\1THEE\\2', 'gi'), '([\\pL\\pN_])ou([^\\pL\\pN_]|$)', '\\1-ou-\\2', 'g'), 'and of', '$1 \\ und')
+  AS text FROM documents""")
 def pronunciation(spark, sf):
     rules = T.compile_rules([
         {"from": "the", "to": "THEE"},
         {"from": r"(\w)ou\b", "to": r"\1-ou-", "regex": True, "ignore_case": False},
         {"from": "and of", "to": "$1 \\ und", "ignore_case": False, "whole_word": False},
         {"from": "(", "to": "x", "regex": True}])
-    d = I.table(spark, sf, "documents").filter("lang = 'en'")
+    d = I.table(spark, sf, "documents")
     return d.select("doc_id", T.apply_rules("text", rules).alias("text"))
 
 

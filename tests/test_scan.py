@@ -123,3 +123,22 @@ def test_substring_join(spark):
     nd = spark.createDataFrame([(n,) for n in dict.fromkeys(needles)], "q string")
     got = {(r.id, r.q) for r in substring_join(it, nd, "x", "q", ["id"]).collect()}
     assert got == {(i, q) for i, t in enumerate(texts) for q in needles if q and q in t}
+
+
+@pytest.mark.parametrize("n", [1, 256, 257, 5000])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_substring_join_of_any_number_of_needles(spark, n, keyed, monkeypatch):
+    from bookflow.operators import lookup
+    monkeypatch.setattr(lookup, "NEEDLE_CHARS", 20_000)
+    monkeypatch.setattr(lookup, "TEXT_CHARS", 4_000)
+    r = random.Random(n)
+    texts = [("hot" if i % 3 else f"k{i % 5}", i, " ".join(f"w{r.randrange(3000)}" for _ in range(r.randrange(0, 60)))) for i in range(150)]
+    needles = [("hot" if i % 2 else "k0", f"w{i} " if i % 4 else f"w{i} w{(i * 7) % 3000}") for i in range(n)]
+    it = spark.createDataFrame([*texts, ("none", 999, "w1 w2"), ("k0", 1000, None)], "k string, id int, x string")
+    nd = spark.createDataFrame(needles, "k string, q string")
+    if keyed:
+        got = {(x.id, x.q) for x in substring_join(it, nd, "x", "q", ["id"], ["k"]).collect()}
+        assert got == {(i, q) for k, i, t in texts for kk, q in needles if k == kk and q in t}
+    else:
+        got = {(x.id, x.q) for x in substring_join(it, nd.select("q"), "x", "q", ["id"]).collect()}
+        assert got == {(i, q) for _, i, t in [*texts, (0, 999, "w1 w2")] for _, q in needles if q in t}

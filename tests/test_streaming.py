@@ -130,3 +130,13 @@ def test_job_state_stream(spark, tmp_path):
     q.awaitTermination()
     r = spark.table("jobs").first()
     assert (r.stage, r.message, r.percent, r.book_id, r.chapters_ready, r.chapters_total) == ("model", "", 55, "b", 1, 3)
+
+
+def test_a_late_row_does_not_replace_a_newer_position(spark, tmp_path):
+    base = 1_700_000_000_000
+    row = lambda at, seq: ("u0", "b0", "d0", 0, 0.0, 0, 0.0, base + at, seq)
+    rows = [row(1000, 1), row(500, 2), *_close(base + 1000)]
+    schema = spark.createDataFrame(rows[:1], COLS).schema
+    s = _stream(spark, tmp_path, rows, schema, batches=5)
+    got = _run(progress.debounce_stream(s.drop("user"), late="60 seconds"), tmp_path).filter("seq < 10000")
+    assert [(r.seq, r.flushed - base) for r in got.collect()] == [(1, 2500)]
