@@ -10,6 +10,7 @@ get another attempt until there are none.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,21 +36,33 @@ SYLLABLES = {"latin": "ba be bri da del do el fa fer ga gil ha hel ja jo ka ken
 ENDINGS = {"latin": {"m": "ard ian us ert", "f": "ina elle etta ia", "n": "in is ey ar", "surname": "berg ford sen well mont ley"},
            "cyrillic": {"m": "ад ор ий ен", "f": "ина ета ия елла", "n": "ан ис", "surname": "енко ский ук чак"}}
 
+
+
+def _by_initial(words: str, first: str) -> str:
+    """An alternation of the words that begin within a range, tried by their first letter only."""
+    own = [w for w in words.split() if re.match(f"[{first}]", w)]
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in own if w[0] == c)})" for c in sorted({w[0] for w in own}))
+
+
+SCRIPTS = [(r, *(_by_initial(" ".join(x.values()), r) for x in (TITLES, GIVEN))) for r in ("A-Z", "А-Я")]
 NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
 KINDS = {          # in this order
-    "secret": r"(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|passphrase|token|secret|api[_\-]?key|access[_\-]?key|auth)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)"
-              r"[A-Za-z0-9_\-+/.!#$%&*]{6,200}|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9\-]{20,80})(?![A-Za-z0-9])",
+    "secret": r"(?=[pPtTsSaA])(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|passphrase|token|secret|api[_\-]?key|access[_\-]?key|auth)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)"
+              r"[A-Za-z0-9_\-+/.!#$%&*]{6,200}|(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9\-]{20,80})(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "card": r"(?<![\d.+\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|3\d{3}[ \-]\d{6}[ \-]\d{5})(?![\d\-])",
-    "phone": r"(?<![\d\p{L}])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
-             r"|(?<![\d\p{L}])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\p{L}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "name": r"(?<![\p{L}\p{N}])(?:(?:%s)\.? (?:%s )?%s|(?:%s) %s)(?![\p{L}\p{N}])" % (
-        "|".join(" ".join(TITLES.values()).split()), NAME, NAME, "|".join(" ".join(GIVEN.values()).split()), NAME),
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "card": r"(?=\d)(?<![\d.+\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|3\d{3}[ \-]\d{6}[ \-]\d{5})(?![\d\-])",
+    "phone": r"(?=\+)(?<![\d\p{L}])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
+             r"|(?=\()(?<![\d\p{L}])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?=\d)(?<![\d\p{L}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
+    "ssn": r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "name": "|".join(rf"(?=[{capitals}])(?<![\p{{L}}\p{{N}}])(?:(?:{titles})\.? (?:(?:{given}) )?{NAME}|(?:{given}) {NAME})(?![\p{{L}}\p{{N}}])"
+                     for capitals, titles, given in SCRIPTS),
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: No text without one of these has an entity: nearly every position of a text is passed by one look at its character.
+SIGNS, MARKS = "[0-9=:@]", ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+NAMED = "|".join(rf"(?=[{capitals}])(?<![\p{{L}}\p{{N}}])(?:{titles}|{given})\.? " for capitals, titles, given in SCRIPTS)
 SECRET_LEAD = r"^(?i:(?:password|passwd|pwd|passphrase|token|secret|api[_\-]?key|access[_\-]?key|auth)[ \t]*[=:][ \t]*[\"']?)"
 TITLE_LEAD = r"^(?:%s)\.? " % "|".join(" ".join(TITLES.values()).split())
 
@@ -60,7 +73,9 @@ def _lit(p: str) -> Column:
 
 def found(text: Column) -> Column:
     """All entities of a text, in order."""
-    return F.coalesce(F.regexp_extract_all(text, _lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    may = reduce(lambda c, m: c | F.contains(text, F.lit(m)), MARKS, F.regexp_like(text, _lit(SIGNS))) | F.regexp_like(text, _lit(NAMED))
+    none = F.array().cast("array<string>")
+    return F.when(may, F.coalesce(F.regexp_extract_all(text, _lit(PATTERN), F.lit(0)), none)).otherwise(none)
 
 
 def kind_of(e: Column) -> Column:
