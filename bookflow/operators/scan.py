@@ -136,29 +136,88 @@ def next_value(df: DataFrame, by: Sequence[str], order: Sequence, block: Column,
 Step = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _run_table(step: Step, inputs: np.ndarray, states: int) -> np.ndarray:
-    """Exit state for every possible entry state."""
-    table = np.arange(states, dtype=np.int32)
-    distinct, back = table, table
-    for k, x in enumerate(inputs):
-        distinct = step(distinct, x)
-        if k % 32 == 31 and len(distinct) > 1:      # entries that have met stay together
-            uniq, inv = np.unique(distinct, return_inverse=True)
-            if len(uniq) < len(distinct):
-                distinct, back = uniq, inv[back]
-    return distinct[back].astype(np.int32)
+class Stepwise:
+    """Any fold, given as ``step(states, row)``, which maps an array of states by one row of inputs."""
+
+    def __init__(self, step: Step, states: int):
+        self.step, self.count = step, states
+
+    def table(self, inputs: np.ndarray) -> np.ndarray:
+        """Exit state for every possible entry state."""
+        distinct = back = np.arange(self.count, dtype=np.int32)
+        for k, x in enumerate(inputs):
+            distinct = self.step(distinct, x)
+            if k % 32 == 31 and len(distinct) > 1:      # entries that have met stay together
+                uniq, inv = np.unique(distinct, return_inverse=True)
+                if len(uniq) < len(distinct):
+                    distinct, back = uniq, inv[back]
+        return distinct[back].astype(np.int32)
+
+    def states(self, inputs: np.ndarray, entry: int) -> np.ndarray:
+        """State before each row."""
+        cur, out = np.array([entry]), []
+        for x in inputs:
+            out.append(int(cur[0]))
+            cur = self.step(cur, x)
+        return np.asarray(out, dtype=np.int32)
+
+
+class ResetSum:
+    """A sum that starts again at 0 after the row with which it reaches ``limit`` (or whose second input is 1).
+
+    The entry state only decides the first such row; from there on the way is the same for all. So a block of
+    n rows costs a few searches in its prefix sums, whatever the number of states. Amounts aren't negative.
+    """
+
+    def __init__(self, limit: int, states: int):
+        self.limit, self.count = limit, states
+
+    def _closes(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums before the rows (and of all), the next forced row, the next close after each close (n: none)."""
+        n = len(inputs)
+        total = np.concatenate([[0], np.cumsum(inputs[:, 0].astype(np.int64))])
+        forced = np.full(n + 1, n)
+        if inputs.shape[1] > 1:
+            at = np.where(inputs[:, 1] == 1, np.arange(n), n)
+            forced[:n] = np.minimum.accumulate(at[::-1])[::-1]
+        following = np.minimum(np.searchsorted(total[1:], total[1:] + self.limit), forced[1:])
+        return total, forced, following
+
+    def _first(self, total: np.ndarray, forced: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(total[1:], self.limit - entry), forced[0])
+
+    def table(self, inputs: np.ndarray) -> np.ndarray:
+        total, forced, following = self._closes(inputs)
+        n, entry = len(inputs), np.arange(self.count)
+        last = np.where(following < n, following, np.arange(n))
+        while (last[last] != last).any():
+            last = last[last]
+        first = self._first(total, forced, entry)
+        after = total[n] - total[last[np.minimum(first, n - 1)] + 1]
+        return np.where(first < n, after, entry + total[n]).astype(np.int32)
+
+    def states(self, inputs: np.ndarray, entry: int) -> np.ndarray:
+        total, forced, following = self._closes(inputs)
+        n, closes, at = len(inputs), [], int(self._first(total, forced, np.array([entry]))[0])
+        while at < n:
+            closes.append(at)
+            at = int(following[at])
+        before = np.searchsorted(closes, np.arange(n)) - 1       # the last close above each row
+        base = np.concatenate([total[np.array(closes, dtype=np.int64) + 1], [-entry]])
+        return (total[:n] - base[before]).astype(np.int32)
 
 
 def finite_state(df: DataFrame, by: Sequence[str], order: Sequence[str], block: Column,
-                 inputs: Sequence[str], states: int, step: Step, start: int = 0,
+                 inputs: Sequence[str], states: int, step: Step | ResetSum, start: int = 0,
                  name: str = "state", fan: int = 1024) -> DataFrame:
     """Add the state before each row of a sequential fold whose state is an int below ``states``.
 
     A fold that resets itself (sections of 1400 words, markers 400 characters apart) is not a
     prefix sum.  But each block is a function from entry state to exit state, and functions
     compose: tables per block, tables per ``fan`` blocks, then entry states on the way down.
-    ``step(states, row)`` maps an array of states by one row of inputs.
+    ``step`` is a function as in ``Stepwise``, or a ``ResetSum``, which costs no more than its rows.
     """
+    fold = step if isinstance(step, ResetSum) else Stepwise(step, states)
     src = df.withColumn(BLK, block.cast("long")).withColumn("_sup", F.col(BLK) - F.pmod(BLK, F.lit(fan)))
     in_schema = src.schema
     key_fields = [in_schema[b] for b in by]
@@ -176,11 +235,9 @@ def finite_state(df: DataFrame, by: Sequence[str], order: Sequence[str], block:
 
     def block_table(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(ordr, kind="stable")[ins].to_numpy()
-        return pd.DataFrame({**head(pdf, [*by, "_sup", BLK]), "_tab": [_run_table(step, x, states)]})
+        return pd.DataFrame({**head(pdf, [*by, "_sup", BLK]), "_tab": [fold.table(x)]})
 
-    # A fixed number of partitions: few bytes but much work per row, so sizes must not decide.
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = src.select(*by, "_sup", BLK, *dict.fromkeys([*ordr, *ins])).repartition(n_parts, *by, BLK)
+    slim = src.select(*by, "_sup", BLK, *dict.fromkeys([*ordr, *ins]))
     # Needed on the way up and on the way down: written once, one short table per block.
     tables = stage(slim.groupBy(*by, "_sup", BLK).applyInPandas(block_table, fields(sup_f, blk_f, tab_f)),
                    "fold_tables")
@@ -209,13 +266,9 @@ def finite_state(df: DataFrame, by: Sequence[str], order: Sequence[str], block:
 
     def states_of_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ordr, kind="stable")
-        cur, out = np.array([pdf["_entry"].iloc[0]]), []
-        for x in pdf[ins].to_numpy():
-            out.append(int(cur[0]))
-            cur = step(cur, x)
-        return pdf.drop(columns=["_entry"]).assign(**{name: np.asarray(out, dtype=np.int32)})
+        return pdf.drop(columns=["_entry"]).assign(**{name: fold.states(pdf[ins].to_numpy(), int(pdf["_entry"].iloc[0]))})
 
-    joined = src.join(blk_entry.drop("_sup"), [*by, BLK]).repartition(n_parts, *by, BLK)
+    joined = src.join(blk_entry.drop("_sup"), [*by, BLK])
     out_schema = T.StructType([f for f in joined.drop("_entry").schema]
                               + [T.StructField(name, T.IntegerType())])
     return joined.groupBy(*by, BLK).applyInPandas(states_of_rows, out_schema).drop(BLK, "_sup")

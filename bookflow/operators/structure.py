@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -134,12 +133,8 @@ def thin_markers(markers: DataFrame, gap: int) -> DataFrame:
     d = d.withColumn("_d", F.least(F.lit(gap), F.coalesce(F.col("off") - F.col("_prev"), F.lit(gap))
                                    ).cast("int")).drop("_prev")
 
-    def step(s: np.ndarray, row: np.ndarray) -> np.ndarray:
-        far = np.minimum(s + row[0], gap)
-        return np.where(far >= gap, 0, far)
-
     d = scan.finite_state(d, ["book"], ["off", "seq"], F.floor(F.col("off") / OFFSET_CELL), ["_d"],
-                          gap + 1, step, start=gap, name="_s")
+                          gap + 1, scan.ResetSum(gap, gap + 1), start=gap, name="_s")
     return d.filter(F.col("_s") + F.col("_d") >= gap).drop("_s", "_d")
 
 
@@ -274,11 +269,7 @@ def fixed_sections(sentences: DataFrame, words: int = SECTION_WORDS) -> DataFram
     """
     blk = F.floor(F.col("page") / 512)
 
-    def step(s: np.ndarray, row: np.ndarray) -> np.ndarray:
-        t = s + row[0]
-        return np.where(t >= words, 0, t)
-
-    d = scan.finite_state(sentences, ["book"], ["page", "k"], blk, ["w"], words, step, name="_s")
+    d = scan.finite_state(sentences, ["book"], ["page", "k"], blk, ["w"], words, scan.ResetSum(words, words), name="_s")
     d = stage(d.withColumn("closes", F.col("_s") + F.col("w") >= words), "section_ends")
     return scan.prefix_sum(d, ["book"], ["page", "k"], blk,
                            section=F.col("closes").cast("long")).drop("_s")

@@ -88,11 +88,8 @@ def throttle(ticks: DataFrame, every_ms: int = TICK_MS) -> DataFrame:
         "_d": F.least(F.lit(every_ms), F.coalesce(F.col("ms") - F.col("_pm"), F.lit(every_ms))).cast("int"),
         "_c": (F.col("_pm").isNull() | ~F.col("si").eqNullSafe(F.col("_psi"))).cast("int")})
 
-    def step(s: np.ndarray, row: np.ndarray) -> np.ndarray:
-        since = np.minimum(s + row[0], every_ms)
-        return np.where((since >= every_ms) | (row[1] == 1), 0, since)
-
-    d = scan.finite_state(d, ["session"], ["ms", "seq"], blk, ["_d", "_c"], every_ms + 1, step,
+    d = scan.finite_state(d, ["session"], ["ms", "seq"], blk, ["_d", "_c"], every_ms + 1,
+                          scan.ResetSum(every_ms, every_ms + 1),
                           start=every_ms, name="_s")
     return d.filter((F.col("_s") + F.col("_d") >= every_ms) | (F.col("_c") == 1)).drop(
         "_pm", "_psi", "_d", "_c", "_s")

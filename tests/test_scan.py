@@ -142,3 +142,18 @@ def test_substring_join_of_any_number_of_needles(spark, n, keyed, monkeypatch):
     else:
         got = {(x.id, x.q) for x in substring_join(it, nd.select("q"), "x", "q", ["id"]).collect()}
         assert got == {(i, q) for _, i, t in [*texts, (0, 999, "w1 w2")] for _, q in needles if q in t}
+
+
+def test_reset_sum_is_the_fold(spark):
+    r = np.random.default_rng(4)
+    for limit, states, forced in ((20, 20, False), (20, 21, True), (1, 1, False), (300, 301, True)):
+        def step(s, row):
+            t = s + row[0]
+            return np.where((t >= limit) | (len(row) > 1 and row[1] == 1), 0, np.minimum(t, limit))
+        for n in (1, 2, 50, 400):
+            x = r.integers(0, 9, (n, 1))
+            x = np.concatenate([x, r.random((n, 1)) < 0.05], axis=1).astype(int) if forced else x
+            plain, quick = scan.Stepwise(step, states), scan.ResetSum(limit, states)
+            assert plain.table(x).tolist() == quick.table(x).tolist()
+            for e in {0, states - 1, states // 2}:
+                assert plain.states(x, e).tolist() == quick.states(x, e).tolist()
