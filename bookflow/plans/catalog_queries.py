@@ -249,9 +249,12 @@ def outline(spark, sf):
     return C.outline(chapters(spark, sf), _topics(spark, sf)).drop("level")
 
 
-@query(f"""WITH {BASE}, {TOPICS} SELECT book, ch, count(*) AS n FROM (SELECT book, ch FROM o UNION ALL SELECT book, ch FROM tpc WHERE time IS NOT NULL) GROUP BY 1, 2""")
+@query(f"""WITH {BASE}, {TOPICS} SELECT book, ch, 0 AS kind, 0 AS pos, title, coalesce(status, 'ready') = 'ready' AS enabled,
+    CASE WHEN coalesce(status, 'ready') = 'ready' THEN duration END AS time FROM o
+  UNION ALL SELECT t.book, t.ch, 1, pos, t.title, coalesce(status, 'ready') = 'ready', t.time
+    FROM tpc t JOIN o ON o.book = t.book AND o.ch = t.ch WHERE t.time IS NOT NULL""")
 def outline_phone(spark, sf):
-    return C.outline(chapters(spark, sf), _topics(spark, sf), timed_only=True).groupBy("book", "ch").agg(F.count("*").alias("n"))
+    return C.outline(chapters(spark, sf), _topics(spark, sf), timed_only=True).drop("level")
 
 
 @query(f"""WITH {SUMMARY}, jb AS (SELECT 'c' || (event_id % 300) AS id, max(event_id) AS e FROM events GROUP BY 1),

@@ -111,17 +111,18 @@ def line_geometry(spark, sf):
     return clean.line_geometry(I.raw_pages(spark, sf))
 
 
-@query("""SELECT l_orderkey::VARCHAR AS book, l_linenumber::BIGINT AS page, count(*) AS n_lines
+@query("""SELECT l_orderkey::VARCHAR AS book, l_linenumber::BIGINT AS page, string_agg(l_linestatus, '' ORDER BY l_partkey, l_linestatus) AS text,
+    round(max(l_quantity), 1) AS size, bool_or(l_returnflag = 'R') AS bold, least(1000, greatest(0, trunc(min(l_tax) * 1000)))::INTEGER AS y
   FROM lineitem GROUP BY 1, 2""")
 def merge_spans(spark, sf):
     """Order lines as text spans: the merged line per (order, line number)."""
     li = I.table(spark, sf, "lineitem")
     spans = li.select(F.col("l_orderkey").cast("string").alias("book"),
                       F.col("l_linenumber").cast("long").alias("page"), F.lit(0).alias("line"),
-                      F.monotonically_increasing_id().alias("span"), F.col("l_quantity").alias("size"),
-                      F.col("l_returnflag").alias("font"), F.col("l_tax").alias("y0"),
+                      F.col("l_partkey").alias("span"), F.col("l_quantity").alias("size"),
+                      F.when(F.col("l_returnflag") == "R", "Serif-Bold").otherwise("Serif").alias("font"), F.col("l_tax").alias("y0"),
                       F.lit(1.0).alias("height"), F.col("l_linestatus").alias("text"))
-    return clean.merge_spans(spans).select("book", "page", F.length("text").cast("long").alias("n_lines"))
+    return clean.merge_spans(spans).select("book", "page", "text", "size", "bold", "y")
 
 
 # ---- HTML ------------------------------------------------------------------------------------
@@ -276,9 +277,9 @@ def pronunciation(spark, sf):
 
 
 @query(f"""WITH {I.TURN_SENT} SELECT book, ch, k::INTEGER AS k,
-  len(list_filter(string_split_regex(regexp_replace(lower(t), '[^a-z'' ]+', ' ', 'g'), ' +'), lambda w: w <> ''))::INTEGER AS n FROM sen""")
+  array_to_string(list_filter(string_split_regex(regexp_replace(lower(t), '[^a-z'' ]+', ' ', 'g'), ' +'), lambda w: w <> ''), '|') AS words FROM sen""")
 def aligner_words(spark, sf):
-    return I.turn_sentences(spark, sf).select("book", "ch", "k", F.size(T.norm_words("t")).alias("n"))
+    return I.turn_sentences(spark, sf).select("book", "ch", "k", F.array_join(T.norm_words("t"), "|").alias("words"))
 
 
 @query("""SELECT o_orderkey, format('ch{:04d}', o_orderkey % 12000) AS chapter_id,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bookflow.functions import text as T
@@ -10,7 +12,7 @@ from bookflow.operators.lookup import asof_grid
 from bookflow.plans import inputs as I
 from bookflow.plans.structure_queries import BOUNDS, SLICES, chapters, corpus
 from bookflow.plans.text_queries import _ts
-from bookflow.settings import stage
+from bookflow.settings import stage, work_dir
 
 QUERIES, SQL = {}, {}
 
@@ -238,6 +240,23 @@ def transcript(spark, sf):
     return export.to_transcript(turn_books(spark, sf), turn_chapters(spark, sf), turn_timeline(spark, sf))
 
 
+@query(f"""WITH {CUES}, s AS (SELECT tl.*, sum(p::INTEGER) OVER (PARTITION BY tl.book, tl.ch ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS para
+    FROM tl JOIN sh USING (book, ch)),
+  pa AS (SELECT book, ch, coalesce(para, 0) AS para, string_agg(t, ' ' ORDER BY i) AS x FROM s GROUP BY 1, 2, 3),
+  b AS (SELECT DISTINCT conv_id::VARCHAR AS book FROM conversations),
+  parts AS (SELECT book, -1::BIGINT AS ch, 0 AS kind, 0::BIGINT AS part, 'Talk: ' || book || CASE WHEN book::INTEGER % 2 = 0 THEN chr(10) || 'by A. "N" Other' ELSE '' END AS text FROM b
+    UNION ALL SELECT book, ch, 0, 0, chr(10) || chr(10) || chr(10) || '## Turn ' || (ch + 1) FROM sh
+    UNION ALL SELECT book, ch, 1, 0, chr(10) || chr(10) || string_agg(x, chr(10) ORDER BY para) FROM pa GROUP BY 1, 2
+    UNION ALL SELECT book, 4611686018427387904, 2, 0, chr(10) FROM b)
+  SELECT book, line, count(*) AS n FROM (SELECT book, unnest(string_split(text, chr(10))) AS line FROM parts) GROUP BY book, line""")
+def transcript_files(spark, sf):
+    """Transcripts written as text files, a folder per book, and read back line by line."""
+    path = f"{work_dir(spark)}/transcripts-{uuid.uuid4().hex}"
+    export.write_parts(transcript(spark, sf), path)
+    lines = spark.read.schema("value string, book string").text(path)
+    return lines.groupBy("book", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {CUES}, b AS (SELECT DISTINCT conv_id::VARCHAR AS book FROM conversations),
   x AS (SELECT book, -1::BIGINT AS ch, 0 AS kind, 0::BIGINT AS part, 1 AS n FROM b UNION ALL SELECT book, 4611686018427387904, 9, 0, 0 FROM b
     UNION ALL SELECT book, ch, unnest([0, 2, 4]), 0, unnest([1, 0, 0]) FROM chp
