@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from bookflow.functions import text as T
-from bookflow.operators import export, segment, structure, timeline as TL
+from bookflow.operators import chapters as CH, export, segment, structure, timeline as TL
 from bookflow.operators.lookup import asof_grid
-from bookflow.plans import inputs as I
+from bookflow.plans import inputs as I, structure_queries as SQ
 from bookflow.plans.structure_queries import BOUNDS, SLICES, chapters, corpus
 from bookflow.plans.text_queries import _ts
 from bookflow.settings import stage, work_dir
@@ -277,3 +277,16 @@ def _manifest_inputs(spark, sf):
     topics = tl.filter("i % 4 = 0").withColumn("pos", F.floor(F.col("i") / 4)).select(
         "book", "ch", "pos", F.substring("t", 1, 9).alias("title"), F.lit(2).alias("level"), F.lit(None).cast("double").alias("time"))
     return tl, books, ch, topics
+
+
+@query()
+def chapter_pipeline(spark, sf):
+    """Headings of the corpus to chapters and their sentence times; books of even sources skip the chapters of one page range."""
+    pages = corpus(spark, sf)
+    marks = stage(SQ.markers(spark, sf, pages), "markers")
+    profiles = pages.select("book").distinct().where(F.substring("book", 4, 9).cast("int") % 2 == 0).select("book", F.struct(
+        F.array(F.lit("no such title")).alias("titles"), F.array(F.array(F.lit(3), F.lit(5))).alias("page_ranges")).alias("skip_sections"))
+    rules = T.compile_rules([{"from": "the", "to": "the the"}])
+    chapters, tl = CH.chapter_pipeline(pages, marks, profiles, ["^[A-Za-z]+[.]$"], rules)
+    return tl.join(chapters.select("book", "ch", "title", "start"), ["book", "ch"]).select(
+        "book", "ch", "title", "start", "page", "k", "t", "cs", "ce", "s", "e")

@@ -122,7 +122,8 @@ class _Debounce(StatefulProcessor):
         out, due = [], (self.due.get()[0] if self.due.exists() else None)
         if due is not None:
             self.handle.deleteTimer(due)
-        for r in (r for chunk in rows for r in chunk.sort_values(["updated", "seq"]).itertuples()):
+        # A key's rows of one micro-batch, in order: the source's maxFilesPerTrigger bounds them.
+        for r in pd.concat(list(rows)).sort_values(["updated", "seq"]).itertuples():
             if due is not None and r.updated > due:
                 out += self._flush(key[0], due)
             # A late row neither replaces a newer position nor turns the timer back.

@@ -322,3 +322,26 @@ def test_new_notes_have_ids_of_their_own(spark):
     n = spark.createDataFrame([("b", 3)], "book string, n int")
     got = notes.create_notes(raw, n, F.current_timestamp())
     assert got.select("id").distinct().count() == 4
+
+
+def test_chapter_pipeline(spark):
+    from bookflow.operators import chapters
+    texts = ["Preface words only here. More of them.", "CHAPTER 1\n\nThe Ferry\n\nThe boat was late. Nobody minded the rain.",
+             "It came at noon.", "CHAPTER 2\n\n", "Notes\n\nA list of names.", "CHAPTER 3\n\nThe end came soon."]
+    pages = structure.page_offsets(spark.createDataFrame([("b", i, t) for i, t in enumerate(texts)], "book string, page long, text string"))
+    off = [sum(len(t) + 2 for t in texts[:i]) for i in range(len(texts))]
+    marks = spark.createDataFrame([("b", 1, 1, "The Ferry", 1, off[1]), ("b", 2, 1, "Chapter 2", 3, off[3]), ("b", 3, 1, "Notes", 4, off[4]),
+                                   ("b", 4, 1, "Chapter 3", 5, off[5])], "book string, seq long, level int, title string, page long, off long")
+    prof = spark.createDataFrame([("b", (["notes"], None))], "book string, skip_sections struct<titles:array<string>,page_ranges:array<array<int>>>")
+    rules = T.compile_rules([{"from": "late", "to": "late late late late late late"}])
+    ch, tl = chapters.chapter_pipeline(pages, marks, prof, ["^CHAPTER [0-9]+$"], rules)
+    lead = len("CHAPTER 1\n\nThe Ferry\n\n")
+    assert [(r.ch, r.title, r.start) for r in ch.orderBy("ch").collect()] == [
+        (0, "The Ferry", off[1] + lead), (1, "Chapter 3", off[5] + len("CHAPTER 3\n\n"))]
+    got = tl.orderBy("ch", "i").collect()
+    assert [(r.ch, r.t) for r in got] == [(0, "The boat was late."), (0, "Nobody minded the rain."), (0, "It came at noon."), (1, "The end came soon.")]
+    whole = "\n\n".join(texts)
+    start = {r.ch: r.start for r in ch.collect()}
+    assert all(whole[start[r.ch] + r.cs:start[r.ch] + r.ce] == r.t for r in got)
+    plain = chapters.chapter_pipeline(pages, marks, prof, ["^CHAPTER [0-9]+$"])[1].orderBy("ch", "i").collect()
+    assert got[0].e > plain[0].e and [r.t for r in got] == [r.t for r in plain]
