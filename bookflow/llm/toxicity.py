@@ -1,8 +1,9 @@
 """Toxicity: gradient-boosted trees over a few dense features of the whole text, calibrated by isotonic regression.
 
-Labelled rows fall into three parts by a hash of their text: one gives the lexicon (words and word beginnings that toxic
-texts have far more often), one the trees, one the calibration. So neither trees nor calibration see densities of a
-lexicon taken from the same rows.
+The lexicon (words and word beginnings that toxic texts have far more often) is learned from labelled rows. These fall
+into three parts by a hash of their text; the features of each part are taken under the lexicon of the other two, so
+neither the trees (parts 0 and 1) nor the calibration (part 2) see densities of a lexicon taken from the same
+rows. Documents are scored under the lexicon of all parts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from bookflow.settings import stage
 SAMPLE = 4000
 TREES, DEPTH = 20, 3
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.02, 3.0   # a lexicon term: toxic texts that have it, log odds
+PARTS = (0, 1, 2)
 BEGINNINGS = (4, 5, 6, 7, 8)                         # characters
 NEAR, SPAN = 5, 50                                   # words
 THRESHOLD = 0.7
@@ -60,24 +62,35 @@ def terms_of(token: str) -> tuple[list[str], bool]:
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        term, toxic = [], []
-        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        term, at = [], []
+        for k, t in enumerate(b.column(0).to_pylist()):
             own = {x for w in set(TOKEN.findall(t)) for x in terms_of(w)[0]}
             term += own
-            toxic += [y] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(toxic, pa.int32())], ["term", "toxic"])
+            at += [k] * len(own)
+        kept = b.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), kept.column(1), kept.column(2)], ["term", "toxic", "part"])
 
 
-def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Log odds of the terms that tell toxic texts (columns text, toxic); their number is bounded by the least share."""
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
-    counts = rows.select("text", "toxic").mapInArrow(_document_terms, "term string, toxic int").groupBy("term").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * bad))
-    return {r["term"]: r["odds"] for r in counts.where(F.col("bad") >= least).withColumn("odds", odds)
-            .where(F.col("odds") >= LEAST_ODDS - (0.7 if bad < 100 else 0)).select("term", "odds").collect()}
+ALL = -1
+
+
+def lexicons(rows: DataFrame) -> dict[int, dict[str, float]]:
+    """Log odds of the terms that tell toxic texts (columns text, toxic, part): for each part those of the other parts, under
+    ALL those of all. The terms are counted once; their number is bounded by the least share."""
+    n = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
+    counts = rows.select("text", "toxic", "part").mapInArrow(_document_terms, "term string, toxic int, part int").groupBy("term").agg(
+        *[F.count_if((F.col("part") == p) & (F.col("toxic") == y)).alias(f"n{p}{y}") for p in PARTS for y in (0, 1)])
+    told = {}
+    for out in (ALL, *PARTS):
+        parts = [p for p in PARTS if p != out]
+        bad, good = (sum(n.get((p, y), 0) for p in parts) for y in (1, 0))
+        has, lacks = (sum(F.col(f"n{p}{y}") for p in parts) for y in (1, 0))
+        odds = F.log((has + 0.5) / (bad + 1)) - F.log((lacks + 0.5) / (good + 1))
+        least = LEAST_ODDS - (0.7 if bad < 100 else 0)
+        told[out] = F.when((has >= max(LEAST_DOCS, math.ceil(LEAST_SHARE * bad))) & (odds >= least), odds)
+    kept = counts.select("term", *[c.alias(f"o{k}") for k, c in enumerate(told.values())]).where(
+        " OR ".join(f"o{k} IS NOT NULL" for k in range(len(told)))).collect()
+    return {out: {r["term"]: r[f"o{k}"] for r in kept if r[f"o{k}"] is not None} for k, out in enumerate(told)}
 
 
 class Extractor:
@@ -128,17 +141,17 @@ class Extractor:
 _MARKS = {ord(c): None for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"}
 
 
-def features(docs: DataFrame, terms: dict[str, float], text: str, keep: list[str], out: str) -> DataFrame:
-    """``keep`` and ``out`` (array<double>), in one narrow pass."""
-    src = free_name(docs, "_text")[0]
-    rows = docs.select(docs[text].alias(src), *[docs[c] for c in keep])
+def features(docs: DataFrame, terms: dict[int, dict[str, float]], text: str, keep: list[str], out: str, part: Column) -> DataFrame:
+    """``keep`` and ``out`` (array<double>), each row under the lexicon of its ``part``, in one narrow pass."""
+    src, which = free_name(docs, "_text", "_part")
+    rows = docs.select(docs[text].alias(src), part.alias(which), *[docs[c] for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extractor = Extractor(terms)
+        extractors = {k: Extractor(t) for k, t in terms.items()}
         for b in batches:
-            x = [extractor.row(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(x, pa.list_(pa.float64()))], [*b.schema.names[1:], out])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(src).schema), f"`{out}` array<double>"])
+            x = [extractors[p].row(t) for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(x, pa.list_(pa.float64()))], [*b.schema.names[2:], out])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(src, which).schema), f"`{out}` array<double>"])
     return rows.mapInArrow(run, schema)
 
 
@@ -174,16 +187,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], sam
         doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """Learn from the labelled rows whose id is ``usable`` (a function from the id's column name to a condition)."""
     data = stage(labelled_sample(docs, labels, usable, sample, doc_id, text, toxic), "toxicity-sample")
-    terms = lexicon(data.where("part = 0"))
-    rows = stage(features(data.where("part > 0"), terms, "text", ["toxic", "part"], "x"), "toxicity-features").select(
+    lexica = lexicons(data)
+    terms = lexica[ALL]
+    rows = stage(features(data, lexica, "text", ["toxic", "part"], "x", F.col("part")), "toxicity-features").select(
         F.col("toxic").cast("double").alias("label"), "part", array_to_vector("x").alias("features"))
     n = {(r["part"], r["label"]): r["n"] for r in rows.groupBy("part", "label").agg(F.count("*").alias("n")).collect()}
     total = sum(n.values())
     prior = sum(v for (_, y), v in n.items() if y) / total if total else 0.0
-    if not all(n.get((1, y)) for y in (0.0, 1.0)):
+    if not all(n.get((0, y), 0) + n.get((1, y), 0) for y in (0.0, 1.0)):
         return Model(terms, None, None, prior)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=2, seed=1).fit(
-        rows.where("part = 1").coalesce(2))
+        rows.where("part < 2").coalesce(2))
     held = n.get((2, 0.0), 0) and n.get((2, 1.0), 0)
     calibration = None
     if held:
@@ -206,7 +220,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score
     if model.trees is None:
         out = docs.select(*kept).withColumn(score, F.lit(model.prior))
     else:
-        rows = features(docs, model.terms, text, kept, x).withColumn(v, array_to_vector(x)).drop(x)
+        rows = features(docs, {ALL: model.terms}, text, kept, x, F.lit(ALL)).withColumn(v, array_to_vector(x)).drop(x)
         trees = model.trees.copy().setFeaturesCol(v).setRawPredictionCol(raw).setProbabilityCol(p).setPredictionCol(y)
         out = trees.transform(rows).withColumn(raw_p, vector_to_array(p)[1]).drop(v, raw, p, y)
         if model.calibration is not None:
