@@ -222,7 +222,7 @@ def occurrences(text, needle) -> Column:
 
 # ---- pronunciation --------------------------------------------------------------------------
 
-def _java_valid(pattern: str) -> bool:
+def compiles(pattern: str) -> bool:
     spark = SparkSession.getActiveSession()
     try:
         spark._jvm.java.util.regex.Pattern.compile(pattern)
@@ -257,7 +257,7 @@ def compile_rules(rules: Sequence[dict]) -> list[tuple[str, str]]:
                            + (r"(?!\w)" if re.search(r"\w\Z", frm) else ""))
             pattern = "(?U)" + flags + pattern
             repl = to.replace("\\", "\\\\").replace("$", r"\$")
-        if _java_valid(pattern):
+        if compiles(pattern):
             out.append((pattern, repl))
     return out
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.functions.text import apply_rules
+from bookflow.functions.text import apply_rules, compiles
 from bookflow.functions.times import est_samples
 from bookflow.operators import segment, structure, timeline
 from bookflow.settings import stage
@@ -21,8 +21,9 @@ def chapter_pipeline(pages: DataFrame, markers: DataFrame, profiles: DataFrame |
     numbered anew; sentences keep their text, while durations come from the spoken form (compiled pronunciation ``rules``).
 
     ``pages(book, page, page_off, text)`` are cleaned; ``markers(book, seq, level, title, page, off)``. A label that runs over the
-    end of a page is cut up to there.
+    end of a page is cut up to there. Patterns that don't compile are passed over.
     """
+    patterns = [p for p in patterns if compiles(p)]
     bounds = structure.number_chapters(structure.chapter_bounds(markers, structure.book_lengths(pages)))
     if profiles is not None:
         bounds = structure.number_chapters(structure.skip_sections(bounds.drop("ch"), profiles))

@@ -27,8 +27,10 @@ def page_offsets(pages: DataFrame) -> DataFrame:
 
 
 def book_lengths(pages: DataFrame) -> DataFrame:
+    """Characters and pages of a book; with ``page_off`` also ``text_end``, where its last page that isn't blank ends."""
+    end = F.max(F.when(strip("text") != "", F.col("page_off") + F.length(F.rtrim("text")))).cast("long")
     return pages.groupBy("book").agg((F.sum(F.length("text") + 2) - 2).cast("long").alias("book_len"),
-                                     F.count("*").alias("n_pages"))
+                                     F.count("*").alias("n_pages"), *([end.alias("text_end")] if "page_off" in pages.columns else []))
 
 
 def page_of_offset(probes: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -279,7 +281,8 @@ def section_bounds(sectioned: DataFrame, lengths: DataFrame) -> DataFrame:
     """Chapters from ``fixed_sections``: text between the ends of closing sentences.
 
     ``sectioned`` carries absolute ``start``/``end`` offsets.  The tail after the last close is
-    a section of its own; a book without sentences becomes one "Full Text" chapter.
+    a section of its own, also if it is text without a sentence (where ``lengths`` has ``text_end``); a book without
+    sentences becomes one "Full Text" chapter.
     """
     g = sectioned.groupBy("book", "section").agg(
         F.min("start").alias("_first"), F.max("end").alias("_last"), F.bool_or("closes").alias("_closed"))
@@ -291,6 +294,11 @@ def section_bounds(sectioned: DataFrame, lengths: DataFrame) -> DataFrame:
         F.concat(F.lit("Section "), (F.col("section") + 1).cast("string")).alias("title"),
         F.coalesce("_prev", "_first").alias("start"),
         F.when(F.col("_closed"), F.col("_last")).otherwise(F.col("book_len")).alias("end"))
+    if "text_end" in lengths.columns:
+        last = g.groupBy("book").agg(F.max_by(F.struct("section", "_last", "_closed"), "section").alias("z")).join(lengths, "book")
+        d = d.unionByName(last.filter(F.col("z._closed") & (F.col("z._last") < F.col("text_end"))).select(
+            "book", (F.col("z.section") + 1).alias("seq"), F.concat(F.lit("Section "), (F.col("z.section") + 2).cast("string")).alias("title"),
+            F.col("z._last").alias("start"), F.col("book_len").alias("end")))
     full = lengths.join(g.select("book").distinct(), "book", "left_anti").select(
         "book", F.lit(0).alias("seq"), F.lit("Full Text").alias("title"), F.lit(0).alias("start"),
         F.col("book_len").alias("end"))

@@ -53,6 +53,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 _own: list[str] = []
+_staged: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -80,4 +81,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what ``stage`` has written in this process; call it once the results are written."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -345,3 +345,23 @@ def test_chapter_pipeline(spark):
     assert all(whole[start[r.ch] + r.cs:start[r.ch] + r.ce] == r.t for r in got)
     plain = chapters.chapter_pipeline(pages, marks, prof, ["^CHAPTER [0-9]+$"])[1].orderBy("ch", "i").collect()
     assert got[0].e > plain[0].e and [r.t for r in got] == [r.t for r in plain]
+
+
+def test_text_after_the_last_section_is_one(spark):
+    pages = structure.page_offsets(spark.createDataFrame([("b", 0, "a b c.\n\n..."), ("c", 0, "a b c.  ")], "book string, page long, text string"))
+    sents = spark.createDataFrame([(k, 0, 0, 3, 0, 6) for k in "bc"], "book string, page long, k int, w int, start long, end long")
+    d = structure.fixed_sections(sents, 3)
+    got = structure.section_bounds(d, structure.book_lengths(pages)).orderBy("book", "start").collect()
+    assert [(r.book, r.title, r.start, r.end) for r in got] == [("b", "Section 1", 0, 6), ("b", "Section 2", 6, 11), ("c", "Section 1", 0, 6)]
+
+
+def test_staged_folders_go(spark):
+    import os
+    from bookflow import settings
+    d = settings.stage(spark.range(3), "gone")
+    path = settings._staged[-1].removeprefix("file:")
+    assert d.count() == 3 and os.path.isdir(path)
+    keep, settings._staged[:] = settings._staged[:-1], settings._staged[-1:]
+    settings.drop_staged(spark)
+    settings._staged[:] = keep
+    assert not os.path.exists(path)
