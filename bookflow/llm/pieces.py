@@ -19,7 +19,7 @@ from bookflow.llm.common import piece_hashes, ragged, worker_state
 #: Code points that are worked on at once; longer texts are cut where a piece ends in any case.
 CHUNK = 1 << 20
 #: Distinct pieces a worker remembers; beyond it starts afresh, which costs time, not results.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # The contractions of the splitting pattern, and Unicode's white space.
@@ -77,7 +77,7 @@ class PieceCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)    # hashes in order, and where their ids are
         self.check = np.zeros(1024, np.uint64)
         self.off = np.zeros(1024, np.int64)
         self.len = np.zeros(1024, np.int64)
@@ -93,19 +93,23 @@ class PieceCache:
         lengths = np.diff(np.append(starts, len(codes)))
         key, check = piece_hashes(codes, starts, lengths, 1), piece_hashes(codes, starts, lengths, 2)
         distinct, at, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > REMEMBERED:
+        if len(self.keys) + len(distinct) > REMEMBERED:
             self._clear()
-        slot, new = self.slot, []
-        slots = np.fromiter((slot.get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(slots < 0)
+        place = np.searchsorted(self.keys, distinct)
+        found = np.zeros(len(distinct), bool)
+        inside = place < len(self.keys)
+        found[inside] = self.keys[place[inside]] == distinct[inside]
+        slots = np.full(len(distinct), -1)
+        slots[found] = self.slots[place[found]]
+        new = np.flatnonzero(~found)
         if len(new):
             s, e = starts[at[new]].tolist(), (starts[at[new]] + lengths[at[new]]).tolist()
             got = self.encode([text[a:b] for a, b in zip(s, e, strict=True)])
             many = np.fromiter(map(len, got), np.int64, len(got))
-            base = len(slot)
-            slots[new] = np.arange(base, base + len(new))
-            slot.update(zip(distinct[new].tolist(), range(base, base + len(new)), strict=True))
-            self.check, self.off, self.len = (self._room(a, len(slot)) for a in (self.check, self.off, self.len))
+            slots[new] = np.arange(len(self.keys), len(self.keys) + len(new))
+            self.keys = np.insert(self.keys, place[new], distinct[new])
+            self.slots = np.insert(self.slots, place[new], slots[new])
+            self.check, self.off, self.len = (self._room(a, len(self.keys)) for a in (self.check, self.off, self.len))
             self.check[slots[new]] = check[at[new]]
             self.len[slots[new]] = many
             self.off[slots[new]] = self.used + np.cumsum(many) - many
