@@ -22,7 +22,7 @@ from bookflow.llm.common import free_name, ragged, worker_state
 from bookflow.llm.pieces import PieceCache, encode_texts, specials
 
 #: Pair tests a worker remembers; beyond it starts afresh, which costs time, not results.
-PAIRS = 250_000
+PAIRS = 150_000
 
 
 def byte_symbols() -> dict[str, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 
@@ -37,6 +38,12 @@ def worker_state(name: str, make):
     return getattr(holder, name)
 
 
+def forget_worker_state() -> None:
+    """Give the memory of other operators' caches back before a stage that doesn't use them."""
+    if sys.modules.pop("_bookflow_worker_state", None) is not None:
+        gc.collect()
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` doesn't have yet (whatever the case of its own)."""
     taken = {c.lower() for c in df.columns}

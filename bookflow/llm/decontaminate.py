@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import free_name, piece_hashes, ragged
+from bookflow.llm.common import forget_worker_state, free_name, piece_hashes, ragged
 
 WINDOW = 13            # words of a phrase
 PERCENT = 20           # contaminated: at least one word in so many is hit
-SHARD_BYTES = 8 << 20  # text under one index; a longer document has one to itself
+SHARD_BYTES = 2 << 20  # text under one index; a longer document has one to itself
 PHRASE_BYTES = 4 << 20  # benchmark text that is searched in one pass over the documents
 SAMPLE = 32            # every so many positions of a run keep their place
 
@@ -240,6 +240,7 @@ def _shards(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Rec
 def _search_pass(phrases: Phrases, text: str, hits: str, items: str, first: bool) -> Callable:
     """Adds what these phrases hit to ``hits`` (i32 pairs: first and one past the last word) and ``items``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker_state()
         names = None
         for batch, texts in _shards(batches, 0):
             names = names or batch.schema.names

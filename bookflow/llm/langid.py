@@ -13,13 +13,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import free_name
+from bookflow.llm.common import forget_worker_state, free_name
 from bookflow.settings import stage
 
 #: About so many labelled rows of each language are learned from, chosen by a hash of their text.
 SAMPLE = 800
 FEATURES = 2048          # hashed byte n-grams of 1, 2 and 3
-CHUNK = 1 << 20          # bytes whose n-grams are counted at once
+CHUNK = 1 << 18          # bytes whose n-grams are counted at once
 STEEPNESS = 4.0          # of the curve from an SVM's margin to a score
 ROUNDS, PENALTY = 30, 1e-4
 
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
 
 def _identify_batches(model: Model, lang_pred: str, score: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker_state()
         for b in batches:
             texts = b.column(0).to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)

@@ -17,9 +17,9 @@ import numpy as np
 from bookflow.llm.common import piece_hashes, ragged, worker_state
 
 #: Code points that are worked on at once; longer texts are cut where a piece ends in any case.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Distinct pieces a worker remembers; beyond it starts afresh, which costs time, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # The contractions of the splitting pattern, and Unicode's white space.

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bookflow.llm.common import forget_worker_state
 from bookflow.settings import stage
 
 WORDS, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -53,6 +54,7 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and its 64-bit fingerprint ``fp`` (as a signed long) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker_state()
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
