@@ -47,9 +47,10 @@ def _by_initial(words: str, first: str) -> str:
 SCRIPTS = [(r, *(_by_initial(" ".join(x.values()), r) for x in (TITLES, GIVEN))) for r in ("A-Z", "А-Я")]
 NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
 KINDS = {          # in this order
-    "secret": r"(?=[pPtTsSaA])(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|passphrase|token|secret|api[_\-]?key|access[_\-]?key|auth)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)"
-              r"[A-Za-z0-9_\-+/.!#$%&*]{6,200}|(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9\-]{20,80})(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}",
+    "secret": r"(?=[pPtTsSaA])(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|passphrase|token|secret|api[_\-]?key|access[_\-]?key|auth)[ \t]*+[=:][ \t]*+[\"']?)"
+              r"[A-Za-z0-9_\-+/.!#$%&*]{6,}+|(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9_]{20,}+|sk-[A-Za-z0-9_\-]{20,}+)(?![A-Za-z0-9])",
+    # A host has at most 127 labels (253 characters).
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.){1,127}[A-Za-z]{2,}+",
     "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?=\d)(?<![\d.+\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|3\d{3}[ \-]\d{6}[ \-]\d{5})(?![\d\-])",
@@ -128,15 +129,20 @@ def _number(stream: Column, i: Column, below: Column | int) -> Column:
 
 def _respell(text: Column, stream: Column, kept: Column, hexadecimal: Column) -> Column:
     """Every digit and letter after the first ``kept`` characters replaced by one of its class."""
-    def pick(letters: str, i: Column) -> Column:
-        return F.substring(F.lit(letters), _number(stream, i, len(letters)) + 1, F.lit(1))
-
-    def one(c: Column, i: Column) -> Column:
-        return (F.when(i < kept, c).when(c == "0", pick("0123456789", i)).when(c.between("1", "9"), pick("123456789", i))
-                .when(hexadecimal & c.between("a", "f"), pick("abcdef", i))
-                .when(c.between("a", "z"), pick("abcdefghijklmnopqrstuvwxyz", i))
-                .when(c.between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).otherwise(c))
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+    def spell(v: Column) -> Column:
+        def pick(letters: str, i: Column) -> Column:
+            return F.substring(F.lit(letters), _number(v["stream"], i, len(letters)) + 1, F.lit(1))
+
+        def one(c: Column, i: Column) -> Column:
+            return (F.when(i < v["kept"], c).when(c == "0", pick("0123456789", i)).when(c.between("1", "9"), pick("123456789", i))
+                    .when(v["hexadecimal"] & c.between("a", "f"), pick("abcdef", i))
+                    .when(c.between("a", "z"), pick("abcdefghijklmnopqrstuvwxyz", i))
+                    .when(c.between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).otherwise(c))
+        return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+
+    # One element: these are computed once, not for every character of a long value.
+    once = F.array(F.struct(stream.alias("stream"), kept.alias("kept"), hexadecimal.alias("hexadecimal")))
+    return F.element_at(F.transform(once, spell), 1)
 
 
 def _luhn(digits: Column) -> Column:

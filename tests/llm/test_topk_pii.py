@@ -75,6 +75,33 @@ def test_format_and_type(spark):
     assert all(other[k] != got[k] for k in got)
 
 
+def test_long_values_are_replaced_whole(spark):
+    """No length leaves a rest: secrets, keys and addresses end where their characters end."""
+    prepare(spark)
+    r = random.Random(9)
+    run = lambda n, more="": "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789" + more) for _ in range(n))
+    head = "eyJ" + run(397)
+    texts = {0: f"token={head + run(600)}", 1: f"token={head + run(600)}", 2: "ghp_" + run(160), 3: "sk-proj-" + run(80) + "_" + run(80), 4: f"reply+{run(84)}@mail.example.com",
+             5: "jo@" + ".".join(run(5) for _ in range(12)) + ".example.com", 6: "password" + " " * 9 + "= " + run(30), 7: f"jo@{run(70)}.example.com"}
+    df = spark.createDataFrame([(k, f"see {t} , then") for k, t in texts.items()], "doc_id int, text string")
+    got = {x["doc_id"]: x for x in pii.replace_entities(df, "key").collect()}
+    assert {x["n_entities"] for x in got.values()} == {1}
+    for k, t in texts.items():
+        new = got[k]["text"]
+        assert new.startswith("see ") and new.endswith(" , then")
+        # Of a value's characters no eight in a row stay, its end neither.
+        value = re.sub(r"^(token=|password += |ghp_|sk-proj-)|\.?example\.com$", "", t)
+        assert not [i for i in range(len(value) - 7) if value[i:i + 8] in new], k
+    assert got[0]["text"] != got[1]["text"] and len(got[0]["text"]) == len(f"see {texts[0]} , then")
+    assert [re.fullmatch(r"see (\S+)@\S+\.example\.org , then", got[k]["text"]) is not None for k in (4, 5, 7)] == [True] * 3
+
+
+def test_a_very_long_value_is_no_square(spark):
+    df = spark.createDataFrame([("token=" + "aB3" * 100_000,)], "text string")
+    new = pii.replace_entities(df, "key").first()["text"]
+    assert len(new) == 300_006 and "aB3aB3" not in new
+
+
 def test_names(spark):
     texts = ["Mrs. Anna Smith met Mr. Smith.", "John Smith wrote to Mary SMITH", "Госпожа Анна Иванова и Сергей Иванова", "The mat. Anna is out."]
     rows = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "key").collect()
