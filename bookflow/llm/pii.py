@@ -2,9 +2,10 @@
 
 Entities (e-mail addresses, telephone, card, account and social security numbers, IP addresses, credentials, names of
 persons) are found by one pattern. Each distinct entity of the corpus gets a keyed surrogate of its own kind: digits stay digits,
-letters keep their case and script, separators stay, card numbers keep their check digit's validity, given
-names their gender and script. Names are replaced word by word, so "Mrs. Anna Smith" and "Mrs. Smith" keep their common
-surname. Two entities never share a surrogate, and no surrogate is an entity of the corpus: collisions
+letters keep their case and script, separators stay, card numbers keep their check digit's validity, listed given
+names their gender and script. A name is the whole run of capitalised words after a title or listed given name: the last is the
+surname, unless it is a listed given name alone ("Mrs. Anna"), the others are given names. Names are replaced word by word, so
+"Mrs. Anna Smith" and "Mrs. Smith" keep their common surname. Two entities never share a surrogate, and no surrogate is an entity of the corpus: collisions
 get another attempt until there are none.
 """
 
@@ -45,7 +46,8 @@ def _by_initial(words: str, first: str) -> str:
 
 
 SCRIPTS = [(r, *(_by_initial(" ".join(x.values()), r) for x in (TITLES, GIVEN))) for r in ("A-Z", "А-Я")]
-NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
+# A word of a name; a title before another word begins a name of its own.
+NAME = r"(?!(?:%s)\.? \p{Lu})\p{Lu}[\p{L}'’\-]++(?!\p{N})" % "|".join(_by_initial(" ".join(TITLES.values()), r) for r in ("A-Z", "А-Я"))
 KINDS = {          # in this order
     "secret": r"(?=[pPtTsSaA])(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|passphrase|token|secret|api[_\-]?key|access[_\-]?key|auth)[ \t]*+[=:][ \t]*+[\"']?)"
               r"[A-Za-z0-9_\-+/.!#$%&*]{6,}+|(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9_]{20,}+|sk-[A-Za-z0-9_\-]{20,}+)(?![A-Za-z0-9])",
@@ -57,7 +59,7 @@ KINDS = {          # in this order
     "phone": r"(?=\+)(?<![\d\p{L}])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
              r"|(?=\()(?<![\d\p{L}])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?=\d)(?<![\d\p{L}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "ssn": r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "name": "|".join(rf"(?=[{capitals}])(?<![\p{{L}}\p{{N}}])(?:(?:{titles})\.? (?:(?:{given}) )?{NAME}|(?:{given}) {NAME})(?![\p{{L}}\p{{N}}])"
+    "name": "|".join(rf"(?=[{capitals}])(?<![\p{{L}}\p{{N}}])(?:(?:{titles})\.?|{given})(?: {NAME})++"
                      for capitals, titles, given in SCRIPTS),
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -93,14 +95,13 @@ def _any_of(e: Column, words: str) -> Column:
 def atoms(e: Column) -> Column:
     """What of an entity is replaced as a whole: array of (kind, canon, part): the kind, the form that all
     spellings of one entity share, and the text that is replaced."""
-    title = F.regexp_replace(F.regexp_extract(e, TITLE_LEAD, 0), r"\.? $", "")
-    gender = reduce(lambda c, g: F.when(_any_of(title, TITLES[g]), F.lit(g)).otherwise(c), "mf", F.lit("n"))
     words = F.split(F.regexp_replace(e, TITLE_LEAD, ""), " ")
 
     def name(w: Column, i: Column) -> Column:
         script = F.when(F.regexp_like(w, F.lit(r"^\p{IsCyrillic}")), F.lit("cyrillic")).otherwise(F.lit("latin"))
-        own = reduce(lambda c, g: F.when(_any_of(w, GIVEN[g]), F.lit(g)).otherwise(c), "mf", gender)
-        surname = (i == F.size(words) - 1)
+        # Not by the title: a given name that isn't listed has one surrogate with and without.
+        own = reduce(lambda c, g: F.when(_any_of(w, GIVEN[g]), F.lit(g)).otherwise(c), "mf", F.lit("n"))
+        surname = (i == F.size(words) - 1) & ((F.size(words) > 1) | (own == "n"))
         return F.struct(F.concat_ws("-", F.when(surname, F.lit("surname")).otherwise(F.concat(F.lit("given-"), own)), script).alias("kind"),
                         F.lower(w).alias("canon"), w.alias("part"))
 

@@ -115,6 +115,24 @@ def test_names(spark):
     assert d == texts[3]
 
 
+def test_whole_names(spark):
+    """Every word of a name is replaced, and a person has one surrogate in all mentions."""
+    texts = ["Dr. Xavier Woods and Mr. Xavier Woods", "Anna Maria Schmidt saw Mrs. Schmidt", "Mrs. Mary Ann Smith met Mrs. Anna and Anna Smith.", "Prof. Dr. Ilka Weber",
+             "Peter Jones Mrs. Woods", "Mr. " + "Wolfe" * 12 + " and Anna Smith A1", "Mrs. Thomas"]
+    rows = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "key").collect()
+    new = [r["text"] for r in sorted(rows)]
+    real = "Xavier Woods Anna Maria Schmidt Mary Ann Smith Ilka Weber Peter Jones Wolfe Thomas".split()
+    assert not [w for w in real if re.search(rf"\b{w}", " ".join(new))]
+    a = re.fullmatch(r"Dr\. (\w+) (\w+) and Mr\. (\w+) (\w+)", new[0])
+    assert a.group(1, 2) == a.group(3, 4)
+    b = re.fullmatch(r"(\w+) (\w+) (\w+) saw Mrs\. (\w+)", new[1])
+    assert b[3] == b[4]
+    c = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+) met Mrs\. (\w+) and (\w+) (\w+)\.", new[2])
+    assert c[3] == c[6] and c[4] == c[5] == b[1]
+    assert re.fullmatch(r"Prof\. Dr\. \w+ \w+", new[3]) and re.fullmatch(r"\w+ \w+ Mrs\. " + a[2], new[4])
+    assert re.fullmatch(rf"Mr\. \w+ and {b[1]} {c[3]} A1", new[5])
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """A tiny space forces collisions; further attempts resolve them."""
     monkeypatch.setattr(pii, "SYLLABLES", {k: " ".join(v.split()[:2]) for k, v in pii.SYLLABLES.items()})
