@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bookflow.llm.common import forget_worker_state, free_name
 from bookflow.settings import stage
 
-#: About so many labelled rows of each language are learned from, chosen by a hash of their text.
+#: About so many distinct labelled texts of each language are learned from, chosen by their hash.
 SAMPLE = 800
 FEATURES = 2048          # hashed byte n-grams of 1, 2 and 3
 CHUNK = 1 << 18          # bytes whose n-grams are counted at once
@@ -135,16 +135,17 @@ class Model:
 
 
 def learned_from(docs: DataFrame, text: str, lang: str, labelled: Column, sample: int) -> DataFrame:
-    """lang, x: features of about ``sample`` rows of each language."""
+    """lang, x: features of about ``sample`` distinct texts of each language, all if it has no more. Copies count once."""
     rows = docs.where(labelled & docs[lang].isNotNull() & docs[text].isNotNull()).select(
         docs[lang].cast("string").alias("lang"), docs[text].alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}   # one row a language
+    texts_ = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = {r["lang"]: r["n"] for r in texts_.groupBy("lang").agg(F.count("*").alias("n")).collect()}   # one row a language
     if not counts:
         return rows.sparkSession.createDataFrame([], "lang string, x array<float>")
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / n))).otherwise(share)
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).distinct().sortWithinPartitions("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

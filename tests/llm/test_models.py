@@ -50,6 +50,20 @@ def test_families_and_pairs(spark, languages, odd, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_copies_count_once(spark, languages):
+    """A language of few texts in many copies is learned from all of them, each once."""
+    hashed = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
+    few = languages.where("lang = 'fi'").where(hashed > 0.1).limit(5)
+    copies = few.crossJoin(spark.range(200)).drop("id")
+    low = languages.where("lang = 'en'").orderBy(hashed).limit(1).crossJoin(spark.range(500)).drop("id")
+    docs = languages.where("lang <> 'fi'").unionByName(copies).unionByName(low)
+    got = {r["lang"]: r["count"] for r in langid.learned_from(docs, "text", "lang", F.lit(True), 50).groupBy("lang").count().collect()}
+    assert got["fi"] == 5 and set(got) == {"en", "de", "fr", "es", "it", "fi"} and max(got.values()) <= 60
+    # A share of the rows instead of the texts would have taken none of these.
+    model = langid.fit(docs, F.lit(True), sample=50)
+    assert {r["lang_pred"] for r in langid.identify(few, model).collect()} == {"fi"}
+
+
 def test_parts_of_a_long_text_add_up(monkeypatch):
     texts = ["Ein langer Text, né? " * 300, "", None, "b"]
     whole = langid.features(texts)
