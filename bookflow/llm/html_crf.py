@@ -27,8 +27,10 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
                    "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
                    "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style xmp iframe noembed noframes noscript template svg math".split())    # no text of the page
+RAW = frozenset("script style xmp iframe noembed noframes noscript template".split())    # no text of the page
 PLAIN = frozenset("title textarea".split())       # text without tags inside
+LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+                       "pre ruby s small span strong strike sub sup table tt u ul var".split())
 CLOSES_P = BLOCKS - frozenset("body head html button caption option optgroup tbody td tfoot th thead tr".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}}
@@ -57,6 +59,28 @@ def _words(rest: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _drawings(page: str) -> dict[int, int]:
+    """Of every svg with an end of its own: where its start tag ends, and where it ends. HTML's tags leave an open svg."""
+    found, opened = {}, []               # opened: (name, end of the start tag)
+    for m in TAG.finditer(page):
+        name = (m["name"] or "").lower()
+        if name == "foreignobject" and m["end"]:
+            if opened and opened[-1][0] == name:
+                opened.pop()
+        elif name == "svg" and m["end"]:
+            while opened:
+                last, start = opened.pop()
+                if last == "svg":
+                    found[start] = m.end()
+                    break
+        elif name in ("svg", "foreignobject"):
+            if not m["rest"].rstrip().endswith("/") and (name == "svg" or opened):
+                opened.append((name, m.end()))
+        elif name in LEAVES_SVG and not m["end"] and opened and opened[-1][0] == "svg":
+            opened.clear()
+    return found
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Runs of text between block-level tags in page order; references decoded, white space runs as one space."""
     page = page or ""
@@ -64,6 +88,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     path: list[tuple[str, frozenset[str]]] = []
     buffer: list[tuple[str, bool]] = []
     links = 0
+    drawings: dict[int, int] | None = None
 
     def flush() -> None:
         if buffer:
@@ -102,9 +127,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 flush()
                 close({name})
             continue
+        if name == "svg":
+            drawings = _drawings(page) if drawings is None else drawings
+            at = drawings.get(at, at)            # without an end of its own its text is the page's
+            continue
         if name in RAW or name in PLAIN:
-            if name in ("svg", "math") and m["rest"].rstrip().endswith("/"):
-                continue
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue

@@ -160,6 +160,25 @@ def test_page(field):
     assert got == 'Salt & sea\nThe first paragraph says „much“.\nThe second one has "words" in it &am\nThird.'
 
 
+@pytest.mark.parametrize("inside,want", [
+    ("Where <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds, all is well.", "Where a=2 holds, all is well."),
+    ("Where <math><mi>a</mi> holds, all is well.", "Where a holds, all is well."),
+    ("It <svg><text>no</text></svg>goes on from here.", "It goes on from here."),
+    ("It goes on <svg class=x> from here.", "It goes on from here.")])
+def test_formulas_and_open_drawings(field, inside, want):
+    page = PAGE % f"{inside}<p>The last one is here."
+    assert html_crf.main_text(page, field) == html_crf.main_text(PAGE % f"{want}<p>The last one is here.", field)
+    assert f"{want}\nThe last one is here." in html_crf.main_text(page, field)
+
+
+def test_a_drawing_ends_at_its_own_end():
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts("<p>a <svg><path><p>b<svg><text>no</text></svg><p>c") == ["a", "b", "c"]
+    assert texts("<p>a <svg><svg>x</svg><text>no</text></svg> b<p>c") == ["a b", "c"]
+    assert texts("<p>a <svg><title>t</title><style>s</style><text>lost") == ["a lost"]
+    assert texts("<svg>" * 20_000 + "<p>end") == ["end"]
+
+
 def test_pages_query(spark):
     import re
     got = QUERIES["op6_html_crf"](spark, SF).toPandas().set_index("page_id")
