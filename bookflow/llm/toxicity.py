@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,8 @@ PARTS = (0, 1, 2)
 BEGINNINGS = (4, 5, 6, 7, 8)                         # characters
 NEAR, SPAN = 5, 50                                   # words
 THRESHOLD = 0.7
-REMEMBERED = 400_000                                 # distinct tokens a task remembers; then it starts afresh
+REMEMBERED = 200_000                                 # distinct tokens a task remembers; then it starts afresh
+TERMS = 300_000                                      # distinct terms a task counts before it hands them on
 
 # Second-person words, and characters that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner euch euer ihr sie tu te toi ton "
@@ -61,14 +63,33 @@ def terms_of(token: str) -> tuple[list[str], bool]:
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, toxic, part, n): in how many texts of a class and part a term is; each counted in the task as far as TERMS go.
+
+    No text stands next to its terms: what is held is bounded by TERMS, REMEMBERED and the batch.
+    """
+    known: dict[str, list[str]] = {}
+    counts: Counter = Counter()
+
+    def emit() -> pa.RecordBatch:
+        term, toxic, part = zip(*counts, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(toxic, pa.int32()), pa.array(part, pa.int32()),
+                                           pa.array(counts.values(), pa.int64())], ["term", "toxic", "part", "n"])
     for b in batches:
-        term, at = [], []
-        for k, t in enumerate(b.column(0).to_pylist()):
-            own = {x for w in set(TOKEN.findall(t)) for x in terms_of(w)[0]}
-            term += own
-            at += [k] * len(own)
-        kept = b.take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), kept.column(1), kept.column(2)], ["term", "toxic", "part"])
+        for k, (y, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            own: set[str] = set()
+            for token in set(TOKEN.findall(b.column(0)[k].as_py())):
+                found = known.get(token)
+                if found is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    found = known[token] = terms_of(token)[0]
+                own.update(found)
+            counts.update((x, y, p) for x in own)
+            if len(counts) >= TERMS:
+                yield emit()
+                counts.clear()
+    if counts:
+        yield emit()
 
 
 ALL = -1
@@ -78,8 +99,8 @@ def lexicons(rows: DataFrame) -> dict[int, dict[str, float]]:
     """Log odds of the terms that tell toxic texts (columns text, toxic, part): for each part those of the other parts, under
     ALL those of all. The terms are counted once; their number is bounded by the least share."""
     n = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
-    counts = rows.select("text", "toxic", "part").mapInArrow(_document_terms, "term string, toxic int, part int").groupBy("term").agg(
-        *[F.count_if((F.col("part") == p) & (F.col("toxic") == y)).alias(f"n{p}{y}") for p in PARTS for y in (0, 1)])
+    counts = rows.select("text", "toxic", "part").mapInArrow(_document_terms, "term string, toxic int, part int, n bigint").groupBy("term").agg(
+        *[F.coalesce(F.sum(F.when((F.col("part") == p) & (F.col("toxic") == y), F.col("n"))), F.lit(0)).alias(f"n{p}{y}") for p in PARTS for y in (0, 1)])
     told = {}
     for out in (ALL, *PARTS):
         parts = [p for p in PARTS if p != out]
@@ -149,7 +170,7 @@ def features(docs: DataFrame, terms: dict[int, dict[str, float]], text: str, kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractors = {k: Extractor(t) for k, t in terms.items()}
         for b in batches:
-            x = [extractors[p].row(t) for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            x = [extractors[p].row(t.as_py()) for t, p in zip(b.column(0), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(x, pa.list_(pa.float64()))], [*b.schema.names[2:], out])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(src, which).schema), f"`{out}` array<double>"])
     return rows.mapInArrow(run, schema)
@@ -174,9 +195,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Callable[[str],
     n = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("_toxic") == 1, F.lit(min(1.0, sample / max(1, n.get(1, 0))))).otherwise(
         F.lit(min(1.0, sample / max(1, n.get(0, 0)))))
-    taken = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < share * 1_000_003)
+    # Written, so that the join knows its size.
+    taken = stage(known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < share * 1_000_003), "toxicity-ids")
     rows = docs.select(docs[doc_id].alias("_doc"), docs[text].alias("text")).join(
-        F.broadcast(taken), F.col("_doc") == F.col("_id")).where("text IS NOT NULL")
+        taken, F.col("_doc") == F.col("_id")).where("text IS NOT NULL")
     # Exact copies are one case: a copied text must not make a lexicon of its own words.
     return rows.groupBy("text").agg(F.max("_toxic").alias("toxic")).withColumn(
         "part", F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(5)).cast("int")).withColumn(

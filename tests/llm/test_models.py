@@ -1,8 +1,12 @@
 """Language ID, toxicity and page extraction: held-out accuracy and odd rows."""
 
+import collections
+import math
 import os
 import random
+import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +104,94 @@ def test_features_see_the_text():
     assert x.row(None) == x.row("") and not any(x.row(None))
 
 
+def test_terms_of_long_texts_need_no_copies(spark):
+    """512 labelled texts of 100 kB in one batch: what is held depends on the terms alone."""
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    words = [f"w{k:05d}x" for k in range(30_000)]
+    texts = [" ".join(rng.choice(words, 12_500)) for _ in range(512)]
+    assert min(map(len, texts)) > 95_000
+    b = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 2 for k in range(512)], pa.int32()), pa.array([k % 3 for k in range(512)], pa.int32())],
+                                   ["text", "toxic", "part"])
+    n, most = collections.Counter(), 0
+    for out in toxicity._document_terms(iter([b])):
+        most = max(most, out.nbytes)
+        for r in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            n[r[:3]] += r[3]
+    assert most < 32 << 20
+    for k in range(3):
+        held = sum(words[k] in set(t.split()) for t in texts[4::6])
+        assert n[(f"={toxicity.terms_of(words[k])[0][0][1:]}", 0, 1)] >= held
+
+
+def plain_features(text, terms):
+    """The features again, word by word."""
+    tokens = (text or "").split()
+    flat = []
+    for t in tokens:
+        own, hidden = toxicity.terms_of(t)
+        best = max((x for x in own if x in terms), key=lambda x: terms[x], default="")
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", t)
+        flat.append((best, hidden, core.lower() in toxicity.SECOND_PERSON, len(core) > 1 and core.isupper()))
+    n, chars, text = max(1, len(tokens)), max(1, len(text or "")), text or ""
+    at = [k for k, f in enumerate(flat) if f[0]]
+    person = [k for k, f in enumerate(flat) if f[2]]
+    near = [min((abs(k - p) for p in person), default=99) <= toxicity.NEAR for k in at]
+    return [math.log1p(len(at)), math.log1p(len({flat[k][0] for k in at})), len(at) / n, max((sum(k <= j < k + toxicity.SPAN for j in at) for k in at), default=0) / toxicity.SPAN,
+            max((terms[flat[k][0]] for k in at), default=0.0), len(person) / n, sum(near) / max(1, len(near)), sum(c.isupper() for c in text) / chars,
+            sum(f[3] for f in flat) / n, text.count("!") / n, text.count("?") / n, sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in text) / chars,
+            sum(text.count(m) for m in ("!!", "??", "?!")) / n, sum(f[1] for f in flat) / n, sum(f[1] and bool(f[0]) for f in flat) / n, math.log1p(len(tokens))]
+
+
+def test_scores_against_plain_versions(spark):
+    """Features word by word, every tree walked by its text form, the calibration by pooling neighbours."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, lambda c: F.crc32(F.col(c).cast("string")) % 3 != 1)
+    some = [r["text"] for r in docs.where("doc_id % 7 = 3").collect()] + ["", "YOU id1ot!! you @re what?! " + " ".join(list(model.terms)[:3]).replace("=", "").replace("^", "")]
+    made = toxicity.Extractor(model.terms)
+    for t in some:
+        assert np.allclose(made.row(t), plain_features(t, model.terms), atol=1e-12)
+
+    def walk(lines, x, depth=0):
+        """Follows the printed conditions of one tree."""
+        line = lines.pop(0)
+        if line.strip().startswith("Predict"):
+            return float(line.split(":")[1])
+        m = re.match(r"\s*If \(feature (\d+) <= ([-+.\dE]+)\)", line)
+        left = walk(lines, x)
+        assert lines.pop(0).strip().startswith("Else")
+        right = walk(lines, x)
+        return left if x[int(m[1])] <= float(m[2]) else right
+    trees = [t.toDebugString.splitlines()[1:] for t in model.trees.trees]
+    weights = list(model.trees.treeWeights)
+
+    def raw(x):
+        return 1 / (1 + math.exp(-2 * sum(w * walk(list(t), x) for w, t in zip(weights, trees, strict=True))))
+    bounds, levels = list(model.calibration.boundaries), list(model.calibration.predictions)
+    got = toxicity.score(spark.createDataFrame([(t,) for t in some], "text string"), model).collect()
+    for r in got:
+        p = raw(plain_features(r["text"], model.terms))
+        want = float(np.interp(p, bounds, levels)) * 0.999 + p * 0.001
+        assert abs(r["score"] - min(1, max(0, want))) < 1e-9 and r["predicted"] == (r["score"] >= 0.7)
+    data = toxicity.labelled_sample(docs, labels, lambda c: F.crc32(F.col(c).cast("string")) % 3 != 1, toxicity.SAMPLE, "doc_id", "text", "toxic")
+    rows = data.collect()
+    lexicon = toxicity.lexicons(data)[2]
+    pairs = sorted((raw(plain_features(r["text"], lexicon)), r["toxic"]) for r in rows if r["part"] == 2)
+    pools = []
+    for x in sorted({p for p, _ in pairs}):
+        own = [y for p, y in pairs if abs(p - x) < 1e-15]
+        pools.append([sum(own), len(own), x, x])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            s, n, _, hi = pools.pop()
+            pools[-1][0] += s
+            pools[-1][1] += n
+            pools[-1][3] = hi
+    for s, n, lo, hi in pools:
+        for x in (lo, hi):
+            assert abs(np.interp(x, bounds, levels) - s / n) < 1e-6
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     ids = spark.range(400).select(F.col("id").alias("doc_id"))
     docs = ids.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("you stupid fool number "), "doc_id")).otherwise(
