@@ -1,6 +1,6 @@
 """Surrogates for personal data, by DataFrame functions only.
 
-Entities (e-mail addresses, telephone, card, account and social security numbers, IP addresses, credentials, names of
+Entities (e-mail addresses, telephone, card (bare digits only with a valid check digit), account and social security numbers, IP addresses, credentials, names of
 persons) are found by one pattern. Each distinct entity of the corpus gets a keyed surrogate of its own kind: digits stay digits,
 letters keep their case and script, separators stay, card numbers keep their check digit's validity, listed given
 names their gender and script. A name is the whole run of capitalised words after a title or listed given name: the last is the
@@ -48,9 +48,13 @@ def _by_initial(words: str, first: str) -> str:
 SCRIPTS = [(r, *(_by_initial(" ".join(x.values()), r) for x in (TITLES, GIVEN))) for r in ("A-Z", "А-Я")]
 # A word of a name; a title before another word begins a name of its own.
 NAME = r"(?!(?:%s)\.? \p{Lu})\p{Lu}[\p{L}'’\-]++(?!\p{N})" % "|".join(_by_initial(" ".join(TITLES.values()), r) for r in ("A-Z", "А-Я"))
+PASSWORDS, CREDENTIALS = "password|passwd|pwd|passphrase", r"token|secret|api[_\-]?key|access[_\-]?key|auth"
+LEAD = (rf"(?:{PASSWORDS})[ \t]*+[=:][ \t]*+[\"']?|(?:{CREDENTIALS})[ \t]*+"
+        r"(?:=[ \t]*+[\"']?|:[ \t]*+[\"']|:[ \t]*+(?=[A-Za-z]*+(?:[0-9]|[_\-+/.!#$%&*]++[A-Za-z0-9])))")
 KINDS = {          # in this order
-    "secret": r"(?=[pPtTsSaA])(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|passphrase|token|secret|api[_\-]?key|access[_\-]?key|auth)[ \t]*+[=:][ \t]*+[\"']?)"
-              r"[A-Za-z0-9_\-+/.!#$%&*]{6,}+|(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9_]{20,}+|sk-[A-Za-z0-9_\-]{20,}+)(?![A-Za-z0-9])",
+    # A value of signs alone is masked already; one of letters alone behind a colon may be prose, but for passwords and quotes.
+    "secret": r"(?=[pPtTsSaA])(?i:(?<![\p{L}\p{N}])(?:%s))"
+              r"(?=[_\-+/.!#$%%&*]*+[A-Za-z0-9])[A-Za-z0-9_\-+/.!#$%%&*]{6,}+|(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9_]{20,}+|sk-[A-Za-z0-9_\-]{20,}+)(?![A-Za-z0-9])" % LEAD,
     # A host has at most 127 labels (253 characters).
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.){1,127}[A-Za-z]{2,}+",
     "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -66,10 +70,14 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: No text without one of these has an entity: nearly every position of a text is passed by one look at its character.
 SIGNS, MARKS = "[0-9=:@]", ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 NAMED = "|".join(rf"(?=[{capitals}])(?<![\p{{L}}\p{{N}}])(?:{titles}|{given})\.? " for capitals, titles, given in SCRIPTS)
-SECRET_LEAD = r"^(?i:(?:password|passwd|pwd|passphrase|token|secret|api[_\-]?key|access[_\-]?key|auth)[ \t]*[=:][ \t]*[\"']?)"
+SECRET_LEAD = rf"^(?i:{LEAD})"
 TITLE_LEAD = r"^(?:%s)\.? " % "|".join(" ".join(TITLES.values()).split())
 
 
+#: Rounds of surrogates of an entity's own length, and of all.
+LONGER, ROUNDS = 6, 60
+
+
 def _lit(p: str) -> Column:
     return F.lit(p)
 
@@ -81,6 +89,11 @@ def found(text: Column) -> Column:
     return F.when(may, F.coalesce(F.regexp_extract_all(text, _lit(PATTERN), F.lit(0)), none)).otherwise(none)
 
 
+def is_entity(e: Column) -> Column:
+    """Not: bare digits that are no card number (time stamps, order numbers), which the pattern finds too."""
+    return ~F.regexp_like(e, F.lit(r"^\d{13,19}$")) | (F.pmod(_luhn(e), F.lit(10)) == 0)
+
+
 def kind_of(e: Column) -> Column:
     out = F.lit("name")
     for kind in ("ssn", "phone", "card", "ip", "iban", "email", "secret"):
@@ -161,15 +174,19 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The attempt's surrogate of an entity, in canonical form."""
     s = _stream(key, kind, canon, attempt)
     never, zero = F.lit(False), F.lit(0)
+    # Where a form has no free surrogate left, longer ones begin.
+    extra = F.when(attempt < LONGER, F.lit("")).otherwise(F.array_join(F.transform(
+        F.sequence(F.lit(0), attempt - LONGER + 2), lambda i: _number(s, i + 32, 10).cast("string")), ""))
     spelt = _respell(canon, s, F.when(kind.isin("phone-abroad", "iban"), 2).when(kind == "card", 1)
                      .when((kind == "secret") & F.startswith(canon, F.lit("AKIA")), 4).otherwise(0),
                      (kind == "secret") & F.regexp_like(canon, F.lit("^[0-9a-f]+$")))
+    spelt = F.concat(spelt, extra)
     head = F.substring(spelt, F.lit(1), F.length(spelt) - 1)
     check = F.pmod(10 - F.pmod(_luhn(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     card = F.when(F.pmod(_luhn(canon), F.lit(10)) == 0, F.concat(head, check)).otherwise(spelt)
     local, host = F.split_part(canon, F.lit("@"), F.lit(1)), F.split_part(F.split_part(canon, F.lit("@"), F.lit(2)), F.lit("."), F.lit(1))
     # Reserved names for examples: a surrogate address is nobody's.
-    email = F.concat(_respell(local, s, zero, never), F.lit("@"), _respell(host, F.reverse(s), zero, never), F.lit(".example.org"))
+    email = F.concat(_respell(local, s, zero, never), extra, F.lit("@"), _respell(host, F.reverse(s), zero, never), F.lit(".example.org"))
     ip = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: (_number(s, i, 254) + 1).cast("string")), ".")
 
     def syllables(script: str, ending: str) -> Column:
@@ -192,6 +209,7 @@ def _placed(kind: Column, part: Column, new: Column) -> Column:
     ordinal = lambda i: F.length(F.regexp_replace(F.substring(part, F.lit(1), i + 1), "[^A-Za-z0-9]", ""))
     grouped = F.array_join(F.transform(F.filter(F.split(part, ""), lambda c: c != ""), lambda c, i: F.when(
         F.regexp_like(c, F.lit("[A-Za-z0-9]")), F.substring(new, ordinal(i), F.lit(1))).otherwise(c)), "")
+    grouped = F.concat(grouped, F.substring(new, ordinal(F.length(part)) + 1, F.length(new)))
     named = F.when((F.length(part) > 1) & (F.upper(part) == part), F.upper(new)).otherwise(F.initcap(new))
     return (F.when(kind.startswith("given") | kind.startswith("surname"), named)
             .when(kind.isin("email", "ip", "secret"), new).otherwise(grouped))
@@ -201,11 +219,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, new): distinct surrogates for distinct entities (columns kind, canon).
 
     Every round proposes one for each entity left; of equal proposals the first entity by hash keeps it, unless it is taken
-    or an entity itself. Rounds are written to the shared folder; nearly all entities end in the first.
+    or an entity itself. Rounds are written to the shared folder; nearly all entities end in the first. After LONGER rounds surrogates
+    grow, so that every form ends; if a key and an entity should still not, that is an error after ROUNDS.
     """
     known = stage(entities.select("kind", "canon").distinct(), "entities")
     left, done, attempt = known, None, 0
-    while True:
+    while attempt < ROUNDS:
         first = Window.partitionBy("new").orderBy(F.xxhash64("kind", "canon"), "kind", "canon")
         offered = (left.withColumn("new", surrogate(key, F.col("kind"), F.col("canon"), F.lit(attempt)))
                    .withColumn("place", F.row_number().over(first)))
@@ -222,6 +241,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         if left.isEmpty():
             return done
         attempt += 1
+    raise RuntimeError(f"pii: entities without a surrogate of their own after {ROUNDS} rounds")
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text", n_entities: str = "n_entities") -> DataFrame:
@@ -237,9 +257,11 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", n_entities:
     docs = docs.drop(*[c for c in docs.columns if c.lower() == n_entities.lower()])
     hit, row, list_, pairs_ = free_name(docs, "_hit", "_row", "_atoms", "_pairs")
     marked = docs.withColumn(hit, found(docs[text]))
-    clean = marked.where(F.size(hit) == 0).drop(hit).withColumn(n_entities, F.lit(0))
-    dirty = stage(marked.where(F.size(hit) > 0).withColumn(row, F.monotonically_increasing_id())
-                  .withColumn(list_, F.transform(hit, atoms)), "texts-with-entities")
+    holds = F.exists(hit, is_entity)
+    clean = marked.where(~holds).drop(hit).withColumn(n_entities, F.lit(0))
+    none = F.array().cast("array<struct<kind:string,canon:string,part:string>>")
+    dirty = stage(marked.where(holds).withColumn(row, F.monotonically_increasing_id())
+                  .withColumn(list_, F.transform(hit, lambda e: F.when(is_entity(e), atoms(e)).otherwise(none))), "texts-with-entities")
     each = dirty.select(row, F.explode(F.array_distinct(F.flatten(list_))).alias("a")).select(row, "a.kind", "a.canon", "a.part")
     table = surrogates(each.select("kind", "canon"), key)
     new = each.join(table, ["kind", "canon"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(
@@ -249,11 +271,11 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", n_entities:
         """The entity with its atoms replaced: they end it, before them may stand a title or a credential's name."""
         size = F.aggregate(own, F.lit(-1), lambda n, a: n + F.length(a["part"]) + 1)
         lead = F.substring(e, F.lit(1), F.length(e) - size)
-        return F.concat(lead, F.array_join(F.transform(own, lambda a: F.element_at(F.col(pairs_), F.struct(a["kind"], a["part"]))), " "))
+        return F.when(F.size(own) == 0, e).otherwise(F.concat(lead, F.array_join(F.transform(own, lambda a: F.element_at(F.col(pairs_), F.struct(a["kind"], a["part"]))), " ")))
 
     between = F.split(F.col(text), PATTERN, -1)
     fresh = F.zip_with(F.col(hit), F.col(list_), spelt)
     whole = F.array_join(F.flatten(F.zip_with(between, fresh, lambda b, e: F.array(b, F.coalesce(e, F.lit(""))))), "")
-    mended = (dirty.join(new, row).withColumn(n_entities, F.size(hit)).withColumn(text, whole)
+    mended = (dirty.join(new, row).withColumn(n_entities, F.size(F.filter(hit, is_entity))).withColumn(text, whole)
               .select(*docs.columns, n_entities))
     return clean.unionByName(mended)
