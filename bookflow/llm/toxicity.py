@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import free_name
+from bookflow.llm.common import free_name, worker_state
 from bookflow.settings import stage
 
 #: About so many labelled rows of each class are learned from, chosen by a hash of their id.
@@ -33,25 +34,32 @@ PARTS = (0, 1, 2)
 BEGINNINGS = (4, 5, 6, 7, 8)                         # characters
 NEAR, SPAN = 5, 50                                   # words
 THRESHOLD = 0.7
-REMEMBERED = 200_000                                 # distinct tokens a task remembers; then it starts afresh
+REMEMBERED = 400_000                                 # distinct tokens a task remembers; then it starts afresh
 TERMS = 300_000                                      # distinct terms a task counts before it hands them on
 
 # Second-person words, and characters that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner euch euer ihr sie tu te toi ton "
                           "ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split())
 LEET = str.maketrans("013457@$!|€", "oieastasile")
-TOKEN = re.compile(r"\S+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-HIT, PERSON, CAPITALS, HIDDEN, HIDDEN_HIT = 1, 2, 4, 8, 16
+PLAIN_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+HIT, PERSON, CAPITALS, HIDDEN, HIDDEN_HIT, TERM_BITS = 1, 2, 4, 8, 16, 5
 
 FEATURE_NAMES = ("hits", "terms", "hit_density", "densest", "odds", "person_density", "near_person", "capital_letters",
                  "capital_words", "exclaimed", "questioned", "punctuation", "repeated_marks", "hidden_density",
                  "hidden_hits", "words")
 
 
+def _terms_of_word(w: str) -> list[str]:
+    return [f"={w}", *(f"^{w[:n]}" for n in BEGINNINGS if len(w) > n)]
+
+
 def terms_of(token: str) -> tuple[list[str], bool]:
     """Terms by which a token may be in the lexicon, and whether it hides letters behind signs or digits."""
-    core = EDGE.sub("", token.lower())
+    core = token.lower().strip(PLAIN_MARKS)
+    if core.isalpha():
+        return _terms_of_word(core), False
+    core = EDGE.sub("", core)
     if not core:
         return [], False
     plain = core.translate(LEET)
@@ -59,7 +67,7 @@ def terms_of(token: str) -> tuple[list[str], bool]:
     letters = any(map(str.isalpha, core))
     hidden = letters and plain != core and not core.replace("-", "").replace("'", "").replace("’", "").isalpha()
     words = {re.sub(r"[\W_\d]+", "", core), plain} - {""}
-    return [x for w in words for x in (f"={w}", *(f"^{w[:n]}" for n in BEGINNINGS if len(w) > n))], hidden
+    return [x for w in words for x in _terms_of_word(w)], hidden
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +85,7 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for b in batches:
         for k, (y, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
             own: set[str] = set()
-            for token in set(TOKEN.findall(b.column(0)[k].as_py())):
+            for token in set(b.column(0)[k].as_py().split()):
                 found = known.get(token)
                 if found is None:
                     if len(known) >= REMEMBERED:
@@ -114,34 +122,52 @@ def lexicons(rows: DataFrame) -> dict[int, dict[str, float]]:
     return {out: {r["term"]: r[f"o{k}"] for r in kept if r[f"o{k}"] is not None} for k, out in enumerate(told)}
 
 
+class Codes(dict):
+    """Token to its flags and, above them, one more than the number of its term in the lexicon; worked out when first asked for."""
+
+    def __init__(self, terms: dict[str, float]):
+        super().__init__()
+        self.terms, self.number = terms, {t: k for k, t in enumerate(terms)}
+        self.words = {t[1:] for t in terms if t[0] == "="}
+        self.heads = {t[1:1 + BEGINNINGS[0]] for t in terms if t[0] == "^"}
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        core = token.strip(PLAIN_MARKS)
+        word = core.lower()
+        if word.isalpha() and core.isalpha() and word not in self.words and word[:BEGINNINGS[0]] not in self.heads:
+            # Nearly all tokens: letters that no term of the lexicon begins like.
+            code = PERSON * (word in SECOND_PERSON) | CAPITALS * (len(core) > 1 and core.isupper())
+            self[token] = code
+            return code
+        terms, hidden = terms_of(token)
+        best = max((t for t in terms if t in self.terms), key=self.terms.__getitem__, default="")
+        core = EDGE.sub("", token)
+        code = (HIT * bool(best) | PERSON * (core.lower() in SECOND_PERSON) | HIDDEN * hidden
+                | CAPITALS * (len(core) > 1 and core.isupper()) | HIDDEN_HIT * bool(best and hidden))
+        code |= (self.number[best] + 1 if best else 0) << TERM_BITS
+        self[token] = code
+        return code
+
+
 class Extractor:
     """Feature rows of texts under a lexicon."""
 
     def __init__(self, terms: dict[str, float]):
-        self.terms, self.seen = terms, {}
-
-    def _token(self, token: str) -> tuple[int, float, str]:
-        found = self.seen.get(token)
-        if found is None:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            terms, hidden = terms_of(token)
-            best = max((t for t in terms if t in self.terms), key=self.terms.__getitem__, default="")
-            core = EDGE.sub("", token)
-            flags = (HIT * bool(best) | PERSON * (core.lower() in SECOND_PERSON) | HIDDEN * hidden
-                     | CAPITALS * (len(core) > 1 and core.isupper()) | HIDDEN_HIT * bool(best and hidden))
-            found = self.seen[token] = (flags, self.terms.get(best, 0.0), best)
-        return found
+        self.codes, self.odds = Codes(terms), np.array([0.0, *terms.values()])
+        # Of every character: 1 if a capital, 2 if a punctuation mark.
+        self.kinds = np.zeros(0x110000, np.uint8)
+        self.kinds[[c for c in range(0x110000) if chr(c).isupper()]] = 1
+        self.kinds[[ord(c) for c in PLAIN_MARKS]] = 2
 
     def row(self, text: str | None) -> list[float]:
         text = text or ""
-        tokens = TOKEN.findall(text)
-        found = list(map(self._token, tokens))
-        flags = np.fromiter((f[0] for f in found), np.uint8, len(found))
+        tokens = text.split()
+        codes = np.fromiter(map(self.codes.__getitem__, tokens), np.int64, len(tokens))
         n, chars = max(1, len(tokens)), max(1, len(text))
-        hit = flags & HIT > 0
-        at = np.flatnonzero(hit)
-        person = np.flatnonzero(flags & PERSON)
+        at, person = np.flatnonzero(codes & HIT), np.flatnonzero(codes & PERSON)
+        terms = codes[at] >> TERM_BITS
         densest = int((np.searchsorted(at, at + SPAN) - np.arange(len(at))).max(initial=0))
         near = 0.0
         if len(at) and len(person):
@@ -150,16 +176,13 @@ class Extractor:
             after = person[np.minimum(k, len(person) - 1)] - at
             gap = np.minimum(np.where(k > 0, before, NEAR + 1), np.where(k < len(person), after, NEAR + 1))
             near = float((gap <= NEAR).mean())
-        capitals = sum(map(str.isupper, text))
-        marks = len(text) - len(text.translate(_MARKS))
-        return [math.log1p(len(at)), math.log1p(len({found[k][2] for k in at.tolist()})), len(at) / n, densest / SPAN,
-                max((found[k][1] for k in at.tolist()), default=0.0), len(person) / n, near, capitals / chars,
-                float((flags & CAPITALS > 0).sum()) / n, text.count("!") / n, text.count("?") / n, marks / chars,
-                (text.count("!!") + text.count("??") + text.count("?!")) / n, float((flags & HIDDEN > 0).sum()) / n,
-                float((flags & HIDDEN_HIT > 0).sum()) / n, math.log1p(len(tokens))]
-
-
-_MARKS = {ord(c): None for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"}
+        kinds = self.kinds[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        capitals, marks = np.count_nonzero(kinds == 1), np.count_nonzero(kinds == 2)
+        share = lambda flag: np.count_nonzero(codes & flag) / n
+        return [math.log1p(len(at)), math.log1p(len(np.unique(terms))), len(at) / n, densest / SPAN,
+                float(self.odds[terms].max(initial=0.0)) if len(at) else 0.0, len(person) / n, near, capitals / chars,
+                share(CAPITALS), text.count("!") / n, text.count("?") / n, marks / chars,
+                (text.count("!!") + text.count("??") + text.count("?!")) / n, share(HIDDEN), share(HIDDEN_HIT), math.log1p(len(tokens))]
 
 
 def features(docs: DataFrame, terms: dict[int, dict[str, float]], text: str, keep: list[str], out: str, part: Column) -> DataFrame:
@@ -167,8 +190,14 @@ def features(docs: DataFrame, terms: dict[int, dict[str, float]], text: str, kee
     src, which = free_name(docs, "_text", "_part")
     rows = docs.select(docs[text].alias(src), part.alias(which), *[docs[c] for c in keep])
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extractors = {k: Extractor(t) for k, t in terms.items()}
+        known = worker_state("toxicity", dict)        # tokens stay known from task to task
+        if name not in known:
+            known.clear()
+            known[name] = {k: Extractor(t) for k, t in terms.items()}
+        extractors = known[name]
         for b in batches:
             x = [extractors[p].row(t.as_py()) for t, p in zip(b.column(0), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(x, pa.list_(pa.float64()))], [*b.schema.names[2:], out])
