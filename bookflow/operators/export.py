@@ -103,12 +103,13 @@ def build_manifest(books: DataFrame, chapters: DataFrame, tl: DataFrame, topics:
         F.regexp_replace(head_json, r"\}$", ""), F.lit(',"chapters":[')).alias("text"))
     foot = meta.select("book", *_at(2 ** 62, 9, 0), F.lit("]}").alias("text"))
 
-    c = chapter_starts(chapters)
+    first = chapters.groupBy("book").agg(F.min("ch").alias("_first"))
+    c = chapter_starts(chapters).join(first, "book")
     c_json = F.to_json(F.struct(chapter_id("ch").alias("id"), F.col("ch").alias("index"), "title", "level",
                                 "page", "status", "audio", "duration",
                                 F.round("start_global", 3).alias("start_global")))
     c_head = c.select("book", *_at(F.col("ch"), 0, 0), F.concat(
-        F.when(F.col("ch") > 0, ",").otherwise(""), F.regexp_replace(c_json, r"\}$", ""),
+        F.when(F.col("ch") > F.col("_first"), ",").otherwise(""), F.regexp_replace(c_json, r"\}$", ""),
         F.lit(',"topics":[')).alias("text"))
     mid = c.select("book", *_at(F.col("ch"), 2, 0), F.lit('],"sentences":[').alias("text"))
     tail = c.select("book", *_at(F.col("ch"), 4, 0), F.lit("]}").alias("text"))
@@ -135,7 +136,7 @@ def _note_parts(books, notes, chapters, header: Column, heading, body, after: Da
     n = notes.join(titles, ["book", "ch"], "left").withColumn("_title", F.coalesce(
         F.nullif(F.col("_title"), F.lit("")),
         F.concat(F.lit("Chapter "), (F.col("ch") + 1).cast("string"))))
-    n = scan.row_index(n, ["book", "ch"], ["si", "cs", "created", "seq"], F.floor(F.col("si") / 64), "_k")
+    n = scan.row_index_sorted(n, ["book", "ch"], ["si", "cs", "created", "seq"], "_k")
     text = _glue(n.withColumn("part", F.floor(F.col("_k") / PART)), ["book", "ch", "part"], ["_k"], body,
                  "\n").select("book", *_at(F.col("ch"), 1, F.col("part")), "text")
     heads = n.groupBy("book", "ch").agg(F.first("_title").alias("_title")).select(
@@ -198,7 +199,7 @@ def notes_documents(notes: DataFrame) -> DataFrame:
     """Notes documents ``{book, version, notes[]}`` in reading order, in parts."""
     from bookflow.settings import NOTE_FIELDS
     fields = [f for f in NOTE_FIELDS if f in notes.columns]
-    n = scan.row_index(notes, ["book"], ["ch", "si", "cs", "created", "id"], F.col("ch"), "_k")
+    n = scan.row_index_sorted(notes, ["book"], ["ch", "si", "cs", "created", "id"], "_k")
     x = F.concat(F.when(F.col("_k") > 0, ",").otherwise(""), F.to_json(F.struct(*fields)))
     body = _glue(n.withColumn("part", F.floor(F.col("_k") / PART)), ["book", "part"], ["_k"], x, "").select(
         "book", *_at(0, 1, F.col("part")), "text")

@@ -87,6 +87,20 @@ def row_index(df: DataFrame, by: Sequence[str], order: Sequence, block: Column,
     return prefix_sum(df, by, order, block, **{name: F.lit(1).cast("long")})
 
 
+def row_index_sorted(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``row_index`` for orders without a block function: rows are dealt by ranges of (key, order), sorted and written once.
+
+    Many rows at one place of the order are many ranges. One short row for each (range, key) is carried on.
+    """
+    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({
+        "_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    dealt = stage(dealt, "ranges")
+    sizes = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
+    return dealt.join(sizes, [*by, "_part"], "left").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
 def last_value(df: DataFrame, by: Sequence[str], order: Sequence, block: Column,
                **values: Column) -> DataFrame:
     """Add, per value, the latest non-null one up to and including the row (as-of carry)."""

@@ -48,6 +48,11 @@ def turn_sentences(spark, sf) -> DataFrame:
     return segment.sentences(turn_slices(spark, sf))
 
 
+def thousandths(percent):
+    """A percentage as a fraction in whole thousandths; ties don't depend on an engine's rounding."""
+    return F.floor(percent * 10 + 0.5) / 1000.0
+
+
 def progress(spark, sf) -> DataFrame:
     """events as reading progress; ``seq`` is the arrival order."""
     e = table(spark, sf, "events")
@@ -55,7 +60,7 @@ def progress(spark, sf) -> DataFrame:
         F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("book"),
         (F.col("user_id") % 3).cast("string").alias("device"), (F.col("event_id") % 7).cast("int").alias("ci"),
         F.col("value").alias("t"), (F.col("event_id") % 50).cast("int").alias("si"),
-        F.round(F.least(F.lit(1.0), F.col("value") / 100), 3).alias("frac"),
+        thousandths(F.least(F.lit(100.0), F.col("value"))).alias("frac"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("updated"), F.col("event_id").alias("seq"))
 
 
@@ -162,4 +167,4 @@ def sql_timeline(src: str = "sen") -> str:
 
 PROGRESS = """pr AS (SELECT CAST(user_id AS VARCHAR) AS "user", event_type AS book, CAST(user_id % 3 AS VARCHAR) AS device,
   CAST(event_id % 7 AS INTEGER) AS ci, value AS t, CAST(event_id % 50 AS INTEGER) AS si,
-  round(least(1.0::DOUBLE, value / 100), 3) AS frac, epoch_us(ts) // 1000 AS updated, event_id AS seq FROM events)"""
+  floor(least(100.0::DOUBLE, value) * 10 + 0.5) / 1000.0::DOUBLE AS frac, epoch_us(ts) // 1000 AS updated, event_id AS seq FROM events)"""

@@ -10,7 +10,7 @@ from bookflow.operators.lookup import asof_grid  # noqa: F401
 from bookflow.plans import inputs as I
 from bookflow.plans.timeline_queries import TURN_TL, turn_timeline
 from bookflow.plans.text_queries import _clock
-from bookflow.settings import NOTE_FIELDS, stage
+from bookflow.settings import stage
 from bookflow.sources.files import parse_notes
 
 QUERIES, SQL = {}, {}
@@ -90,21 +90,24 @@ def note_documents(spark, sf):
     return _flat(c).join(c.select("book", "id", "created", "updated"), ["book", "id"])
 
 
-@query("""WITH n AS (SELECT event_type AS book, (row_number() OVER (PARTITION BY event_type) - 1) // 1024 AS part FROM events)
-  SELECT book, 0::BIGINT AS ch, 1 AS kind, part, count(*)::INTEGER AS n FROM n GROUP BY book, part
-  UNION ALL SELECT DISTINCT book, unnest([-1, 1]), 0, 0, 0 FROM n""")
+@query(f"""WITH {COERCED}, n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY ch, si, cs, stamp, id) - 1 AS r FROM co),
+  x AS (SELECT book, r, CASE WHEN r > 0 THEN ',' ELSE '' END || '{{"id":' || to_json(id) || ',"ch":' || ch || ',"si":' || si || ',"sj":' || sj || ',"cs":' || cs || ',"ce":' || ce || ',"s":' || to_json(s) ||
+    ',"e":' || to_json(e) || ',"exact":' || to_json(exact) || ',"prefix":' || to_json(prefix) || ',"suffix":"","color":"' || color || '","tags":' || to_json(string_split(tags, '|')) ||
+    ',"note":' || to_json(note) || ',"kind":"' || kind || '","created":"' || stamp || '","updated":"' || stamp || '"}}' AS j FROM n)
+  SELECT book, 0::BIGINT AS ch, 1 AS kind, r // 1024 AS part, string_agg(j, '' ORDER BY r) AS text FROM x GROUP BY 1, 4
+  UNION ALL SELECT DISTINCT book, -1, 0, 0, '{{"book":' || to_json(book) || ',"version":1,"notes":[' FROM co UNION ALL SELECT DISTINCT book, 1, 0, 0, ']}}' FROM co""")
 def note_document_parts(spark, sf):
-    """Notes documents per book, written in parts of 1024 notes."""
-    good = N.coerce_notes(_dirty(spark, sf))[0]
-    return export.notes_documents(good).select("book", "ch", "kind", "part", F.regexp_count(
-        "text", F.lit(r'\{"id":')).alias("n"))
+    """Notes documents per book, in parts of 1024 notes."""
+    return export.notes_documents(N.coerce_notes(_dirty(spark, sf))[0])
 
 
-@query(f"WITH {COERCED} SELECT book, ch, count(*) AS n FROM co WHERE ch < length(book) GROUP BY 1, 2")
+@query(f"""WITH {COERCED} SELECT {_FIELDS.replace(' id,', '')}, '{NOW}' AS created, '{NOW}' AS updated, 32 AS id_length, 1::BIGINT AS same_id FROM co WHERE ch < length(book)""")
 def note_creation(spark, sf):
+    """New notes; their ids can't be told beforehand, but are of one length and never shared."""
     d = N.create_notes(_dirty(spark, sf), _n_chapters(spark, sf), now())
-    ok = (F.length("id") == 32) & (F.col("created") == F.col("updated")) & (F.col("created") == NOW)
-    return d.filter(ok).groupBy("book", "ch").agg(F.countDistinct("id").alias("n"))
+    same = d.groupBy("id").agg(F.count("*").alias("same_id"))
+    return _flat(d).join(d.select("book", "id", "created", "updated").join(same, "id"), ["book", "id"]).withColumn(
+        "id_length", F.length("id")).drop("id")
 
 
 @query(f"""WITH {COERCED}, p AS (SELECT k, CASE WHEN k % 3 = 0 THEN 'blue' END AS pc, CASE WHEN k % 7 < 2 THEN 'patched' END AS pn FROM c0 WHERE k % 2 = 0)
@@ -133,11 +136,16 @@ def soft_deletes(spark, sf):
     return N.merge_with_tombstones(d, graves)[0].select("book", "id")
 
 
-@query(f"SELECT event_type AS book, 'n' || event_id AS id, {len(NOTE_FIELDS)} AS n_fields FROM events")
+@query("""SELECT event_type AS book, 'n' || event_id AS id, CASE WHEN event_id % 9 = 0 THEN 'x' ELSE (event_id % 7)::VARCHAR END AS ch, (event_id % 11)::VARCHAR AS si,
+    CASE WHEN event_id % 4 > 0 THEN (event_id % 5)::VARCHAR END AS sj, (event_id * 3)::VARCHAR AS cs, 'oops' AS ce, CASE WHEN event_id % 6 = 0 THEN 'NaN' ELSE value::VARCHAR END AS s,
+    CAST(NULL AS VARCHAR) AS e, repeat(props, 200) AS exact, repeat(props, 9) AS prefix, CAST(NULL AS VARCHAR) AS suffix,
+    CASE event_id % 3 WHEN 0 THEN 'GREEN' WHEN 1 THEN 'teal' END AS color, '#' || event_type || '|' || upper(event_type) || '|t' || (event_id % 4) AS tags,
+    CASE WHEN event_id % 2 = 0 THEN '   ' ELSE 'body ' || event_id END AS note, CASE event_id % 5 WHEN 0 THEN 'note' WHEN 1 THEN 'bogus' END AS kind,
+    strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS updated, FALSE AS deleted FROM events""")
 def durable_fields(spark, sf):
+    """Notes without the fields that only a session knows; those that last keep their values."""
     d = _dirty(spark, sf).withColumns({"_orphan": F.lit(True), "tmp": F.lit(1), "deleted": F.lit(False)})
-    c = N.clean_note(d)
-    return c.select("book", "id", F.lit(len([x for x in c.columns if x != "book"])).alias("n_fields"))
+    return N.clean_note(d).withColumn("tags", F.array_join("tags", "|"))
 
 
 # ---- merging: every event is a version of one of 700 notes, on both sides with other ids --------

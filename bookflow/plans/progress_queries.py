@@ -64,7 +64,7 @@ def _as_progress(e):
         F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("book"),
         (F.col("user_id") % 3).cast("string").alias("device"), (F.col("event_id") % 7).cast("int").alias("ci"),
         F.col("value").alias("t"), (F.col("event_id") % 50).cast("int").alias("si"),
-        F.round(F.least(F.lit(1.0), F.col("value") / 100), 3).alias("frac"),
+        I.thousandths(F.least(F.lit(100.0), F.col("value"))).alias("frac"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("updated"), F.col("event_id").alias("seq"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("text_queries", "structure_queries", "timeline_queries", "catalog_queries", "notes_queries",
-           "progress_queries")
+           "progress_queries", "document_queries")
 
 
 def collect() -> tuple[dict, dict]:

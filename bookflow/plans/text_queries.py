@@ -95,13 +95,12 @@ def profile_cleaning(spark, sf):
   u AS (SELECT book, page, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS line, len(l) AS n FROM ls),
   g AS (SELECT book, page, line, least(1000, greatest(0, line * 1000 // n)) AS y, text FROM u WHERE text <> ''),
   kk AS (SELECT DISTINCT book, page, {I.sql_key('text')} AS k FROM g WHERE y <= 20 OR y >= 960)
-  SELECT book, page, count(*) AS n_keys, max(k) AS last_key FROM kk WHERE k <> '' GROUP BY book, page""")
+  SELECT book, page, k AS key FROM kk WHERE k <> ''""")
 def zone_keys(spark, sf):
     pages = I.raw_pages(spark, sf)
     prof = pages.select("book").distinct().select("book", F.struct(
         F.lit(20).alias("header_zone_max_y"), F.lit(960).alias("footer_zone_min_y")).alias("cleaning"))
-    return clean.zone_keys(clean.line_geometry(pages), prof).select(
-        "book", "page", F.size("zone").cast("long").alias("n_keys"), F.array_max("zone").alias("last_key"))
+    return clean.zone_keys(clean.line_geometry(pages), prof).select("book", "page", F.explode(F.array_distinct("zone")).alias("key"))
 
 
 @query(f"""WITH {I.PAGES}, ls AS (SELECT book, page, {I.sql_lines('raw')} AS l FROM pg),
@@ -248,11 +247,13 @@ def quoting(spark, sf):
 
 
 @query("""SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml,
-  replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html FROM pages""")
+  replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html,
+  CASE WHEN contains(a, '"') AND contains(a, '''') THEN '"' || replace(a, '"', '&quot;') || '"' WHEN contains(a, '"') THEN '''' || a || '''' ELSE '"' || a || '"' END AS attr
+  FROM (SELECT *, replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '&#10;'), chr(13), '&#13;'), chr(9), '&#9;') AS a FROM pages)""")
 def escaping(spark, sf):
     return I.table(spark, sf, "pages").select(
         "page_id", T.escape_markup("html", "xml").alias("xml"),
-        T.escape_markup("html", "html").alias("html"))
+        T.escape_markup("html", "html").alias("html"), T.escape_markup("html", "attr").alias("attr"))
 
 
 @query("""SELECT page_id, regexp_replace(CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'http://' || u END, '/$', '') AS url

@@ -102,6 +102,15 @@ def upgrade_timings(spark, sf):
     return t.join(b, "book")
 
 
+@query(f"""WITH {TURN_TL} SELECT book, ch, i::INTEGER AS i, CASE WHEN book::INTEGER % 3 > 0 THEN settled ELSE s END AS s, e FROM tl""")
+def upgraded_sentences(spark, sf):
+    """The sentence table of the same upgrade: old books are settled, the others stay."""
+    tl = turn_timeline(spark, sf)
+    m = F.col("book").cast("int") % 3
+    books = tl.select("book").distinct().withColumn("timing_version", F.when(m == 0, 3).when(m == 1, 1))
+    return TL.upgrade_timings(books, tl.select("book", "ch", "i", "s", "e"), tl.select("book", "ch", F.col("s").alias("time")))[1]
+
+
 PROBES = """prb AS (SELECT e.event_id, (e.user_id % 100)::VARCHAR AS book, (e.event_id % 8) AS ch, e.value - 2 AS t FROM events e)"""
 
 
@@ -257,17 +266,28 @@ def transcript_files(spark, sf):
     return lines.groupBy("book", F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {CUES}, b AS (SELECT DISTINCT conv_id::VARCHAR AS book FROM conversations),
-  x AS (SELECT book, -1::BIGINT AS ch, 0 AS kind, 0::BIGINT AS part, 1 AS n FROM b UNION ALL SELECT book, 4611686018427387904, 9, 0, 0 FROM b
-    UNION ALL SELECT book, ch, unnest([0, 2, 4]), 0, unnest([1, 0, 0]) FROM chp
-    UNION ALL SELECT book, ch, 1, (i // 4) // 1024, count(*) FROM tl WHERE i % 4 = 0 GROUP BY 1, 2, 4
-    UNION ALL SELECT book, ch, 3, i // 1024, count(*) FROM tl GROUP BY 1, 2, 4)
-  SELECT book, ch, kind, part, n::INTEGER AS n FROM x""")
+MANIFEST_PARTS = f"""WITH {CUES}, ok AS (SELECT *, coalesce(status, 'ready') = 'ready' AS ok, min(ch) OVER (PARTITION BY book) AS first,
+    round(coalesce(sum(duration) OVER (PARTITION BY book ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS sg FROM chp),
+  bt AS (SELECT book, count(*) AS n, count(*) FILTER (ok) AS r, round(sum(CASE WHEN ok THEN duration ELSE 0 END), 3) AS total, bool_and(ok) AS whole FROM ok GROUP BY book),
+  sj AS (SELECT book, ch, i, CASE WHEN i > 0 THEN ',' ELSE '' END || '{{"i":' || i || ',"t":' || to_json(t) || ',"s":' || to_json(s) || ',"e":' || to_json(e) ||
+    ',"cs":' || cs || ',"ce":' || ce || CASE WHEN p THEN ',"p":1' ELSE '' END || '}}' AS x FROM tl)
+  SELECT book, -1::BIGINT AS ch, 0 AS kind, 0::BIGINT AS part, '{{"id":' || to_json(book) || ',"title":' || to_json('Talk: ' || book) || ',"author":' ||
+    to_json(CASE WHEN book::INTEGER % 2 = 0 THEN 'A. "N" Other' ELSE '' END) || ',"created":"2024-01-01T00:00:00","chapters_total":' || n || ',"chapters_ready":' || r ||
+    ',"total_duration":' || to_json(total) || ',"status":"' || CASE WHEN whole THEN 'ready' ELSE 'partial' END || '","timing_version":2,"chapters":[' AS text FROM bt
+  UNION ALL SELECT book, 4611686018427387904, 9, 0, ']}}' FROM bt
+  UNION ALL SELECT book, ch, 0, 0, CASE WHEN ch > first THEN ',' ELSE '' END || '{{"id":"ch' || lpad(ch::VARCHAR, 4, '0') || '","index":' || ch || ',"title":' || to_json(title) || ',"level":1,"page":0' ||
+    CASE WHEN status IS NULL THEN '' ELSE ',"status":"' || status || '"' END || ',"duration":' || to_json(duration) || ',"start_global":' || to_json(sg::DOUBLE) || ',"topics":[' FROM ok
+  UNION ALL SELECT book, ch, 2, 0, '],"sentences":[' FROM chp UNION ALL SELECT book, ch, 4, 0, ']}}' FROM chp
+  UNION ALL SELECT book, ch, 1, (i // 4) // 1024, string_agg(CASE WHEN i > 0 THEN ',' ELSE '' END || '{{"title":' || to_json(substr(t, 1, 9)) || ',"level":2,"time":null}}', '' ORDER BY i)
+    FROM tl WHERE i % 4 = 0 GROUP BY 1, 2, 4
+  UNION ALL SELECT book, ch, 3, i // 1024, string_agg(x, '' ORDER BY i) FROM sj GROUP BY 1, 2, 4"""
+
+
+@query(MANIFEST_PARTS)
 def manifest_parts(spark, sf):
-    """Manifest documents in parts, with the number of objects opened in each."""
+    """Manifest documents in parts."""
     tl, books, ch, topics = _manifest_inputs(spark, sf)
-    return export.build_manifest(books, ch, tl, topics).select(
-        "book", "ch", "kind", "part", F.regexp_count("text", F.lit(r'\{"(?:id|i|title)":')).alias("n"))
+    return export.build_manifest(books, ch, tl, topics)
 
 
 def _manifest_inputs(spark, sf):

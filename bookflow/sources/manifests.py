@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bookflow.sources.files import folder_name
+
 TOPIC = "struct<title:string,level:int,time:double>"
 SENTENCE = "struct<i:int,t:string,s:double,e:double,cs:int,ce:int,p:int>"
 CHAPTER = (f"struct<id:string,index:int,title:string,level:int,page:int,status:string,error:string,"
@@ -30,7 +32,7 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     df = (spark.read.schema(manifest_schema()).option("multiLine", True)
           .option("columnNameOfCorruptRecord", "_corrupt_record")
           .json(f"{path.rstrip('/')}/*/manifest.json")
-          .withColumn("dir", F.regexp_extract(F.input_file_name(), "([^/]+)/manifest\\.json$", 1)))
+          .withColumn("dir", folder_name()))
     return with_defaults(df.filter("_corrupt_record IS NULL").drop("_corrupt_record"))
 
 
