@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bookflow.plans import inputs as I
@@ -53,32 +55,112 @@ def latest_positions(spark, sf):
     return P.latest_positions(I.progress(spark, sf)).select("user", "book", "t", "updated", "seq")
 
 
-def _source(spark, sf):
-    """The events file as a stream of progress."""
-    e = I.table(spark, sf, "events")
-    return spark.readStream.schema(e.schema).parquet(f"{sf}/event[s].parquet")
+# ---- the same rules as streams over several micro-batches ----------------------------------------
+
+SLICES = 4
+END = "~"                       # a key of rows far in the future, which let the watermark pass all others
+
+
+def _sliced(df, order: str, closing):
+    """``df`` as a stream: slices by ``order``, one file after the other, then two files of one ``closing`` row each."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    at = F.col(order) * SLICES - lo * SLICES
+    for k in range(SLICES):
+        df.where((at >= k * (hi - lo + 1)) & (at < (k + 1) * (hi - lo + 1))).coalesce(1).write.mode("append").parquet(path)
+    for k in (1, 2):
+        closing(df.limit(1), k).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(stream, *columns):
+    """All micro-batches that are there, and what they wrote."""
+    spark = stream.sparkSession
+    path = f"{work_dir(spark)}/sink-{uuid.uuid4().hex}"
+    (stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*columns)
+
+
+def _later(time: str, key: str, days: int = 3650):
+    """A closing row: one far later time, under a key of its own."""
+    return lambda d, k: d.withColumns({time: F.col(time) + F.lit(k * days * 86_400_000), key: F.lit(END)})
+
+
+def _deb_stream(gap: int) -> str:
+    return f"SELECT device, book, flushed, updated, t, seq FROM ({_deb(gap)})"
+
+
+@query(_deb_stream(420_000))
+def debounced_progress_stream(spark, sf):
+    d = I.progress(spark, sf)
+    return _run(P.debounce_stream(_sliced(d, "seq", _later("updated", "device")), 420_000), "device", "book", "flushed", "updated", "t", "seq").where(
+        F.col("device") != END)
+
+
+# Device 0 views; it plays at every fifth update; a third of the chapters can't be played; updates arrive up to three days late.
+_MIRROR = f"""WITH {I.PROGRESS}, l AS (SELECT * REPLACE ((seq % 3)::VARCHAR AS device, updated - (seq % 4) * 86400000 AS updated) FROM pr),
+  u AS (SELECT * FROM l WHERE device = '0' OR (seq % 5 > 0 AND (ci + length(book)) % 3 > 0)),
+  x AS (SELECT *, max(updated) OVER (PARTITION BY "user", book ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM u)
+  SELECT "user", book, seq, updated FROM x WHERE device <> '0' AND updated > coalesce(m, 0)"""
+PAUSED = "seq % 5 > 0"
 
 
-def _as_progress(e):
-    return e.select(
-        F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("book"),
-        (F.col("user_id") % 3).cast("string").alias("device"), (F.col("event_id") % 7).cast("int").alias("ci"),
-        F.col("value").alias("t"), (F.col("event_id") % 50).cast("int").alias("si"),
-        I.thousandths(F.least(F.lit(100.0), F.col("value"))).alias("frac"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("updated"), F.col("event_id").alias("seq"))
+def _playable(spark, sf):
+    books = I.table(spark, sf, "events").select(F.col("event_type").alias("book")).distinct()
+    return books.withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(6)))).where((F.col("ch") + F.length("book")) % 3 > 0)
+
+
+@query(_MIRROR)
+def mirrored_updates(spark, sf):
+    p = P.usable(_late(I.progress(spark, sf)), _playable(spark, sf), F.lit("0"))
+    return P.accepted(p, F.lit("0"), F.expr(PAUSED)).select("user", "book", "seq", "updated")
+
+
+@query(_MIRROR)
+def mirrored_updates_stream(spark, sf):
+    d = _late(I.progress(spark, sf).withColumn("arrived", F.col("updated")))
+    got = P.accept_stream(_sliced(d, "seq", _later("arrived", "user")), "0", F.expr(PAUSED), _playable(spark, sf), bucket_ms=86_400_000)
+    return _run(got, "user", "book", "seq", "updated").where(F.col("user") != END)
+
+
+@query(f"""WITH {_bursts(GAP, '"user", book')} SELECT "user", book, min(updated) AS started, max(updated) + {GAP} AS ended, count(*) AS n_updates FROM b GROUP BY "user", book, burst""")
+def follow_sessions_stream(spark, sf):
+    d = I.progress(spark, sf)
+    return _run(P.follow_stream(_sliced(d, "seq", _later("updated", "user")), f"{GAP} milliseconds"), "user", "book", "started", "ended", "n_updates").where(
+        F.col("user") != END)
 
 
 @query(LATEST)
 def latest_positions_stream(spark, sf):
-    """The same as a stream: foreachBatch merges each batch into a versioned table."""
-    import uuid
+    """foreachBatch merges each micro-batch into a table."""
     from bookflow.streaming.tables import read_table
     path = f"{work_dir(spark)}/positions-{uuid.uuid4().hex}"
-    q = (_as_progress(_source(spark, sf)).writeStream.outputMode("append")
-         .foreachBatch(P.upsert_positions(f"{path}/table"))
-         .option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return read_table(spark, f"{path}/table").select("user", "book", "t", "updated", "seq")
+    d = _sliced(I.progress(spark, sf), "seq", _later("updated", "user"))
+    (d.writeStream.foreachBatch(P.upsert_positions(f"{path}/table", 16)).option("checkpointLocation", f"{path}/cp")
+     .trigger(availableNow=True).start().awaitTermination())
+    return read_table(spark, f"{path}/table").select("user", "book", "t", "updated", "seq").where(F.col("user") != END)
+
+
+@query("""WITH a AS (SELECT 'b' || (event_id % 700 % 5) AS book, 'n' || (event_id % 700) AS id, event_id AS seq, strftime(ts, '%Y-%m-%dT%H:00:00Z') AS u,
+    event_type = 'error' AS deleted, event_type AS note FROM events)
+  SELECT book, id, max(u) AS updated, arg_max(deleted, (u, seq)) AS deleted, CASE WHEN NOT arg_max(deleted, (u, seq)) THEN arg_max(note, (u, seq)) END AS note FROM a GROUP BY 1, 2""")
+def merged_notes_stream(spark, sf):
+    """Note changes merged into a table batch by batch; graves stay."""
+    from bookflow.streaming.tables import merge_notes_batches, read_table
+    k = F.col("event_id") % 700
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:00:00'Z'")
+    d = I.table(spark, sf, "events").select(
+        F.concat(F.lit("b"), (k % 5).cast("string")).alias("book"), F.concat(F.lit("n"), k.cast("string")).alias("id"), F.col("event_id").alias("seq"),
+        stamp.alias("created"), F.when(F.col("event_id") % 3 > 0, stamp).otherwise("").alias("updated"), (F.col("event_type") == "error").alias("deleted"),
+        F.col("event_type").alias("note"))
+    path = f"{work_dir(spark)}/notes-{uuid.uuid4().hex}"
+    s = _sliced(d, "seq", lambda one, k: one.withColumn("book", F.lit(END)))
+    (s.writeStream.foreachBatch(merge_notes_batches(f"{path}/table", 16)).option("checkpointLocation", f"{path}/cp")
+     .trigger(availableNow=True).start().awaitTermination())
+    return read_table(spark, f"{path}/table").where(F.col("book") != END).select(
+        "book", "id", F.coalesce(F.nullif("updated", F.lit("")), "created").alias("updated"), "deleted", F.when(~F.col("deleted"), F.col("note")).alias("note"))
 
 
 @query(f"""WITH {I.PROGRESS}, x AS (SELECT *, max(updated) OVER (PARTITION BY "user", book ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
@@ -107,9 +189,18 @@ def follow_sessions(spark, sf):
   SELECT session, ms, si, seq FROM f WHERE emit""")
 def throttled_ticks(spark, sf):
     """Time runs a million times faster here, so that ticks are closer than 200 ms."""
-    t = I.progress(spark, sf).select(F.col("user").alias("session"), F.floor(F.col("updated") / 1_000_000).alias("ms"),
-                                     (F.col("seq") % 2).cast("int").alias("si"), "seq")
-    return P.throttle(t)
+    return P.throttle(_ticks(spark, sf))
+
+
+def _ticks(spark, sf):
+    return I.progress(spark, sf).select(F.col("user").alias("session"), F.floor(F.col("updated") / 1_000_000).alias("ms"),
+                                        (F.col("seq") % 2).cast("int").alias("si"), "seq")
+
+
+@query(SQL["throttled_ticks"])
+def throttled_ticks_stream(spark, sf):
+    d = _sliced(_ticks(spark, sf), "seq", _later("ms", "session"))
+    return _run(P.throttle_stream(d, bucket_ms=250), "session", "ms", "si", "seq").where(F.col("session") != END)
 
 
 def _job_events(e):
@@ -132,7 +223,16 @@ def job_state(spark, sf):
   x AS (SELECT *, lag(r) OVER w AS pr, lag(status) OVER w AS ps FROM v WINDOW w AS (PARTITION BY book ORDER BY version))
   SELECT book, version, r AS chapters_ready, status, r - coalesce(pr, 0) AS gained FROM x WHERE pr IS DISTINCT FROM r OR ps IS DISTINCT FROM status""")
 def newly_ready(spark, sf):
-    v = I.table(spark, sf, "events").select(
+    return J.newly_ready(_versions(spark, sf))
+
+
+@query(SQL["newly_ready"])
+def newly_ready_stream(spark, sf):
+    d = _sliced(_versions(spark, sf), "version", _later("version", "book"))
+    return _run(J.newly_ready_stream(d, 500), "book", "version", "chapters_ready", "status", "gained").where(F.col("book") != END)
+
+
+def _versions(spark, sf):
+    return I.table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("book"), F.col("event_id").alias("version"),
         F.floor(F.col("event_id") / 50).alias("chapters_ready"), F.when(F.col("event_id") % 5 == 0, "ready").otherwise("generating").alias("status"))
-    return J.newly_ready(v)

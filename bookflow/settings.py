@@ -42,6 +42,10 @@ SESSION_CONF = {
     # what the cores can share just because they hold few bytes.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts travel in Arrow batches: they are bounded in bytes, not only in rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    # Timers and several states of one key need this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from bookflow.streaming.ordered import fold_in_order, timed
 
 
 def job_state(events: DataFrame) -> DataFrame:
@@ -40,28 +42,17 @@ def newly_ready(versions: DataFrame) -> DataFrame:
         F.col("chapters_ready") - F.coalesce("_r", F.lit(0))).alias("gained"))
 
 
-READY = "book string, version long, chapters_ready long, status string, gained long"
-
-
-class _NewlyReady(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "ready long, status string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        ready, status = self.seen.get() if self.seen.exists() else (None, None)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("version").itertuples():
-            if r.chapters_ready != ready or r.status != status:
-                out.append((key[0], int(r.version), int(r.chapters_ready), r.status,
-                            int(r.chapters_ready) - int(ready or 0)))
-            ready, status = int(r.chapters_ready), r.status
-        self.seen.update((ready, status))
-        yield pd.DataFrame(out, columns=["book", "version", "chapters_ready", "status", "gained"])
-
-    def close(self) -> None:
-        pass
+def _changes(state, d: pd.DataFrame):
+    ready, status = state if state else (None, None)
+    keep, gained = [], []
+    for r, s in zip(d["chapters_ready"].tolist(), d["status"].tolist(), strict=True):
+        keep.append(r != ready or s != status)
+        gained.append(r - (ready or 0))
+        ready, status = r, s
+    return (int(ready), status), d.assign(gained=gained)[np.array(keep, bool)]
 
 
-def newly_ready_stream(versions: DataFrame) -> DataFrame:
-    return versions.groupBy("book").transformWithStateInPandas(
-        _NewlyReady(), outputStructType=READY, outputMode="Append", timeMode="None")
+def newly_ready_stream(versions: DataFrame, bucket: int = 4096, late: str = "1 seconds") -> DataFrame:
+    """Streaming ``newly_ready``; a version's number is its time, as versions only grow."""
+    d = versions.withColumn("gained", F.lit(0).cast("long"))
+    return fold_in_order(timed(d, "version", late), ["book"], "version", ["version"], _changes, "ready long, status string", bucket)

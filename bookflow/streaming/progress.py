@@ -7,6 +7,8 @@ bounds state; lateness is decided by the stamp alone.
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bookflow.operators import scan
+from bookflow.streaming.ordered import fold_in_order, timed
 
 WEB_DEBOUNCE_MS, PHONE_DEBOUNCE_MS = 1500, 1000
 FOLLOW_MS = 12_000
@@ -50,11 +53,13 @@ def latest_positions(progress: DataFrame) -> DataFrame:
         "user", "book", "r.*")
 
 
-def usable(progress: DataFrame, playable: DataFrame | None = None) -> DataFrame:
-    """Stateless half of the accept rule: only playable chapters can be mirrored."""
+def usable(progress: DataFrame, playable: DataFrame | None = None, viewer: Column | None = None) -> DataFrame:
+    """Stateless half of the accept rule: only playable chapters can be mirrored; a position without a chapter, and what the viewer wrote, stay."""
     if playable is None:
         return progress
-    return progress.join(playable.select("book", F.col("ch").alias("ci")), ["book", "ci"], "left_semi")
+    ready = playable.select("book", F.col("ch").cast("int").alias("ci"), F.lit(True).alias("_ok")).distinct()
+    own = F.col("device") == viewer if viewer is not None else F.lit(False)
+    return progress.join(ready, ["book", "ci"], "left").filter(F.col("_ok") | F.col("ci").isNull() | own).select(*progress.columns)
 
 
 def accepted(progress: DataFrame, viewer: Column, paused: Column | None = None) -> DataFrame:
@@ -101,45 +106,70 @@ POSITION = "device string, book string, ci int, t double, si int, frac double, u
 
 
 class _Debounce(StatefulProcessor):
-    """Pending position per book of one device; a timer per burst flushes them."""
+    """Open bursts of one device, and in each the newest position per book.
+
+    A burst is a span of time that rows extend or join to others, so rows may come in any order; its timer flushes it
+    when the watermark has passed its silence. A burst is one entry of the state under its last stamp: read once for each
+    micro-batch, written only if it has changed.
+    """
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState(
-            "pending", "book string", "ci int, t double, si int, frac double, updated long, seq long")
-        self.due = handle.getValueState("due", "at long")
+        self.bursts = handle.getMapState("bursts", "last long", "start long, books string")
 
-    def _flush(self, device: str, at: int) -> list[dict]:
-        rows = [{"device": device, "book": k[0], "flushed": at, "ci": v[0], "t": v[1], "si": v[2],
-                 "frac": v[3], "updated": v[4], "seq": v[5]} for k, v in list(self.pending.iterator())]
-        self.pending.clear()
-        return rows
+    def _due(self, last: int) -> int:
+        return last + self.gap + 1                    # a row at last + gap still belongs to the burst
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, due = [], (self.due.get()[0] if self.due.exists() else None)
-        if due is not None:
-            self.handle.deleteTimer(due)
-        # A key's rows of one micro-batch, in order: the source's maxFilesPerTrigger bounds them.
-        for r in pd.concat(list(rows)).sort_values(["updated", "seq"]).itertuples():
-            if due is not None and r.updated > due:
-                out += self._flush(key[0], due)
-            # A late row neither replaces a newer position nor turns the timer back.
-            old = self.pending.getValue((r.book,)) if self.pending.containsKey((r.book,)) else None
-            if old is None or (old[4], old[5]) <= (r.updated, r.seq):
-                self.pending.updateValue((r.book,), (int(r.ci), float(r.t), int(r.si), float(r.frac),
-                                                     int(r.updated), int(r.seq)))
-            due = max(due or 0, int(r.updated) + self.gap)
-        self.due.update((due,))
-        self.handle.registerTimer(due)
-        yield pd.DataFrame(out, columns=FLUSHED)
+        stored = {int(k[0]): (int(v[0]), v[1]) for k, v in self.bursts.iterator()}
+        spans = sorted((start, last) for last, (start, _) in stored.items())
+        held: dict[tuple[int, int], dict] = {}        # spans that this micro-batch has touched
+        for chunk in rows:
+            chunk = chunk.sort_values(["updated", "seq"])
+            stamps = chunk["updated"].to_numpy()
+            cuts = np.flatnonzero(np.diff(stamps) > self.gap) + 1
+            own = list(zip(chunk["book"].tolist(), chunk["ci"].tolist(), chunk["t"].tolist(), chunk["si"].tolist(), chunk["frac"].tolist(),
+                           chunk["updated"].tolist(), chunk["seq"].tolist(), strict=True))
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)], strict=True):
+                self._add(spans, held, stored, own[lo:hi])
+        left = {last for _, last in spans}
+        for last in stored:
+            if last not in left:
+                self.bursts.removeKey((last,))
+                self.handle.deleteTimer(self._due(last))
+        for (start, last), books in held.items():
+            self.bursts.updateValue((last,), (start, json.dumps(list(books.values()))))
+            if last not in stored:
+                self.handle.registerTimer(self._due(last))
+        yield pd.DataFrame(columns=FLUSHED)
+
+    def _add(self, spans: list, held: dict, stored: dict, own: list[tuple]) -> None:
+        first, last = own[0][5], own[-1][5]
+        lo = bisect_left(spans, (first, first))
+        while lo > 0 and spans[lo - 1][1] + self.gap >= first:
+            lo -= 1
+        hi = lo
+        while hi < len(spans) and spans[hi][0] - self.gap <= last:
+            hi += 1
+        books: dict[str, tuple] = {}
+        for span in spans[lo:hi]:
+            known = held.pop(span, None)
+            for v in known.values() if known is not None else json.loads(stored[span[1]][1]):
+                books[v[0]] = max(books.get(v[0], tuple(v)), tuple(v), key=lambda x: x[5:7])
+        for v in own:
+            books[v[0]] = max(books.get(v[0], v), v, key=lambda x: x[5:7])
+        whole = (min([first, *(s for s, _ in spans[lo:hi])]), max([last, *(e for _, e in spans[lo:hi])]))
+        spans[lo:hi] = [whole]
+        held[whole] = books
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._flush(key[0], expiredTimerInfo.getExpiryTimeInMs())
-        self.due.clear()
-        yield pd.DataFrame(out, columns=FLUSHED)
+        last = expiredTimerInfo.getExpiryTimeInMs() - self.gap - 1
+        books = json.loads(self.bursts.getValue((last,))[1]) if self.bursts.containsKey((last,)) else []
+        self.bursts.removeKey((last,))
+        yield pd.DataFrame([(key[0], v[0], last + self.gap, *v[1:]) for v in books], columns=FLUSHED)
 
     def close(self) -> None:
         pass
@@ -153,64 +183,45 @@ FLUSHED_SCHEMA = ("device string, book string, flushed long, ci int, t double, s
 def debounce_stream(progress: DataFrame, gap_ms: int = WEB_DEBOUNCE_MS, late: str = "10 seconds") -> DataFrame:
     """Streaming ``debounce``; event-time timers, so replays give the same writes.
 
-    Needs the RocksDB state store.  State per device: one position per book of the open burst.
+    Needs the RocksDB state store. State per device: its open bursts, one position per book of each.
     """
     d = progress.withColumn("event_time", F.timestamp_millis("updated")).withWatermark("event_time", late)
     return d.groupBy("device").transformWithStateInPandas(
         _Debounce(gap_ms), outputStructType=FLUSHED_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
-class _Accept(StatefulProcessor):
-    """Newest stamp a (user, book) viewer has adopted or written."""
-
-    def __init__(self, viewer: str, columns: list[str]):
-        self.viewer, self.columns = viewer, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "upd long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        last = self.last.get()[0] if self.last.exists() else 0
-        d = pd.concat(list(rows)).sort_values("seq")
+def _adopt(viewer: str):
+    def fold(state, d):
+        last = state[0] if state else 0
         before = np.maximum.accumulate(np.concatenate([[last], d["updated"].to_numpy()]))
-        self.last.update((int(before[-1]),))
-        yield d[(d["device"] != self.viewer) & (d["updated"].to_numpy() > before[:-1])][self.columns]
-
-    def close(self) -> None:
-        pass
+        return (int(before[-1]),), d[(d["device"] != viewer).to_numpy() & (d["updated"].to_numpy() > before[:-1])]
+    return fold
 
 
-def accept_stream(progress: DataFrame, viewer: str) -> DataFrame:
-    return progress.groupBy("user", "book").transformWithStateInPandas(
-        _Accept(viewer, progress.columns), outputStructType=progress.schema, outputMode="Append",
-        timeMode="None")
-
-
-class _Throttle(StatefulProcessor):
-    def __init__(self, every_ms: int, columns: list[str]):
-        self.every, self.columns = every_ms, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "ms long, si int")
-
-    def handleInputRows(self, key, rows, timerValues):
-        ms, si = self.seen.get() if self.seen.exists() else (None, None)
-        d, keep = pd.concat(list(rows)).sort_values(["ms", "seq"]), []
-        for r in d.itertuples():
-            emit = ms is None or r.si != si or r.ms - ms >= self.every
-            ms, si = (int(r.ms) if emit else ms), int(r.si)
+def accept_stream(progress: DataFrame, viewer: str, paused: Column | None = None, playable: DataFrame | None = None, arrived: str = "arrived",
+                  bucket_ms: int = 60_000, late: str = "10 seconds") -> DataFrame:
+    """Streaming ``accepted`` over ``usable`` updates; ``arrived`` (epoch ms) and ``seq`` give the order of arrival."""
+    own = F.col("device") == viewer
+    d = timed(progress, arrived, late)
+    d = usable(d.filter(own | (paused if paused is not None else F.lit(True))), playable, F.lit(viewer))
+    return fold_in_order(d, ["user", "book"], arrived, [arrived, "seq"], _adopt(viewer), "last long", bucket_ms)
+
+
+def _notify(every_ms: int):
+    def fold(state, d):
+        ms, si = state if state else (None, None)
+        keep = []
+        for at, now in zip(d["ms"].tolist(), d["si"].tolist(), strict=True):
+            emit = ms is None or now != si or at - ms >= every_ms
+            ms, si = (at if emit else ms), now
             keep.append(emit)
-        self.seen.update((ms, si))
-        yield d[keep][self.columns]
+        return (int(ms), int(si)), d[np.array(keep, bool)]
+    return fold
 
-    def close(self) -> None:
-        pass
 
-
-def throttle_stream(ticks: DataFrame, every_ms: int = TICK_MS) -> DataFrame:
-    return ticks.groupBy("session").transformWithStateInPandas(
-        _Throttle(every_ms, ticks.columns), outputStructType=ticks.schema, outputMode="Append",
-        timeMode="None")
+def throttle_stream(ticks: DataFrame, every_ms: int = TICK_MS, bucket_ms: int = 10_000, late: str = "1 seconds") -> DataFrame:
+    """Streaming ``throttle``."""
+    return fold_in_order(timed(ticks, "ms", late), ["session"], "ms", ["ms", "seq"], _notify(every_ms), "ms long, si int", bucket_ms)
 
 
 def follow_stream(adopted: DataFrame, window: str = "12 seconds", late: str = "10 seconds") -> DataFrame:
@@ -222,18 +233,10 @@ def follow_stream(adopted: DataFrame, window: str = "12 seconds", late: str = "1
         "n_updates")
 
 
-def upsert_positions(path: str):
-    """``foreachBatch`` writer: newest positions of the batch merged into a versioned table.
+def upsert_positions(path: str, partitions: int = 64):
+    """``foreachBatch`` writer: newest positions of the batch merged into a table."""
+    from bookflow.streaming.tables import merge_batches
 
-    Every version is a folder of its own; readers take the highest complete one, so a retried
-    batch overwrites its own version only.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        from bookflow.streaming.tables import latest_version, read_version
-        old = latest_version(batch.sparkSession, path, batch_id)
-        new = latest_positions(batch)
-        if old is not None:
-            new = latest_positions(read_version(batch.sparkSession, path, old).unionByName(new.select(
-                *read_version(batch.sparkSession, path, old).columns)))
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id:012d}")
-    return write
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return latest_positions(batch if old is None else old.unionByName(batch.select(*old.columns)))
+    return merge_batches(path, ["user", "book"], merge, partitions)

@@ -1,54 +1,61 @@
-"""Versioned tables for streaming writers: one folder per batch, the highest complete one counts."""
+"""Tables that streams keep up to date: Spark's Parquet writer with dynamic partition overwrite.
+
+Rows are dealt over a fixed number of partitions by a hash of their key. A micro-batch reads and writes the partitions that it touches and no
+others. Merging twice changes nothing, so a batch that is tried again after a failure gives the same table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.operators.notes import changed_books, merge_with_tombstones
-
-
-def latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """Highest committed version (below a batch id, so that a retry reads its predecessor)."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    found = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            found.append(int(name[2:]))
-    found = [v for v in found if below is None or v < below]
-    return max(found) if found else None
-
+from bookflow.operators.notes import merge_with_tombstones
+from bookflow.settings import stage
 
-def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={version:012d}")
+PARTITIONS = 64
+SLOT = "_slot"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    v = latest_version(spark, path)
-    return None if v is None else read_version(spark, path, v)
-
+    """The table without its partition column; None before the first batch."""
+    try:
+        return spark.read.parquet(path).drop(SLOT)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
-def merge_notes_batches(path: str):
-    """``foreachBatch`` writer for notes: last write wins with tombstones.
 
-    Tombstones stay in the table, so that an older copy arriving later cannot revive a note.
-    A batch that changes nothing writes no new version.
-    """
+def merge_batches(path: str, by: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+                  partitions: int = PARTITIONS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer: ``merge`` of the touched part of the table (None: no table yet) and the batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = latest_version(spark, path, batch_id)
-        base = read_version(spark, path, old) if old is not None else batch.filter(F.lit(False)).drop("seq")
-        live, dead = merge_with_tombstones(base, batch)
-        stamps = base.unionByName(batch, allowMissingColumns=True).groupBy("book", "id").agg(
-            F.max(F.coalesce("updated", "created")).alias("updated"))
-        graves = dead.join(stamps, ["book", "id"]).withColumn("deleted", F.lit(True))
-        new = live.withColumn("deleted", F.lit(False)).unionByName(graves, allowMissingColumns=True).select(
-            *base.columns)
-        if old is not None and changed_books(base, new).isEmpty():
+        slot = F.pmod(F.xxhash64(*by), F.lit(partitions)).cast("int")
+        new = stage(batch.withColumn(SLOT, slot), "micro-batch")
+        touched = [r[0] for r in new.select(SLOT).distinct().collect()]      # at most ``partitions``
+        if not touched:
             return
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id:012d}")
+        old = None
+        if read_table(spark, path) is not None:
+            old = spark.read.parquet(path).where(F.col(SLOT).isin(touched)).drop(SLOT)
+        merged = stage(merge(old, new.drop(SLOT)).withColumn(SLOT, slot), "merged")
+        merged.repartition(SLOT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SLOT).parquet(path)
     return write
+
+
+def _merge_notes(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    base = old if old is not None else batch.filter(F.lit(False)).drop("seq")
+    live, dead = merge_with_tombstones(base, batch)
+    stamp = F.coalesce(F.nullif("updated", F.lit("")), F.nullif("created", F.lit("")))   # an empty stamp is none
+    stamps = base.unionByName(batch, allowMissingColumns=True).groupBy("book", "id").agg(F.max(stamp).alias("updated"))
+    graves = dead.join(stamps, ["book", "id"]).withColumn("deleted", F.lit(True))
+    return live.withColumn("deleted", F.lit(False)).unionByName(graves, allowMissingColumns=True).select(*base.columns)
+
+
+def merge_notes_batches(path: str, partitions: int = PARTITIONS) -> Callable[[DataFrame, int], None]:
+    """Notes: last write wins with tombstones, which stay in the table, so that an older copy arriving later can't revive a note."""
+    return merge_batches(path, ["book", "id"], _merge_notes, partitions)

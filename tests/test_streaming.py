@@ -56,15 +56,23 @@ def test_accept_and_throttle_streams(spark, tmp_path):
     rows = [(u, b, d, ci, t, si, f, up - (q % 4) * 5000, q) for u, b, d, ci, t, si, f, up, q in _events()]
     schema = spark.createDataFrame(rows[:1], COLS).schema
     (tmp_path / "a").mkdir(), (tmp_path / "t").mkdir()
-    s = _stream(spark, tmp_path / "a", rows, schema)
-    # Batches are read in file order; sequence numbers give the arrival order inside one.
-    got = {r.seq for r in _run(progress.accept_stream(s, "d0"), tmp_path / "a").collect()}
-    want = {r.seq for r in progress.accepted(spark.createDataFrame(rows, COLS), F.lit("d0")).collect()}
-    assert got == want
+    # They arrive in this order, the rows of a file shuffled; two far later rows let the watermark pass.
+    rows = [(*r, 1_700_000_000_000 + 1000 * r[8]) for r in rows]
+    cols = f"{COLS}, arrived long"
+    tail = [("~", "b", "d9", 0, 0.0, 0, 0.0, 1, 10_000 + k, rows[-1][9] + k * 10_000_000) for k in (1, 2)]
+    parts = [x for k in range(0, len(rows), 40) for x in random.Random(k).sample(rows[k:k + 40], len(rows[k:k + 40]))]
+    s = _stream(spark, tmp_path / "a", parts, spark.createDataFrame(rows[:1], cols).schema, tail=tail)
+    playable = spark.createDataFrame([(b, c) for b in ("b0", "b1", "b2") for c in range(5) if c != 2], "book string, ch int")
+    paused = "seq % 7 > 0"
+    got = {r.seq for r in _run(progress.accept_stream(s, "d0", F.expr(paused), playable, bucket_ms=5000), tmp_path / "a").collect()}
+    batch = progress.usable(spark.createDataFrame(rows, cols), playable, F.lit("d0"))
+    want = {r.seq for r in progress.accepted(batch, F.lit("d0"), F.expr(paused)).collect()}
+    assert got - {10_001, 10_002} == want and want
     ticks = [("s", i * 37 + (i % 7), (i // 9) % 2, i) for i in range(200)]
     ts = "session string, ms long, si int, seq long"
-    s = _stream(spark, tmp_path / "t", ticks, spark.createDataFrame(ticks[:1], ts).schema)
-    got = {r.seq for r in _run(progress.throttle_stream(s), tmp_path / "t").collect()}
+    tail = [("~", 10_000_000 * k, 0, 10_000 + k) for k in (1, 2)]
+    s = _stream(spark, tmp_path / "t", ticks, spark.createDataFrame(ticks[:1], ts).schema, tail=tail)
+    got = {r.seq for r in _run(progress.throttle_stream(s, bucket_ms=500), tmp_path / "t").collect() if r.session == "s"}
     want = {r.seq for r in progress.throttle(spark.createDataFrame(ticks, ts)).collect()}
     last = si = None
     brute = set()
@@ -98,6 +106,24 @@ def test_latest_positions_table(spark, tmp_path):
     assert got == want
 
 
+def test_a_batch_that_is_tried_again_changes_nothing(spark, tmp_path):
+    rows, path = _events(), str(tmp_path / "table")
+    write = progress.upsert_positions(path, 4)
+    for k in (0, 40, 40, 80, 40):
+        write(spark.createDataFrame(rows[k:k + 40], COLS), k)
+    got = {(r.user, r.book, r.seq) for r in tables.read_table(spark, path).collect()}
+    assert got == {(r.user, r.book, r.seq) for r in progress.latest_positions(spark.createDataFrame(rows, COLS)).collect()}
+
+
+def test_a_grave_with_an_empty_stamp(spark, tmp_path):
+    """An empty stamp is none: the grave counts from its creation."""
+    cols, path = "book string, id string, seq long, created string, updated string, deleted boolean, note string", str(tmp_path / "table")
+    write = tables.merge_notes_batches(path, 2)
+    for k, r in enumerate([("b", "1", 0, "2024-01-01", "2024-01-02", False, "x"), ("b", "1", 1, "2024-01-05", "", True, None), ("b", "1", 2, "2024-01-01", "2024-01-03", False, "old")]):
+        write(spark.createDataFrame([r], cols), k)
+    assert [(r.deleted, r.updated) for r in tables.read_table(spark, path).collect()] == [(True, "2024-01-05")]
+
+
 def test_notes_stream_keeps_graves(spark, tmp_path):
     cols = "book string, id string, seq long, created string, updated string, deleted boolean, note string"
     rows = [("b", "1", 0, "a", "2024-01-01", False, "x"), ("b", "2", 1, "a", "2024-01-01", False, "y"),
@@ -114,8 +140,9 @@ def test_notes_stream_keeps_graves(spark, tmp_path):
 def test_newly_ready_stream(spark, tmp_path):
     rows = [("b", v, v // 3, "generating" if v < 8 else "ready") for v in range(10)] + [("c", 3, 1, "ready")]
     cols = "book string, version long, chapters_ready long, status string"
-    s = _stream(spark, tmp_path, rows, spark.createDataFrame(rows[:1], cols).schema)
-    got = {tuple(r) for r in _run(jobs.newly_ready_stream(s), tmp_path).collect()}
+    tail = [("~", 10_000_000 * k, 0, "x") for k in (1, 2)]
+    s = _stream(spark, tmp_path, rows, spark.createDataFrame(rows[:1], cols).schema, tail=tail)
+    got = {tuple(r) for r in _run(jobs.newly_ready_stream(s), tmp_path).collect() if r.book != "~"}
     assert got == {tuple(r) for r in jobs.newly_ready(spark.createDataFrame(rows, cols)).collect()}
 
 
