@@ -202,9 +202,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fps = stage(fingerprints(docs, doc_id, text), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, as is the smallest id of each: the join back isn't tied to the aggregate's partitions, so a root of many can be split.
+    rooted = stage(distinct.join(found, distinct["fp"] == found["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    lowest = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     member = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(member, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
