@@ -15,6 +15,7 @@ All numbers are little-endian.
 
 from __future__ import annotations
 
+import bisect
 import os
 import struct
 import uuid
@@ -126,8 +127,9 @@ class ShardReader:
     def documents(self, wanted: set[int] | None = None) -> Iterator[tuple[int | None, int, bytes]]:
         """(id, ids before it in the shard, its ids) of all documents, or of the wanted ones."""
         before = np.concatenate([[0], np.cumsum(self.directory["ids"].astype(np.int64))]).tolist()
+        ask = sorted(wanted) if wanted is not None else None
         for k, d in enumerate(self.directory):
-            if wanted is not None and not any(d["first"] <= w <= d["last"] for w in wanted):
+            if ask is not None and not within(ask, d["first"], d["last"]):
                 continue
             start = before[k]
             for doc_id, ids in zip(*self.frame(k), strict=True):
@@ -136,6 +138,11 @@ class ShardReader:
                 start += len(ids) // 4
 
 
+def within(ask: list[int], first: int, last: int) -> bool:
+    """Whether one of the sorted numbers lies in a range."""
+    return bisect.bisect_left(ask, first) < bisect.bisect_right(ask, last)
+
+
 def _filesystem(folder: str):
     """Executors reach the shared folder through its own scheme."""
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
@@ -153,21 +160,23 @@ def library_encoder(vocabulary: str) -> PieceCache:
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None,
                       doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text with the tokenizers library, append ``end_id`` and write shards in ascending order of
-    ``doc_id``; returns their manifest: shard (ascending as the ids), path, n_docs, n_tokens, base (ids of all
-    shards before).
+    ``doc_id``; returns their manifest: shard (ascending as the ids), path, n_docs, n_tokens, first and last id (null:
+    none), base (ids of all shards before).
 
     Null and empty texts are just the end id; null ids come first; repeated rows are written as often as they
-    occur, in the order of their texts; an empty table has an empty manifest.  Only ``doc_id`` and ``text`` are
-    read.  The range partitioning moves texts, not ids, so that its sampling pass doesn't encode.  A task that
+    occur, rows of one id in the order of a hash of their texts; an id (or none) that a third of all rows have is dealt over many
+    shards. An empty table has an empty manifest.  Only ``doc_id`` and ``text`` are read.  The range partitioning moves texts, not ids, so that its sampling pass doesn't encode.  A task that
     runs twice writes two files; the manifest names the one whose task was taken.
     """
     folder = folder or f"{work_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     special, special_id = specials(vocabulary)
-    ordered = (docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+    order = ["doc_id", "hash", "tie"]
+    ordered = (docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text].isNull(), docs[text]).alias("hash"),
+                           F.monotonically_increasing_id().alias("tie"))
+               .repartitionByRange(*order).sortWithinPartitions(*order).drop("hash", "tie"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out, writer, docs_n, ids_n = library_encoder(vocabulary), None, None, 0, 0
+        cache, out, writer, docs_n, ids_n, first, last = library_encoder(vocabulary), None, None, 0, 0, None, None
         shard = TaskContext.get().partitionId()
         system, base = _filesystem(folder)
         path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
@@ -182,14 +191,16 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
             got = encode_texts([t or "" for t in batch.column(1).to_pylist()], cache, special, special_id)
             for d, x in zip(batch.column(0).to_pylist(), got, strict=True):
                 writer.add(d, np.concatenate([x, end]))
-                docs_n, ids_n = docs_n + 1, ids_n + len(x) + 1
+                docs_n, ids_n, last = docs_n + 1, ids_n + len(x) + 1, d
+                first = d if first is None else first
         if writer is not None:
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path],
-                                              "n_docs": pa.array([docs_n], pa.int64()), "n_tokens": pa.array([ids_n], pa.int64())})
+                                              "n_docs": pa.array([docs_n], pa.int64()), "n_tokens": pa.array([ids_n], pa.int64()),
+                                              "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64())})
 
-    done = stage(ordered.mapInArrow(write, "shard bigint, path string, n_docs bigint, n_tokens bigint"), "token-manifest")
+    done = stage(ordered.mapInArrow(write, "shard bigint, path string, n_docs bigint, n_tokens bigint, first bigint, last bigint"), "token-manifest")
     return prefix_sum(done, [], ["shard"], F.expr("shard div 4096"), base=F.col("n_tokens")).withColumn("folder", F.lit(folder))
 
 
@@ -197,12 +208,15 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit) of all
     documents, or of the wanted ones: then only the frames that may hold them are decompressed."""
     names = set(wanted) if wanted is not None else None
+    ask = sorted(names) if names is not None else None
     # One shard a task; the manifest has one small row per shard.
-    rows = manifest.select("folder", "path", "base").repartition(max(1, manifest.count()))
+    rows = manifest.select("folder", "path", "base", "first", "last").repartition(max(1, manifest.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                if ask is not None and (row["first"] is None or not within(ask, row["first"], row["last"])):
+                    continue                         # no wanted document: the file isn't opened
                 system, _ = _filesystem(row["folder"])
                 with system.open_input_file(row["path"]) as f:
                     block, size = [], 0

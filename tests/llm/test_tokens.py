@@ -1,6 +1,7 @@
 """BPE and token files against the tokenizers library, and exact round trips."""
 
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -13,6 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyarrow import fs
 
+from pyspark.sql import functions as F
+
 from bookflow.llm import bpe, pieces, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -114,6 +117,27 @@ def _file(tmp_path, docs):
     return path
 
 
+def test_a_hot_id_is_dealt_over_shards(spark, library):
+    """A third of all rows have no id, a third one id; shards that hold no wanted document aren't opened."""
+    d = spark.range(900).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"),
+                                F.concat(F.lit("text "), (F.col("id") % 50).cast("string")).alias("text")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(d, PATH, 2)
+        shards = manifest.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shards) > 2 and max(r["n_docs"] for r in shards) < 600
+    rows = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    assert len(rows) == 900 and [r["doc_id"] for r in rows] == sorted((r["doc_id"] for r in rows), key=lambda x: (x is not None, x))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
+    for r in shards:
+        if r["first"] is None or not r["first"] <= 8 <= r["last"]:
+            os.rename(r["path"], r["path"] + ".away")
+    got = token_files.read_token_files(manifest, [8]).collect()
+    assert [(r["doc_id"], r["start"]) for r in got] == [(r["doc_id"], r["start"]) for r in rows if r["doc_id"] == 8]
+
+
 def test_readers_decompress_only_what_is_asked(tmp_path):
     r = np.random.default_rng(1)
     docs = [(d, r.integers(0, 50_000, 20_000).astype(np.uint32)) for d in range(60)]
