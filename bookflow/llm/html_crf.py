@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,8 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
                    "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
                    "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style xmp iframe noembed noframes noscript template".split())    # no text of the page
+RAW = frozenset("script style xmp iframe noembed noframes template".split())    # no text of the page
+INERT = frozenset("iframe noembed noframes template".split())                    # of these a start tag without an end is passed over
 PLAIN = frozenset("title textarea".split())       # text without tags inside
 LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
                        "pre ruby s small span strong strike sub sup table tt u ul var".split())
@@ -44,10 +46,20 @@ PARTS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+@dataclass(slots=True, eq=False)
+class Place:
+    """An element with its ancestors; what it adds to theirs, so that a page's cost doesn't grow with its depth."""
+    parent: Place | None
+    tag: str
+    words: frozenset[str]                # of class, id and role
+    new: tuple[str, ...]                 # features of the path that no ancestor has
+    told: Place | None                   # the innermost container that says something of its content
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple           # ancestors: (tag, words of class, id and role)
+    path: Place | None                   # the innermost open element
     linked: int           # characters inside links
     label: int = 0
 
@@ -85,7 +97,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
     """Runs of text between block-level tags in page order; references decoded, white space runs as one space."""
     page = page or ""
     blocks: list[Block] = []
-    path: list[tuple[str, frozenset[str]]] = []
+    path: list[Place] = []
+    opened: Counter = Counter()          # open elements by tag, and open features of the path
+    ends: dict[str, bool] = {}           # whether an end tag of the name is still to come
     buffer: list[tuple[str, bool]] = []
     links = 0
     drawings: dict[int, int] | None = None
@@ -94,17 +108,31 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if buffer:
             text = SPACES.sub(" ", "".join(t for t, _ in buffer)).strip()
             if text:
-                blocks.append(Block(text, tuple(path), sum(len(t) for t, linked in buffer if linked)))
+                blocks.append(Block(text, path[-1] if path else None, sum(len(t) for t, linked in buffer if linked)))
             buffer.clear()
 
-    def close(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> bool:
+    def features_of(tag: str, words: frozenset[str]) -> list[str]:
+        return [*([] if tag in ("html", "body") else [f"in={tag}"]), *(f"word={w}" for w in sorted(words))]
+
+    def push(tag: str, words: frozenset[str]) -> None:
+        own, parent = features_of(tag, words), path[-1] if path else None
+        node = Place(parent, tag, words, tuple(x for x in own if not opened[x]), parent.told if parent else None)
+        if tag in TELLING or words and tag in ("div", "section"):
+            node.told = node
+        path.append(node)
+        opened.update([tag, *own])
+
+    def close(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> None:
+        if not any(opened[n] for n in names):
+            return
         for k in range(len(path) - 1, -1, -1):
-            if path[k][0] in names:
+            if path[k].tag in names:
+                for node in path[k:]:
+                    opened.subtract([node.tag, *features_of(node.tag, node.words)])
                 del path[k:]
-                return True
-            if path[k][0] in stop:
-                return False
-        return False
+                return
+            if path[k].tag in stop:
+                return
 
     at = 0
     while at < len(page):
@@ -132,8 +160,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
             at = drawings.get(at, at)            # without an end of its own its text is the page's
             continue
         if name in RAW or name in PLAIN:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if ends.get(name, True):                 # looked for once more only while there was one
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                ends[name] = end is not None
+                at = end.end() if end else at if name in INERT else len(page)
+            elif name not in INERT:
+                at = len(page)
             continue
         if name == "br":
             buffer.append((" ", False))
@@ -146,22 +178,26 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if name in IMPLIED:
                 close(IMPLIED[name], SCOPES - {"td", "th"} if name == "tr" else SCOPES)
             if name not in VOID:
-                path.append((name, _words(m["rest"])))
+                push(name, _words(m["rest"]))
     flush()
     return blocks
 
 
-def block_features(blocks: list[Block]) -> list[list[str]]:
-    """Names of the features that hold for each block."""
+def ancestors(place: Place | None) -> Iterator[Place]:
+    while place is not None:
+        yield place
+        place = place.parent
+
+
+def own_features(blocks: list[Block]) -> list[list[str]]:
+    """Features of each block apart from those that its path gives to all blocks below it."""
     out = []
     for k, b in enumerate(blocks):
-        tags = [t for t, _ in b.path if t not in ("html", "body")]
-        names = {"bias", f"tag={tags[-1] if tags else ''}"} | {f"in={t}" for t in tags}
-        names |= {f"word={w}" for _, ws in b.path for w in ws} | {f"last={w}" for w in (b.path[-1][1] if b.path else ())}
-        # The innermost container that says something of its content.
-        told = [(t, ws) for t, ws in b.path if t in TELLING or ws and t in ("div", "section")]
-        if told:
-            names |= {f"inner={told[-1][0]}"} | {f"inner={w}" for w in told[-1][1]}
+        tag = b.path.tag if b.path and b.path.tag not in ("html", "body") else ""
+        inner = next((x.tag for x in ancestors(b.path) if x.tag not in ("html", "body")), "") if b.path and not tag else tag
+        names = {"bias", f"tag={inner}"} | {f"last={w}" for w in (b.path.words if b.path else ())}
+        if b.path and b.path.told:
+            names |= {f"inner={b.path.told.tag}"} | {f"inner={w}" for w in b.path.told.words}
         n, words = len(b.text), b.text.count(" ") + 1
         names.add(f"length={min(6, (n // 20).bit_length())}")
         names.add(f"links={round(4 * min(1, b.linked / max(1, n)))}")
@@ -180,6 +216,11 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
     return out
 
 
+def block_features(blocks: list[Block]) -> list[list[str]]:
+    """Names of all features that hold for each block (of training pages, which are shallow)."""
+    return [sorted({*own, *(x for a in ancestors(b.path) for x in a.new)}) for b, own in zip(blocks, own_features(blocks), strict=True)]
+
+
 class Field:
     """A chain of two labels: weights of (feature, label), of label pairs, and of the first label."""
 
@@ -236,10 +277,26 @@ class Field:
                 self.step += rate * pairs / np.sqrt(seen_step)
         return self
 
+    def page_emissions(self, blocks: list[Block]) -> np.ndarray:
+        """As of all features of each block; those of a path are added up once for each element."""
+        weight, known = (lambda names: self.emit[[self.number[x] for x in names if x in self.number]].sum(0)), {None: np.zeros(2)}
+        for b in blocks:
+            missing = []
+            for a in ancestors(b.path):
+                if a in known:
+                    break
+                missing.append(a)
+            for a in reversed(missing):
+                known[a] = known[a.parent] + weight(a.new) if a.new else known[a.parent]
+        return np.array([known[b.path] + weight(own) for b, own in zip(blocks, own_features(blocks), strict=True)]).reshape(-1, 2)
+
     def viterbi(self, names: list[list[str]]) -> list[int]:
-        if not names:
+        return self.best_path(self._emissions(self._ids(names, False)))
+
+    def best_path(self, emissions: np.ndarray) -> list[int]:
+        if not len(emissions):
             return []
-        e = self._emissions(self._ids(names, False)).tolist()
+        e = emissions.tolist()
         (s00, s01), (s10, s11) = self.step.tolist()
         a, b, back = e[0][0], e[0][1], []
         for x, y in e[1:]:
@@ -384,7 +441,7 @@ def train(n: int = PAGES, seed: int = SEED) -> Field:
 
 def main_text(page: str | None, field: Field) -> str:
     blocks = leaf_blocks(page)
-    return "\n".join(b.text for b, y in zip(blocks, field.viterbi(block_features(blocks)), strict=True) if y)
+    return "\n".join(b.text for b, y in zip(blocks, field.best_path(field.page_emissions(blocks)), strict=True) if y)
 
 
 def extract(pages: DataFrame, field: Field, html: str = "html", text: str = "text", n_chars: str = "n_chars",

@@ -271,6 +271,34 @@ def test_a_drawing_ends_at_its_own_end():
     assert texts("<svg>" * 20_000 + "<p>end") == ["end"]
 
 
+def test_features_of_paths_add_up(field):
+    pages = [p for p, _ in html_crf.labelled_pages(20, 99)] + ["<div class='a b'><div class=a><p>x</div><p class=b>y<section id=c><li>z<li>w</section>v"]
+    for page in pages:
+        blocks = html_crf.leaf_blocks(page)
+        assert np.allclose(field.page_emissions(blocks), field._emissions(field._ids(html_crf.block_features(blocks), False)))
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<div class=%d>", "<section>", "<ul><li>", "<table><tr><td>", "<template>", "<b>", "</p>", "<p>"])
+def test_depth_costs_no_more_than_length(field, tag):
+    import time
+    page = "".join((tag % k if "%" in tag else tag) + "word " for k in range(100_000))
+    t0 = time.process_time()
+    html_crf.main_text(page, field)
+    assert time.process_time() - t0 < 30
+    page = "".join((tag % k if "%" in tag else tag) for k in range(100_000)) + "</section>" * 1000 + "<article><p>A text, long enough. And here is more of it."
+    t0 = time.process_time()
+    html_crf.main_text(page, field)
+    assert time.process_time() - t0 < 5 * tag.count("<")
+
+
+def test_noscript_and_open_templates(field):
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts("<p>a<noscript> b <i>c</i></noscript> d<p>e") == ["a b c d", "e"]
+    assert texts("<p>a<template>gone<p>too</template> b") == ["a b"]
+    assert texts("<p>a<template>left<p>b<iframe>c") == ["aleft", "bc"]
+    assert texts("<p>a<script>gone<p>b") == ["a"]
+
+
 def test_pages_query(spark):
     import re
     got = QUERIES["op6_html_crf"](spark, SF).toPandas().set_index("page_id")
