@@ -271,12 +271,21 @@ def apply_rules(col, compiled: Sequence[tuple[str, str]]) -> Column:
 
 # ---- titles, labels, ids --------------------------------------------------------------------
 
+def normalize_all(texts) -> Column:
+    """``normalize_unicode`` of every text of an array; all in one call, as NFKC can't be asked for inside a lambda.
+
+    Texts hold no U+0001. Null ones become empty.
+    """
+    c = _c(texts)
+    whole = normalize_unicode(F.array_join(c, "\u0001", ""))
+    return F.when(F.size(c) > 0, F.split(whole, "\u0001")).otherwise(F.array().cast("array<string>"))
+
+
 def title_matches(title, wanted) -> Column:
     """Equal keys, or a wanted key of six or more characters inside the title."""
-    k = match_key(title, nfkc=False)
-    return (k != "") & F.exists(wanted, lambda w: (k == match_key(w, nfkc=False)) & (k != "")
-                                | ((F.length(match_key(w, nfkc=False)) >= 6)
-                                   & F.contains(k, match_key(w, nfkc=False))))
+    keys = F.transform(normalize_all(wanted), lambda w: match_key(w, nfkc=False))
+    return let(F.struct(match_key(title).alias("k"), keys.alias("w")), lambda v: (v["k"] != "") & F.exists(
+        v["w"], lambda w: (w == v["k"]) | ((F.length(w) >= 6) & F.contains(v["k"], w))))
 
 
 def norm_words(col) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,16 +91,18 @@ def clean_pages(pages: DataFrame, running: DataFrame | None = None) -> DataFrame
 
 # ---- cleaning under a profile ----------------------------------------------------------------
 
-_compiled: dict[str, re.Pattern | None] = {}
+REMEMBERED = 1024              # pattern lists that a task keeps compiled
 
 
-def _pattern(p: str):
-    if p not in _compiled:
+@lru_cache(maxsize=REMEMBERED)
+def _patterns(patterns: tuple[str, ...]) -> tuple[re.Pattern, ...]:
+    out = []
+    for p in patterns:
         try:
-            _compiled[p] = re.compile(p)
-        except re.error:
-            _compiled[p] = None         # a bad pattern is ignored, it must not fail the job
-    return _compiled[p]
+            out.append(re.compile(p))
+        except re.error:               # a bad pattern is ignored, it must not fail the job
+            pass
+    return tuple(out)
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -107,12 +111,16 @@ def match_any(lines: pd.Series, patterns: pd.Series) -> pd.Series:
 
     Patterns differ from book to book; the JVM would compile them again for every line.
     """
-    def one(ls, ps):
-        if ls is None or ps is None:
-            return None
-        rx = [r for r in map(_pattern, ps) if r is not None]
-        return [any(r.search(x) for r in rx) for x in ls]
-    return pd.Series([one(a, b) for a, b in zip(lines, patterns)], dtype=object)
+    out = np.empty(len(lines), dtype=object)
+    lists = patterns.map(lambda p: tuple(p) if p is not None else None)
+    for own, at in lists.groupby(lists, sort=False).indices.items():       # each list once for all its rows
+        rx = _patterns(own)
+        texts = [lines.iloc[k] for k in at]
+        flat = pd.Series([x for t in texts if t is not None for x in t], dtype=object)
+        known = {x: any(r.search(x) for r in rx) for x in flat.unique()}   # lines repeat from page to page
+        for k, t in zip(at, texts, strict=True):
+            out[k] = None if t is None else [known[x] for x in t]
+    return pd.Series(out, dtype=object)
 
 
 def _list(c: Column) -> Column:

@@ -213,12 +213,50 @@ def note_anchors(ranges: DataFrame, tl: DataFrame) -> DataFrame:
         {"prefix": tail, "suffix": F.substring("_suf", 1, 32)}).drop("_pre", "_suf")
 
 
-def highlight_colors(notes: DataFrame, n_sentences: DataFrame) -> DataFrame:
-    """Colour per sentence; where notes overlap the last in list order wins."""
+LEVELS = 40                                   # of ranges that halve; a chapter has fewer than 2^39 sentences
+
+
+def _halves(lo: Column, hi: Column) -> Column:
+    """A range as the few aligned ranges of 2^level places (level, place) that make it up; at most two of each level."""
+    piece = "array<struct<level:int,place:bigint>>"
+
+    def step(s: Column, level: Column) -> Column:
+        a, b, on = s["a"], s["b"], s["a"] <= s["b"]
+        left, right = on & (a % 2 == 1), on & (b % 2 == 0)
+        one = lambda hit, at: F.when(hit, F.array(F.struct(level.alias("level"), at.alias("place")))).otherwise(F.array().cast(piece))
+        # A range of one place is taken from one side only.
+        right = right & ~(left & (a == b))
+        up = lambda x: F.when(on, F.shiftright(x, 1)).otherwise(x)
+        return F.struct(up(a + F.when(left, 1).otherwise(0)).alias("a"), up(b - F.when(right, 1).otherwise(0)).alias("b"),
+                        F.concat(s["out"], one(left, a), one(right, b)).alias("out"))
+
+    start = F.struct(lo.cast("bigint").alias("a"), hi.cast("bigint").alias("b"), F.array().cast(piece).alias("out"))
+    done = lambda s: s["out"]
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, done)
+
+
+def highlight_runs(notes: DataFrame, n_sentences: DataFrame) -> DataFrame:
+    """``(book, ch, from, to, color)``: runs of sentences with one colour; where notes overlap the last in list order wins.
+
+    A note costs two bounds and a few aligned ranges however long it is. The latest note of every aligned range is found by an
+    aggregate; between two neighbouring bounds the colour is that of the latest range above the first of them. No chapter is swept by one task.
+    """
     d = notes.join(n_sentences, ["book", "ch"]).filter(
         (F.col("si") >= 0) & (F.col("sj") < F.col("n_sentences")) & (F.col("si") <= F.col("sj")))
-    d = d.select("book", "ch", "seq", "color", F.explode(F.sequence("si", "sj")).alias("i"))
-    return d.groupBy("book", "ch", "i").agg(F.max_by("color", "seq").alias("color"))
+    d = stage(d.select("book", "ch", "seq", "color", "si", "sj"), "highlights")
+    top = d.select("book", "ch", "seq", "color", F.explode(_halves(F.col("si"), F.col("sj"))).alias("x")).groupBy(
+        "book", "ch", "x.level", "x.place").agg(F.max(F.struct("seq", "color")).alias("top"))
+    bounds = d.select("book", "ch", F.explode(F.array(F.col("si").cast("bigint"), F.col("sj").cast("bigint") + 1)).alias("from")).distinct()
+    runs = scan.next_value(bounds, ["book", "ch"], ["from"], F.floor(F.col("from") / BLOCK), to=F.col("from") - 1).where("to IS NOT NULL")
+    up = runs.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("place", F.expr("shiftright(from, level)"))
+    found = up.join(top, ["book", "ch", "level", "place"]).groupBy("book", "ch", "from", "to").agg(F.max("top").alias("top"))
+    return found.select("book", "ch", "from", "to", "top.color")
+
+
+def highlight_colors(notes: DataFrame, n_sentences: DataFrame) -> DataFrame:
+    """The runs as one row for each sentence."""
+    d = highlight_runs(notes, n_sentences).withColumn("i", F.explode(F.sequence("from", "to")))
+    return d.select("book", "ch", F.col("i").cast("int").alias("i"), "color")
 
 
 SPAN = 4096                                   # characters per block of chapter text, at least

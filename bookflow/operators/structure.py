@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bookflow.functions.arrays import let
-from bookflow.functions.text import _c, match_key, normalize_unicode, strip, title_matches, word_count
+from bookflow.functions.text import _c, match_key, normalize_all, normalize_unicode, strip, title_matches, word_count
 from bookflow.operators import scan
 from bookflow.operators.clean import match_any
-from bookflow.operators.lookup import asof_scan, substring_join
+from bookflow.operators.lookup import asof_cells, asof_scan, substring_join
 from bookflow.settings import BLOCK, FRONT_MATTER_CHARS, SAMPLE_BUDGET, SECTION_WORDS, stage
 
 OFFSET_CELL = 1 << 20          # characters per block of an offset scan
@@ -35,7 +35,7 @@ def book_lengths(pages: DataFrame) -> DataFrame:
 
 def page_of_offset(probes: DataFrame, offsets: DataFrame) -> DataFrame:
     """Page that holds a character offset (0 before the first page)."""
-    hit = asof_scan(probes, offsets, ["book"], "off", "page_off", ["page"], OFFSET_CELL)
+    hit = asof_cells(probes, offsets, ["book"], "off", "page_off", ["page"], 4096)
     return hit.withColumn("page", F.coalesce("page", F.lit(0)))
 
 
@@ -107,13 +107,21 @@ def scan_headings(pages: DataFrame, pattern: str | None = None,
 
 
 def upper_median(df: DataFrame, key: str, col: str, name: str = "median") -> DataFrame:
-    """``sorted(values)[n // 2]`` per key, from counts per distinct value."""
-    c = df.groupBy(key, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
-    run = W.partitionBy(key).orderBy("_v")
-    c = c.withColumn("_cum", F.sum("_n").over(run)).withColumn(
-        "_all", F.sum("_n").over(W.partitionBy(key)))
-    return c.filter(F.col("_cum") > F.floor(F.col("_all") / 2)).groupBy(key).agg(
-        F.min("_v").alias(name))
+    """``sorted(values)[n // 2]`` per key, null values left out.
+
+    Counts per distinct value are dealt by ranges of (key, value). One number for each (range, key) tells in which range the
+    median lies; only there values are counted one by one. A key of any number of values is spread over tasks.
+    """
+    c = df.where(F.col(col).isNotNull()).groupBy(key, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+    c = stage(c.repartitionByRange(key, "_v").withColumn("_part", F.spark_partition_id()), "value_counts")
+    parts = c.groupBy(key, "_part").agg(F.sum("_n").alias("_m"))
+    run = W.partitionBy(key).orderBy("_part")
+    parts = parts.withColumns({"_before": F.sum("_m").over(run) - F.col("_m"), "_half": F.floor(F.sum("_m").over(W.partitionBy(key)) / 2)})
+    own = parts.where((F.col("_before") <= F.col("_half")) & (F.col("_half") < F.col("_before") + F.col("_m")))
+    d = c.join(own.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), "_before", "_half"),
+               F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    upto = F.sum("_n").over(W.partitionBy(key, "_part").orderBy("_v")) + F.col("_before")
+    return d.withColumn("_upto", upto).where("_upto > _half").groupBy(key).agg(F.min("_v").alias(name))
 
 
 def font_headings(lines: DataFrame) -> DataFrame:
@@ -307,6 +315,7 @@ def section_bounds(sectioned: DataFrame, lengths: DataFrame) -> DataFrame:
 
 # ---- heading labels at the start of a chapter --------------------------------------------------
 
+LABELS = 3                                    # paragraphs that may be labels
 _PARA = r"(?U)^\s*([^\n]+?)\s*(?:\n\n|\n|$)"
 _CAPS = (r"^((?:(?:[^A-Za-z \n]+ )*(?=[^ \n]*[A-Z][^ \na-zA-Z]*[A-Z])[^ \n\p{Ll}]+ ){2,})(?=[a-z]\s)")
 
@@ -321,25 +330,31 @@ def heading_cut(text, title, patterns) -> Column:
 
     Three steps, each bound to a variable: up to three short paragraphs that match a label
     pattern or repeat the title; the title glued to the first sentence; a run of capitals
-    before a lone drop-cap letter ("FERRIES , AND HARBOURS n the").
+    before a lone drop-cap letter ("FERRIES , AND HARBOURS n the"). Patterns that don't compile match nothing.
     """
     t = _c(text)
-    key = match_key(F.coalesce(_c(title), F.lit("")), nfkc=False)
-    plain = normalize_unicode(strip(F.coalesce(_c(title), F.lit(""))), nfkc=False)
-
-    def label(st, v):
-        rest = F.substring(v["t"], st["cut"] + 1, F.length(v["t"]))
-
-        def judge(para):
-            pkey = match_key(para, nfkc=False)
-            hit = F.exists(v["pats"], lambda p: F.regexp_like(para, p)) | let(pkey, lambda k: (
-                v["key"] != "") & ((k == v["key"]) | ((F.length(v["key"]) >= 4) & F.contains(v["key"], k))))
-            return (para != "") & (F.length(para) <= 90) & hit
-
-        ok = st["on"] & let(strip(F.regexp_extract(rest, _PARA, 1)), judge)
-        return let(F.struct(ok.alias("ok"), F.length(F.regexp_extract(rest, _PARA, 0)).alias("n")),
-                   lambda x: F.struct((st["cut"] + F.when(x["ok"], x["n"]).otherwise(0)).alias("cut"),
-                                      x["ok"].alias("on")))
+    key = match_key(F.coalesce(_c(title), F.lit("")))
+    plain = normalize_unicode(strip(F.coalesce(_c(title), F.lit(""))))
+    # The paragraphs that may be labels, normalised and matched before the steps, which run inside lambdas.
+    sizes, heads, rest = [], [], t
+    for _ in range(LABELS):
+        whole = F.regexp_extract(rest, _PARA, 0)
+        sizes.append(F.length(whole))
+        heads.append(strip(F.regexp_extract(rest, _PARA, 1)))
+        rest = F.substring(rest, F.length(whole) + 1, F.length(rest))
+    heads = F.array(*[F.when(F.length(h) <= 90, F.coalesce(h, F.lit(""))).otherwise(F.lit("")) for h in heads])
+    paras = F.zip_with(F.array(*sizes), F.zip_with(heads, F.zip_with(
+        normalize_all(heads), F.coalesce(match_any(heads, patterns), F.array(*[F.lit(False)] * LABELS)),
+        lambda k, hit: F.struct(match_key(k, nfkc=False).alias("key"), hit.alias("hit"))),
+        lambda h, x: F.struct((h != "").alias("some"), x["key"].alias("key"), x["hit"].alias("hit"))),
+        lambda n, x: F.struct(n.alias("n"), x["some"].alias("some"), x["key"].alias("key"), x["hit"].alias("hit")))
+
+    def label(st, v, k):
+        def judge(p):
+            titled = (v["key"] != "") & ((p["key"] == v["key"]) | ((F.length(v["key"]) >= 4) & F.contains(v["key"], p["key"])))
+            return F.struct((st["cut"] + F.when(st["on"] & p["some"] & (p["hit"] | titled), p["n"]).otherwise(0)).alias("cut"),
+                            (st["on"] & p["some"] & (p["hit"] | titled)).alias("on"))
+        return let(F.get(v["paras"], F.lit(k)), judge)
 
     def glued(cut, v):
         at = cut + _skip(v["t"], cut, r"(?U)^\s*")
@@ -358,11 +373,11 @@ def heading_cut(text, title, patterns) -> Column:
     def run(v):
         start = F.struct(F.lit(0).alias("cut"), F.lit(True).alias("on"))
         usable = (F.size(v["pats"]) > 0) | (v["key"] != "")
-        cut = let(start, lambda a: let(label(a, v), lambda b: let(label(b, v), lambda c: let(
-            label(c, v), lambda d: let(d["cut"], lambda e: let(glued(e, v), lambda f: capitals(f, v)))))))
+        cut = let(start, lambda a: let(label(a, v, 0), lambda b: let(label(b, v, 1), lambda c: let(
+            label(c, v, 2), lambda d: let(d["cut"], lambda e: let(glued(e, v), lambda f: capitals(f, v)))))))
         return F.when(usable, cut).otherwise(0).cast("int")
 
-    return let(F.struct(t.alias("t"), key.alias("key"), plain.alias("plain"), patterns.alias("pats")), run)
+    return let(F.struct(t.alias("t"), key.alias("key"), plain.alias("plain"), patterns.alias("pats"), paras.alias("paras")), run)
 
 
 # ---- page sample -----------------------------------------------------------------------------

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from bookflow.functions.text import squash
 from bookflow.functions.times import est_samples
 from bookflow.operators import scan
-from bookflow.operators.lookup import asof_scan
+from bookflow.operators.lookup import asof_cells, asof_scan
 from bookflow.operators.structure import OFFSET_CELL
 from bookflow.settings import (BLOCK, PARAGRAPH_GAP_MS, SAMPLE_RATE, SENTENCE_GAP_MS,
                                SENTENCE_LEAD_MS, TIMING_VERSION)
@@ -98,11 +99,10 @@ def topics_of_chapters(markers: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def time_at_char(probes: DataFrame, tl: DataFrame, rel: str = "rel", name: str = "time") -> DataFrame:
     """Start of the last sentence at or before a chapter offset; else the first; else 0."""
-    hit = asof_scan(probes, tl.select("book", "ch", "cs", F.col("s").alias("_s")), ["book", "ch"],
-                    rel, "cs", ["_s"], OFFSET_CELL)
+    hit = asof_cells(probes, tl.select("book", "ch", "cs", F.col("s").alias("_at")), ["book", "ch"], rel, "cs", ["_at"], 4096)
     first = tl.groupBy("book", "ch").agg(F.min_by("s", "i").alias("_first"))
     return hit.join(first, ["book", "ch"], "left").withColumn(
-        name, F.coalesce("_s", "_first", F.lit(0.0))).drop("_s", "_first")
+        name, F.coalesce("_at", "_first", F.lit(0.0))).drop("_at", "_first")
 
 
 def chapter_starts(chapters: DataFrame) -> DataFrame:
@@ -124,17 +124,45 @@ def neighbours(tl: DataFrame) -> DataFrame:
     return scan.next_value(d, ["book", "ch"], ["i"], blk, next_i=F.col("i"))
 
 
-def align_spans(words: DataFrame, sents: DataFrame) -> DataFrame:
+def align_spans(words: DataFrame, sents: DataFrame, by: Sequence[str] = ("book", "ch")) -> DataFrame:
     """Sentence spans from word spans; a sentence without words gets zero width where the one
     before it ended."""
-    w = words.groupBy("book", "ch", "si").agg(F.min_by("start", "w").alias("s"),
-                                              F.max_by("end", "w").alias("_e"))
-    d = sents.join(w, ["book", "ch", "si"], "left").withColumn("_e", F.greatest("_e", "s"))
-    d = scan.last_value(d, ["book", "ch"], ["si"], F.floor(F.col("si") / BLOCK), _prev=F.col("_e"))
+    w = words.groupBy(*by, "si").agg(F.min_by("start", "w").alias("s"), F.max_by("end", "w").alias("_e"))
+    d = sents.join(w, [*by, "si"], "left").withColumn("_e", F.greatest("_e", "s"))
+    d = scan.last_value(d, by, ["si"], F.floor(F.col("si") / BLOCK), _prev=F.col("_e"))
     end = F.coalesce("_e", "_prev", F.lit(0.0))
     return d.withColumns({"s": F.coalesce("s", end), "e": end}).drop("_e", "_prev")
 
 
+def chunked_timeline(sents: DataFrame, words: DataFrame, audio: DataFrame, samples: Callable[[str], Column] = est_samples) -> DataFrame:
+    """Times ``s``, ``e`` of sentences that were spoken in chunks: ``sents(book, ch, chunk, i, t, p)``.
+
+    ``audio(book, ch, chunk, samples)`` is the length of a chunk that was spoken in one go, ``words(book, ch, chunk, si, w, start, end)`` are its word
+    spans in seconds from the chunk's start. A chunk without audio or without any word falls back to sentences one after the other,
+    each with its pause. Chunks follow each other with a sentence's or paragraph's pause.
+
+    Two levels: inside chunks, which the chunk budget bounds, and over one row for each chunk.
+    """
+    by = ["book", "ch", "chunk"]
+    heard = audio.join(words.select(*by).distinct(), by, "left_semi").select(*by, F.col("samples").cast("long").alias("_audio"))
+    d = sents.join(heard, by, "left").withColumns({"_dur": samples("t"), "_gap": F.lit(SAMPLE_RATE * SENTENCE_GAP_MS // 1000).cast("long")})
+    inside = W.partitionBy(*by).orderBy("i")
+    d = d.withColumn("_t", F.sum(F.col("_dur") + F.col("_gap")).over(inside) - F.col("_dur") - F.col("_gap"))
+    chunks = d.groupBy(*by).agg(
+        (F.coalesce(F.max("_audio"), F.sum(F.col("_dur") + F.col("_gap"))) + _gap(F.max_by("p", "i"))).alias("_total"))
+    starts = scan.prefix_sum(chunks, ["book", "ch"], ["chunk"], F.floor(F.col("chunk") / BLOCK), _start=F.col("_total")).drop("_total")
+    spans = align_spans(words, d.where("_audio IS NOT NULL").select(*by, F.col("i").alias("si")), by).select(
+        *by, F.col("si").alias("i"), F.col("s").alias("_s"), F.col("e").alias("_e"))
+    d = d.join(starts, by).join(spans, [*by, "i"], "left")
+
+    def at(measured: str, own: Column) -> Column:
+        """Whole milliseconds, halves up."""
+        exact = F.col("_start") / (SAMPLE_RATE // 1000) + F.col(measured) * 1000
+        return F.when(F.col("_audio").isNotNull(), F.floor(exact + 0.5) / 1000.0).otherwise(_ms(F.col("_start") + own))
+    return d.withColumns({"s": at("_s", F.col("_t")), "e": at("_e", F.col("_t") + F.col("_dur"))}).drop(
+        "_audio", "_dur", "_gap", "_t", "_start", "_s", "_e")
+
+
 def cues(chapters: DataFrame, sents: DataFrame, whole_book: bool = True) -> DataFrame:
     """Subtitle cues ``(book, ch, i, n, st, en, txt)``.
 

@@ -368,8 +368,8 @@ def heading_cut(spark, sf):
     text = (F.when(m == 0, F.concat(F.lit("CHAPTER 1\n\n"), body)).when(m == 1, F.concat(F.lit("ONE\n\nA Fine Title\n"), body))
              .when(m == 2, F.concat(F.lit("The Third Word: "), body))
              .when(m == 3, F.concat(F.lit("FERRIES , AND HARBOUR n the "), body)).otherwise(body))
-    title = F.when(m == 2, "The Third Word").when(m == 3, "Connected People").otherwise("A Fine Title")
-    pats = F.array(F.lit("^CHAPTER [0-9]+$"), F.lit("^(ONE|TWO)$"))
+    title = F.when(m == 2, "The Third Word").when(m == 3, "Connected People").otherwise("Ａ Ｆｉｎｅ Title")
+    pats = F.array(F.lit("^CHAPTER [0-9]+$"), F.lit("(["), F.lit("^(ONE|TWO)$"))
     return I.table(spark, sf, "documents").select(
         "doc_id", structure.heading_cut(text, title, pats).alias("cut"))
 

@@ -310,11 +310,17 @@ def book_titles(spark, sf):
     return I.table(spark, sf, "part").select("p_partkey", T.book_title(meta, path).alias("title"))
 
 
-@query("""SELECT p_partkey, (k = 'small ring' OR contains(k, 'copper') OR k = 'mix') AS hit FROM
+@query("""SELECT p_partkey, (k = 'small ring' OR contains(k, 'copper') OR k = 'mix' OR contains(k, 'anodized')) AS hit FROM
   (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g')) AS k FROM part)""")
 def title_match(spark, sf):
-    want = F.array(F.lit("Small  Ring!"), F.lit("COPPER"), F.lit("mix"), F.lit("..."))
-    return I.table(spark, sf, "part").select("p_partkey", T.title_matches("p_name", want).alias("hit"))
+    """Every second name and some wanted titles are in full-width letters."""
+    want = F.array(F.lit("Small  Ring!"), F.lit("ＣＯＰＰＥＲ"), F.lit("mix"), F.lit("..."), F.lit("Ａｎｏｄｉｚｅｄ"))
+    wide = F.translate("p_name", WIDE[0], WIDE[1])
+    name = F.when(F.col("p_partkey") % 2 == 0, wide).otherwise(F.col("p_name"))
+    return I.table(spark, sf, "part").select("p_partkey", T.title_matches(name, want).alias("hit"))
+
+
+WIDE = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + k) for k in range(26))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 5 <> 4""")

@@ -188,6 +188,39 @@ def align_spans(spark, sf):
     return TL.align_spans(w, o).select("ch", "si", F.round("s", 3).alias("s"), F.round("e", 3).alias("e"))
 
 
+# Turns spoken in chunks of 120 characters: every third chunk has no words, some have no audio, some sentences no words.
+_CHUNKED = f"""WITH RECURSIVE {I.TURN_SENT}, n AS (SELECT book, ch, k, t, length(t) AS n, p, row_number() OVER (PARTITION BY book, ch ORDER BY k) AS r FROM sen),
+  f AS (SELECT book, ch, k, t, r, n, p, 0::BIGINT AS chunk, CASE WHEN p THEN 0 ELSE n END AS used, p AS shut FROM n WHERE r = 1
+    UNION ALL SELECT n.book, n.ch, n.k, n.t, n.r, n.n, n.p, f.chunk + CASE WHEN f.shut OR (f.used > 0 AND f.used + n.n > 120) THEN 1 ELSE 0 END,
+      CASE WHEN n.p THEN 0 WHEN f.used > 0 AND f.used + n.n > 120 THEN n.n ELSE f.used + n.n END, n.p FROM f JOIN n ON n.book = f.book AND n.ch = f.ch AND n.r = f.r + 1),
+  d AS (SELECT book, ch, chunk, k AS i, t, p, {I.sql_samples('t')} AS dur, k - min(k) OVER c AS pos, count(*) OVER c AS m,
+      bool_or(k % 5 <> 2) OVER c AND (chunk + ch) % 3 <> 0 AND chunk % 7 <> 6 AS ok, len(string_split(t, ' ')) AS nw, max(k) OVER c AS last FROM f WINDOW c AS (PARTITION BY book, ch, chunk)),
+  l0 AS (SELECT *, CASE WHEN i % 5 <> 2 THEN 0.6::DOUBLE * pos END AS s0, CASE WHEN i % 5 <> 2 THEN 0.04::DOUBLE * (nw - 1) + 0.6::DOUBLE * pos + 0.03::DOUBLE END AS e0,
+      coalesce(sum(dur + 2160) OVER (PARTITION BY book, ch, chunk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS t0 FROM d),
+  l AS (SELECT *, coalesce(s0, last_value(e0 IGNORE NULLS) OVER w, 0) AS sl, coalesce(e0, last_value(e0 IGNORE NULLS) OVER w, 0) AS el FROM l0
+      WINDOW w AS (PARTITION BY book, ch, chunk ORDER BY i ROWS UNBOUNDED PRECEDING)),
+  ck AS (SELECT book, ch, chunk, CASE WHEN bool_or(ok) THEN 24000 * max(m) + 7 * chunk ELSE sum(dur + 2160) END + CASE WHEN bool_or(p AND i = last) THEN 7680 ELSE 2160 END AS total FROM l GROUP BY 1, 2, 3),
+  st AS (SELECT book, ch, chunk, coalesce(sum(total) OVER (PARTITION BY book, ch ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM ck)
+  SELECT book, ch, chunk, i::INTEGER AS i, CASE WHEN ok THEN floor(start / 24.0::DOUBLE + sl * 1000 + 0.5) / 1000 ELSE ((start + t0) * 1000 + 12000) // 24000 / 1000.0::DOUBLE END AS s,
+    CASE WHEN ok THEN floor(start / 24.0::DOUBLE + el * 1000 + 0.5) / 1000 ELSE ((start + t0 + dur) * 1000 + 12000) // 24000 / 1000.0::DOUBLE END AS e FROM l JOIN st USING (book, ch, chunk)"""
+
+
+@query(_CHUNKED)
+def chunked_timeline(spark, sf):
+    sents = stage(I.turn_sentences(spark, sf), "turn_sentences")
+    d = sents.join(segment.chunk_sentences(sents, budget=120).drop("n"), ["book", "ch", "page", "k"]).select(
+        "book", "ch", "chunk", F.col("k").alias("i"), "t", "p")
+    d = stage(d, "turn_chunks")
+    heard = (F.col("chunk") + F.col("ch")) % 3 != 0
+    first = d.groupBy("book", "ch", "chunk").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    start = F.lit(0.04) * F.col("w") + F.lit(0.6) * (F.col("i") - F.col("first"))
+    words = d.join(first, ["book", "ch", "chunk"]).where(heard & (F.col("i") % 5 != 2)).withColumn(
+        "w", F.explode(F.sequence(F.lit(0), F.size(F.split("t", " ")) - 1))).select(
+        "book", "ch", "chunk", F.col("i").alias("si"), "w", start.alias("start"), (start + F.lit(0.03)).alias("end"))
+    audio = first.where(heard & (F.col("chunk") % 7 != 6)).select("book", "ch", "chunk", (F.col("n") * 24000 + F.col("chunk") * 7).alias("samples"))
+    return TL.chunked_timeline(d, words, audio).select("book", "ch", "chunk", F.col("i").cast("int").alias("i"), "s", "e")
+
+
 # ---- cues and exports: conversations as books, turns as chapters, every fifth turn pending ------
 
 CUES = f"""{TURN_TL}, dur AS (SELECT book, ch, ((sum(dur + gap) * 1000 + 12000) // 24000) / 1000.0::DOUBLE AS duration FROM tl0 GROUP BY 1, 2),
