@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.functions.arrays import let
+from bookflow.functions.arrays import let, prefix_lengths
 from bookflow.settings import MAX_TAG, MAX_TAGS
 
 # ---- Fixed values --------------------------------------------------------------------------
@@ -213,11 +213,9 @@ def occurrences(text, needle) -> Column:
     """0-based positions of all occurrences, overlapping ones included; the needle is not empty."""
     t, q = _c(text), _c(needle)
     quoted = F.concat(F.lit("(?s)(?=\\Q"), F.replace(q, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    n = F.regexp_count(t, quoted)
-    none = F.array().cast("array<int>")
-    found = F.aggregate(F.sequence(F.lit(1), n), none, lambda a, _: F.concat(a, F.array(
-        F.position(q, t, F.coalesce(F.try_element_at(a, F.lit(-1)) + 2, F.lit(1))) - 1)))
-    return F.when(n > 0, found).otherwise(none)
+    # Cut before each of them: the pieces' lengths add up to the positions, however many there are.
+    at = let(F.split(t, quoted, -1), prefix_lengths)
+    return F.when(F.startswith(t, q), at).when(F.contains(t, q), F.slice(at, F.lit(2), F.size(at))).otherwise(F.array().cast("array<int>"))
 
 
 # ---- pronunciation --------------------------------------------------------------------------

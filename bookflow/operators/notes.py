@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from bookflow.functions.arrays import let
 from bookflow.functions.text import norm_tags, occurrences, slug_tag, squash, strip
 from bookflow.functions.times import as_float, as_int
 from bookflow.operators import scan
@@ -326,19 +327,29 @@ def reanchor(notes: DataFrame, tl: DataFrame) -> DataFrame:
     sents = stage(sents, "sentence_offsets")
     longest = lost.groupBy("book", "ch").agg(F.greatest(F.lit(SPAN), F.max(F.length("_q"))).cast("long").alias("_span"))
     todo = sents.join(longest, ["book", "ch"])
-    hits = substring_join(stage(_chapter_blocks(todo), "chapter_blocks"), lost, "text", "_q", ["blk"], ["book", "ch"])
+    hits = substring_join(stage(_chapter_blocks(todo), "chapter_blocks"), lost, "text", "_q", ["blk"], ["book", "ch"],
+                          carry=["text", "at", "_span"])
     own_from, own_to = F.col("blk") * F.col("_span") - F.col("at"), (F.col("blk") + 1) * F.col("_span") - F.col("at")
     # Hits that start in the block itself; hits in the overlap belong to the neighbour.
     spots = F.filter(occurrences("text", "_q"), lambda p: (p >= own_from) & (p < own_to))
-    hits = hits.withColumn("p", F.explode(spots))
-    pre, suf = squash("prefix"), squash("suffix")
-    left = F.greatest(F.lit(0), F.col("p") - F.length(pre) - 4)
-    end = F.col("p") + F.length("_q")
-    got_pre = squash(F.substring(F.col("text"), left + 1, F.col("p") - left))
-    got_suf = squash(F.substring(F.col("text"), end + 1, F.length(suf) + 4))
-    fits = ((pre == "") | got_pre.endswith(pre)) & ((suf == "") | got_suf.startswith(suf))
-    best = hits.groupBy("book", "ch", "id", F.length("_q").alias("_len")).agg(
-        F.min(F.struct((~fits).alias("bad"), (F.col("at") + F.col("p")).alias("pos"))).alias("h"))
+
+    def best_of(v):
+        """The hit whose context fits, else the first: (context differs, place); the context is only cut where there is one."""
+        pre, suf, size = v["pre"], v["suf"], F.length("_q")
+
+        def placed(p):
+            left, end = F.greatest(F.lit(0), p - F.length(pre) - 4), p + size
+            before = F.when(pre == "", True).otherwise(squash(F.substring(F.col("text"), left + 1, p - left)).endswith(pre))
+            after = F.when(suf == "", True).otherwise(squash(F.substring(F.col("text"), end + 1, F.length(suf) + 4)).startswith(suf))
+            return F.struct((~(before & after)).alias("bad"), (F.col("at") + p).alias("pos"))
+        # A note without context takes the first hit.
+        return F.when((pre == "") & (suf == ""), F.struct(F.lit(False).alias("bad"), (F.col("at") + F.array_min(v["spots"])).alias("pos"))).otherwise(
+            F.array_min(F.transform(v["spots"], placed)))
+
+    once = F.struct(squash("prefix").alias("pre"), squash("suffix").alias("suf"), spots.alias("spots"))
+    # The best hit of a block is chosen in its row: a quote of one letter costs a row for each block, not a copy of the block for each hit.
+    best = hits.withColumn("_h", let(once, best_of)).where("_h.pos IS NOT NULL").groupBy(
+        "book", "ch", "id", F.length("_q").alias("_len")).agg(F.min("_h").alias("h"))
     best = best.select("book", "ch", "id", F.col("h.pos").alias("_a"),
                        (F.col("h.pos") + F.col("_len") - 1).alias("_b"))
     best = stage(best, "note_hits")

@@ -34,9 +34,11 @@ def search(items: DataFrame, queries: DataFrame, scan_cap: int = 201, keep: int
     more than the cap per query before the shuffle.
     """
     q = queries.select("q", F.lower(strip("q")).alias("needle")).filter("needle <> ''")
-    hits = substring_join(items.withColumn("lc", F.lower("text")), q, "lc", "needle", ["book", *ORDER]).drop("lc")
+    hits = substring_join(items.withColumn("lc", F.lower("text")), q, "lc", "needle", ["book", *ORDER], carry=["time"])
     in_order = W.partitionBy("q", "book").orderBy(*ORDER)
     hits = hits.withColumn("_n", F.row_number().over(in_order)).filter(F.col("_n") <= scan_cap)
     shown = W.partitionBy("q", "book").orderBy((F.col("kind") == 2), "_n")
+    # Only what is shown meets its text again.
     return (hits.withColumn("rank", F.row_number().over(shown)).filter(F.col("rank") <= keep)
+            .join(items.select("book", *ORDER, "text"), ["book", *ORDER])
             .select("q", "book", "rank", "ch", "kind", "time", snippet("text", "needle").alias("snippet")))

@@ -57,7 +57,7 @@ def books(spark, sf):
                     F.col("c_acctbal").alias("bal"), k.alias("cust"))
 
 
-def manifests(spark, sf):
+def manifests(spark, sf, summary=False):
     """Manifest documents as JSON text, parsed like files would be."""
     c = chapters(spark, sf)
     per = c.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", F.struct(
@@ -74,7 +74,7 @@ def manifests(spark, sf):
         F.when(k % 4 == 0, F.lit(99)).alias("chapters_total"), F.when(k % 4 == 0, F.lit(7)).alias("chapters_ready"),
         F.when(k % 4 == 0, F.col("bal")).alias("total_duration"), F.col("chapters")))
     bad = F.when(k % 7 == 0, F.substring(doc, 1, 25)).otherwise(doc)
-    return M.parse_manifests(b.select("book", bad.alias("doc")), "doc", "book")
+    return M.parse_manifests(b.select("book", bad.alias("doc")), "doc", "book", summary)
 
 
 N_CH = """n AS (SELECT book, count(*) AS n, count(*) FILTER (coalesce(status, 'ready') = 'ready') AS r FROM o GROUP BY book)"""
@@ -85,18 +85,18 @@ SUMMARY = f"""{BASE}, {N_CH}, sm AS (SELECT bk.book AS id, title, status, CASE W
 
 @query(f"WITH {SUMMARY} SELECT id, title, status, n_chapters, chapters_ready, duration, created FROM sm")
 def library_summary(spark, sf):
-    return C.library_summary(manifests(spark, sf)).select(
+    return C.library_summary(manifests(spark, sf, summary=True)).select(
         "id", "title", "status", "n_chapters", "chapters_ready", "duration", "created")
 
 
 @query(f"WITH {SUMMARY} SELECT count(*) AS books, count(*) FILTER (status = 'generating') AS generating FROM sm")
 def library_counts(spark, sf):
-    return C.library_counts(C.library_summary(manifests(spark, sf)))
+    return C.library_counts(C.library_summary(manifests(spark, sf, summary=True)))
 
 
 @query(f"WITH {SUMMARY} SELECT id, title, created FROM sm ORDER BY lower(title), dir")
 def library_by_title(spark, sf):
-    return C.library_order(C.library_summary(manifests(spark, sf)), "title").select("id", "title", "created")
+    return C.library_order(C.library_summary(manifests(spark, sf, summary=True)), "title").select("id", "title", "created")
 
 
 @query(f"""WITH {BASE} SELECT o.book, o.ch::INTEGER AS ch, o.title, coalesce(o.status, 'ready') AS status, 'ch' || o.ch AS chapter_id, o.duration
@@ -155,7 +155,7 @@ def continue_listening(spark, sf):
     from bookflow.streaming.progress import latest_positions
     p = I.progress(spark, sf).withColumn("book", F.concat(F.lit("c"), (F.col("seq") % 90).cast("string")))
     p = latest_positions(p).withColumns({"frac": F.when(F.col("frac") >= 0.5, 1.0).otherwise(F.col("frac")), "_f": F.col("frac")})
-    d = C.continue_listening(C.library_summary(manifests(spark, sf)), p)
+    d = C.continue_listening(C.library_summary(manifests(spark, sf, summary=True)), p)
     return d.join(p.select("user", "book", "_f"), ["user", "book"]).withColumn(
         "pct", F.floor(F.col("_f") * 100 + 0.5).cast("int")).drop("_f")
 
@@ -168,7 +168,7 @@ def continue_listening(spark, sf):
 def cards(spark, sf):
     p = I.progress(spark, sf).withColumn("book", F.concat(F.lit("c"), (F.col("seq") % 90).cast("string")))
     p = p.groupBy("user", "book").agg(F.max("frac").alias("frac"))
-    return C.cards(C.library_summary(manifests(spark, sf)), p).select("id", "user", "frac", "listened", "generated")
+    return C.cards(C.library_summary(manifests(spark, sf, summary=True)), p).select("id", "user", "frac", "listened", "generated")
 
 
 @query(f"""WITH {BASE}, p AS (SELECT DISTINCT user_id::VARCHAR AS "user", 'c' || (event_id % 90) AS book, user_id % 9 AS ci, CASE WHEN user_id % 4 = 0 THEN 1.0 ELSE 0.4 END AS frac FROM events),
@@ -264,7 +264,7 @@ def outline_phone(spark, sf):
     substr(sm.id, 2)::INTEGER IN (SELECT o_custkey FROM orders) AS has_source
   FROM sm LEFT JOIN (FROM j WHERE st <> 'done') j ON j.id = sm.id""")
 def generation_state(spark, sf):
-    s = C.library_summary(manifests(spark, sf)).withColumn("source_pdf", F.concat("id", F.lit(".pdf")))
+    s = C.library_summary(manifests(spark, sf, summary=True)).withColumn("source_pdf", F.concat("id", F.lit(".pdf")))
     e = I.table(spark, sf, "events").groupBy(F.concat(F.lit("c"), (F.col("event_id") % 300).cast("string")).alias("book")).agg(F.max("event_id").alias("e"))
     m = F.col("e") % 4
     jobs = e.select("book", F.col("e").cast("string").alias("job"), F.when(m == 0, "running").when(m == 1, "paused").when(

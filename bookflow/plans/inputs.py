@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over tasks by a hash of their key before a costly step for each row, whatever files they came in."""
+    return df.repartition(*keys)
+
+
 def raw_pages(spark, sf) -> DataFrame:
     """documents as pages: book = source, page = position by doc_id."""
     return clean.number_pages(table(spark, sf, "documents"), "source", "doc_id", "text")

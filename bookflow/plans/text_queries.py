@@ -146,7 +146,8 @@ def _html_sql() -> str:
 
 @query(_html_sql())
 def html_to_text_pages(spark, sf):
-    return I.table(spark, sf, "pages").select("page_id", html_to_text("html").alias("text"))
+    pages = I.dealt(I.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    return pages.select("page_id", html_to_text("html").alias("text"))
 
 
 # ---- segmentation ----------------------------------------------------------------------------

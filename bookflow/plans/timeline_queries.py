@@ -34,12 +34,13 @@ def query(sql: str | None = None):
 def book_totals(spark, sf):
     """Flagship: clean, segment and time every book; totals per book in one aggregation.
 
-    No order is needed for totals, so pages never meet: the only shuffles are the page numbers
-    (not needed here, so skipped) and one partial-aggregated group-by on the book.
+    No order is needed for totals, so pages never meet: the only shuffles deal raw texts over the tasks and bring one
+    partial sum per task and book together.
     """
     from bookflow.functions.times import est_samples
     from bookflow.operators.clean import clean_text
-    d = I.table(spark, sf, "documents").select(F.col("source").alias("book"), clean_text("text").alias("text"))
+    d = I.dealt(I.table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    d = d.select(F.col("source").alias("book"), clean_text("text").alias("text"))
     d = d.withColumn("_s", segment.sentence_spans("text"))
     gap = lambda p: F.when(p, 7680).otherwise(2160)
     add = lambda f: F.aggregate("_s", F.lit(0).cast("long"), lambda a, s: a + f(s))

@@ -20,25 +20,27 @@ MANIFEST = (f"id string, title string, author string, source_pdf string, created
             f"chapters_ready int, total_duration double, chapters array<{CHAPTER}>")
 
 
-def manifest_schema() -> T.StructType:
-    return T.StructType.fromDDL(MANIFEST + ", _corrupt_record string")
+def manifest_schema(summary: bool = False) -> T.StructType:
+    """With ``summary`` chapters hold their status only: sentences and topics are passed over, not decoded."""
+    fields = MANIFEST.replace(CHAPTER, "struct<status:string>") if summary else MANIFEST
+    return T.StructType.fromDDL(fields + ", _corrupt_record string")
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+def read_manifests(spark: SparkSession, path: str, summary: bool = False) -> DataFrame:
     """All ``*/manifest.json`` below ``path``; files that do not parse are skipped.
 
     ``dir`` is the book's folder; id and title default to it.
     """
-    df = (spark.read.schema(manifest_schema()).option("multiLine", True)
+    df = (spark.read.schema(manifest_schema(summary)).option("multiLine", True)
           .option("columnNameOfCorruptRecord", "_corrupt_record")
           .json(f"{path.rstrip('/')}/*/manifest.json")
           .withColumn("dir", folder_name()))
     return with_defaults(df.filter("_corrupt_record IS NULL").drop("_corrupt_record"))
 
 
-def parse_manifests(df: DataFrame, doc: str, name: str) -> DataFrame:
+def parse_manifests(df: DataFrame, doc: str, name: str, summary: bool = False) -> DataFrame:
     """Manifests held as JSON strings in a table (``name`` stands for the folder)."""
-    j = F.from_json(doc, manifest_schema(), {"mode": "PERMISSIVE",
+    j = F.from_json(doc, manifest_schema(summary), {"mode": "PERMISSIVE",
                                              "columnNameOfCorruptRecord": "_corrupt_record"})
     d = df.select(F.col(name).cast("string").alias("dir"), j.alias("m"))
     return with_defaults(d.filter("m IS NOT NULL AND m._corrupt_record IS NULL").select(

@@ -88,3 +88,12 @@ def test_chunks_without_audio_fall_back(spark):
     want = [(0, 0.1, 0.9), (1, 0.9, 0.9), (2, t1, t1 + d), (3, t2, t2 + d)]
     assert [g[0] for g in got] == [0, 1, 2, 3]
     assert all(abs(a - b) <= 0.0011 for g, w in zip(got, want) for a, b in zip(g[1:], w[1:]))
+
+
+def test_all_occurrences(spark):
+    from bookflow.functions.text import occurrences
+    rows = [("abcabc", "abc"), ("aaaa", "aa"), ("xab", "ab"), ("x", "y"), ("", "a"), ("a.b\\E.a.b", "a.b"), ("é\U0001F600é\U0001F600", "\U0001F600"), ("e" * 9000, "e"), (None, "a"),
+            ("line\nline\n", "e\nl"), ("ab", "abc"), ("x\\E", "\\E")]
+    got = spark.createDataFrame(rows, "t string, q string").select("t", "q", occurrences("t", "q").alias("p")).collect()
+    for t, q, p in got:
+        assert (p or []) == [k for k in range(len(t or "")) if t.startswith(q, k)]
