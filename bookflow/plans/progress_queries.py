@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from bookflow.plans import inputs as I
-from bookflow.settings import work_dir
+from bookflow.settings import new_folder
 from bookflow.streaming import jobs as J
 from bookflow.streaming import progress as P
 
@@ -64,7 +62,7 @@ END = "~"                       # a key of rows far in the future, which let the
 def _sliced(df, order: str, closing):
     """``df`` as a stream: slices by ``order``, one file after the other, then two files of one ``closing`` row each."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stream")
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     at = F.col(order) * SLICES - lo * SLICES
     for k in range(SLICES):
@@ -77,7 +75,7 @@ def _sliced(df, order: str, closing):
 def _run(stream, *columns):
     """All micro-batches that are there, and what they wrote."""
     spark = stream.sparkSession
-    path = f"{work_dir(spark)}/sink-{uuid.uuid4().hex}"
+    path = new_folder(spark, "sink")
     (stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp")
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*columns)
@@ -136,7 +134,7 @@ def follow_sessions_stream(spark, sf):
 def latest_positions_stream(spark, sf):
     """foreachBatch merges each micro-batch into a table."""
     from bookflow.streaming.tables import read_table
-    path = f"{work_dir(spark)}/positions-{uuid.uuid4().hex}"
+    path = new_folder(spark, "positions")
     d = _sliced(I.progress(spark, sf), "seq", _later("updated", "user"))
     (d.writeStream.foreachBatch(P.upsert_positions(f"{path}/table", 16)).option("checkpointLocation", f"{path}/cp")
      .trigger(availableNow=True).start().awaitTermination())
@@ -155,7 +153,7 @@ def merged_notes_stream(spark, sf):
         F.concat(F.lit("b"), (k % 5).cast("string")).alias("book"), F.concat(F.lit("n"), k.cast("string")).alias("id"), F.col("event_id").alias("seq"),
         stamp.alias("created"), F.when(F.col("event_id") % 3 > 0, stamp).otherwise("").alias("updated"), (F.col("event_type") == "error").alias("deleted"),
         F.col("event_type").alias("note"))
-    path = f"{work_dir(spark)}/notes-{uuid.uuid4().hex}"
+    path = new_folder(spark, "notes")
     s = _sliced(d, "seq", lambda one, k: one.withColumn("book", F.lit(END)))
     (s.writeStream.foreachBatch(merge_notes_batches(f"{path}/table", 16)).option("checkpointLocation", f"{path}/cp")
      .trigger(availableNow=True).start().awaitTermination())

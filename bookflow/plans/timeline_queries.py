@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from bookflow.functions import text as T
@@ -12,7 +10,7 @@ from bookflow.operators.lookup import asof_grid
 from bookflow.plans import inputs as I, structure_queries as SQ
 from bookflow.plans.structure_queries import BOUNDS, SLICES, chapters, corpus
 from bookflow.plans.text_queries import _ts
-from bookflow.settings import stage, work_dir
+from bookflow.settings import new_folder, stage
 
 QUERIES, SQL = {}, {}
 
@@ -294,7 +292,7 @@ def transcript(spark, sf):
   SELECT book, line, count(*) AS n FROM (SELECT book, unnest(string_split(text, chr(10))) AS line FROM parts) GROUP BY book, line""")
 def transcript_files(spark, sf):
     """Transcripts written as text files, a folder per book, and read back line by line."""
-    path = f"{work_dir(spark)}/transcripts-{uuid.uuid4().hex}"
+    path = new_folder(spark, "transcripts")
     export.write_parts(transcript(spark, sf), path)
     lines = spark.read.schema("value string, book string").text(path)
     return lines.groupBy("book", F.col("value").alias("line")).agg(F.count("*").alias("n"))

@@ -77,15 +77,21 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder; ``drop_staged`` deletes it too."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an expensive intermediate once and read it back.
 
     Consumers then scan only the columns they need (an offset scan reads the lengths, not the
     text), lineage is cut, and a lost executor costs a re-read instead of a recomputation.
     """
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

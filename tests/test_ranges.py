@@ -97,3 +97,15 @@ def test_all_occurrences(spark):
     got = spark.createDataFrame(rows, "t string, q string").select("t", "q", occurrences("t", "q").alias("p")).collect()
     for t, q, p in got:
         assert (p or []) == [k for k in range(len(t or "")) if t.startswith(q, k)]
+
+
+def test_needles_in_many_blocks(spark, monkeypatch):
+    """Blocks of a few needles, written and read by tasks; pairs hold no text unless asked for."""
+    monkeypatch.setattr(lookup, "NEEDLE_CHARS", 12)
+    texts = [(k, f"text number {k} of {k % 7} and {'x' * (k % 5)}") for k in range(60)] + [(99, None), (98, "")]
+    needles = [(w,) for w in ("1", "number 3", "xxxx", "of 6 and", "none of them", "", "text", "é")]
+    items = spark.createDataFrame(texts, "i int, t string")
+    got = lookup.substring_join(items, spark.createDataFrame(needles, "n string"), "t", "n", ["i"])
+    assert got.columns == ["n", "i"]
+    want = sorted((n, i) for i, t in texts for (n,) in needles if n and t and n in t)
+    assert sorted(map(tuple, got.collect())) == want
