@@ -183,7 +183,7 @@ def valid_rules(rules: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Keep the rules whose pattern compiles."""
     @F.pandas_udf(T.BooleanType())
     def ok(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: p is not None and _pattern(p) is not None)
+        return s.map(lambda p: p is not None and len(_patterns((p,))) > 0)
     return rules.filter(ok(F.col(pattern)))
 
 
