@@ -10,6 +10,8 @@ runs shorter than the shortest phrase are left out, which changes no result.
 from __future__ import annotations
 
 import hashlib
+import io
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.llm.common import forget_worker_state, free_name, piece_hashes, ragged
+from bookflow.settings import new_folder
 
 WINDOW = 13            # words of a phrase
 PERCENT = 20           # contaminated: at least one word in so many is hit
 SHARD_BYTES = 2 << 20  # text under one index; a longer document has one to itself
-PHRASE_BYTES = 4 << 20  # benchmark text that is searched in one pass over the documents
+PHRASE_BYTES = 4 << 20  # benchmark text in one phrase table
 SAMPLE = 32            # every so many positions of a run keep their place
 
 
@@ -76,6 +79,20 @@ class Phrases:
             self.by_length.append((own[0], np.array([ordered[k] for k in own], np.int32)))
         self.shortest = len(ordered[0]) if ordered else 0
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, hash=self.hash, check=self.check, items=np.frombuffer(json.dumps(self.items).encode(), np.uint8),
+                 base=np.array([k for k, _ in self.by_length], np.int64), **{f"own{k}": own for k, (_, own) in enumerate(self.by_length)})
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, body: bytes) -> Phrases:
+        got, out = np.load(io.BytesIO(body)), cls([])
+        out.hash, out.check, out.items = got["hash"], got["check"], json.loads(got["items"].tobytes())
+        out.by_length = [(int(k), got[f"own{n}"]) for n, k in enumerate(got["base"])]
+        out.shortest = min((own.shape[1] for _, own in out.by_length), default=0)
+        return out
+
     def codes(self, words: Words) -> np.ndarray:
         """Code of every word; 0 for those that no phrase has."""
         if not len(self.hash):
@@ -237,35 +254,6 @@ def _shards(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Rec
             yield batch.slice(begin), texts[begin:]
 
 
-def _search_pass(phrases: Phrases, text: str, hits: str, items: str, first: bool) -> Callable:
-    """Adds what these phrases hit to ``hits`` (i32 pairs: first and one past the last word) and ``items``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_worker_state()
-        names = None
-        for batch, texts in _shards(batches, 0):
-            names = names or batch.schema.names
-            words = Words(texts)
-            start, size, which = find(words, phrases)
-            doc = np.searchsorted(words.first, start, "right") - 1
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for d, s, n in zip(doc.tolist(), (start - words.first[doc]).tolist(), size.tolist(), strict=True):
-                spans.setdefault(d, []).append((s, s + n))
-            found: dict[int, set[str]] = {}
-            for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
-                found.setdefault(d, set()).update(phrases.items[w])
-            old = {} if first else {c: batch.column(names.index(c)).to_pylist() for c in (hits, items)}
-            new_hits, new_items = [], []
-            for d in range(len(texts)):
-                had = [] if first else np.frombuffer(old[hits][d], "<i4").reshape(-1, 2).tolist()
-                new_hits.append(np.array(merge([*had, *spans.get(d, [])]), "<i4").tobytes())
-                new_items.append(sorted({*found.get(d, ()), *([] if first else old[items][d])}))
-            kept = [k for k, c in enumerate(names) if first or c not in (hits, items)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in kept), pa.array(new_hits, pa.binary()), pa.array(new_items, pa.list_(pa.string()))],
-                [*(names[k] for k in kept), hits, items])
-    return run
-
-
 def merge(spans: list) -> list[tuple[int, int]]:
     """Overlapping and touching spans as one."""
     out: list[list[int]] = []
@@ -277,21 +265,49 @@ def merge(spans: list) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _digest_pass(hits: str, items: str, out: dict[str, str], strip: str) -> Callable:
-    """From hit words to the result columns; spans as code points of the text."""
+def _build_block(rows: pa.Table) -> pa.Table:
+    """The phrase table of one block of items."""
+    phrases = Phrases(list(zip(rows.column("i").to_pylist(), rows.column("t").to_pylist(), strict=True)))
+    return pa.table({"block": rows.column("block").slice(0, 1), "body": pa.array([phrases.to_bytes()], pa.binary())})
+
+
+def _read_block(folder: str, block: int) -> Phrases:
+    """The phrase table of a block, from the file that a task wrote of it (none: no phrases)."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+    system, path = fs.FileSystem.from_uri(f"{folder}/block={block}")
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return Phrases([])
+    found = ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=True).to_table(columns=["body"])
+    return Phrases.from_bytes(found.column(0)[0].as_py())
+
+
+def _search(folder: str, blocks: int, out: dict[str, str], strip: str) -> Callable:
+    """The result columns of each document: every shard is searched for one block of phrases after the other.
+
+    Spans are code points of the text. A single block stays in the task's memory, of several one at a time does.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = None
+        forget_worker_state()
+        only = _read_block(folder, 0) if blocks == 1 else None
         for batch, texts in _shards(batches, 0):
-            names = names or batch.schema.names
             words = Words(texts)
+            hits: list[list[tuple[int, int]]] = [[] for _ in texts]
+            found: list[set[str]] = [set() for _ in texts]
+            for k in range(blocks):
+                phrases = only or _read_block(folder, k)
+                start, size, which = find(words, phrases)
+                doc = np.searchsorted(words.first, start, "right") - 1
+                for d, s, n in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True):
+                    hits[d].append((s, s + n))
+                for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
+                    found[d].update(phrases.items[w])
             n_words = np.diff(words.first).tolist()
             n_hit, spans, clean = [], [], []
-            for d, raw in enumerate(batch.column(names.index(hits)).to_pylist()):
-                own = np.frombuffer(raw, "<i4").reshape(-1, 2).tolist()
+            for d, own in enumerate(map(merge, hits)):
                 n_hit.append(sum(e - s for s, e in own))
-                base, begin, t = int(words.edges[d]), int(words.first[d]), texts[d]
-                cut = [(int(words.start[begin + s]) - base, int(words.start[begin + e - 1] + words.length[begin + e - 1]) - base)
-                       for s, e in own]
+                base, t = int(words.edges[d]), texts[d]
+                cut = [(int(words.start[s]) - base, int(words.start[e - 1] + words.length[e - 1]) - base) for s, e in own]
                 spans.append([{"start": len(t[:a].decode()), "end": len(t[:b].decode())} for a, b in cut])
                 if strip:
                     keep, last = [], 0
@@ -299,18 +315,17 @@ def _digest_pass(hits: str, items: str, out: dict[str, str], strip: str) -> Call
                         keep.append(t[last:a])
                         last = b
                     clean.append(b"".join([*keep, t[last:]]).decode())
-            found = batch.column(names.index(items)).to_pylist()
+            items = [",".join(sorted(x)) for x in found]
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             new = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
-                   "n_items": pa.array([len(x) for x in found], pa.int64()),
-                   "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], pa.string()),
+                   "n_items": pa.array(map(len, found), pa.int64()),
+                   "items_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in items], pa.string()),
                    "contaminated": pa.array([h > 0 and PERCENT * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
                    "spans": pa.array(spans, span)}
             if strip:
                 new[strip] = pa.array(clean, pa.string())
-            kept = [k for k, c in enumerate(names) if k and c not in (hits, items)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *new.values()],
-                                             [*(names[k] for k in kept), *(out[c] for c in new)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new.values()],
+                                             [*batch.schema.names[1:], *(out[c] for c in new)])
     return run
 
 
@@ -328,23 +343,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     one.  ``keep`` names the columns to keep (default: all); of clashing names the new ones win.  Repeated rows
     come out repeated; an empty table or benchmark gives rows without hits.
 
-    Documents are never moved.  The benchmark is read in blocks of about ``phrase_bytes``, each of which travels to
-    the tasks once; each block is a further narrow pass over the same partition.
+    Documents are never moved.  Distinct benchmark rows are dealt into blocks of about ``phrase_bytes``; tasks write a phrase
+    table of each to the shared folder, and the tasks that search read one after the other: the driver knows the folder only.
     """
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *([strip] if strip else [])]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
-    src, hits, items = free_name(docs, "_src", "_hits", "_items")
+    [src] = free_name(docs, "_src")
     rows = docs.select(docs[text].alias(src), *[docs[c] for c in kept])
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    both = f", `{hits}` binary, `{items}` array<string>"
-    tests = benchmark.select(F.coalesce(benchmark[item_id].cast("string"), F.lit("")).alias("i"), benchmark[item_text].alias("t"))
+    tests = benchmark.select(F.coalesce(benchmark[item_id].cast("string"), F.lit("")).alias("i"), benchmark[item_text].alias("t")).distinct()
     total = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // phrase_bytes))
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
-    for k in range(blocks):
-        phrases = Phrases([tuple(r) for r in tests.where(part == k).collect()])
-        rows = rows.mapInArrow(_search_pass(phrases, src, hits, items, k == 0), columns + both)
+    folder = new_folder(docs.sparkSession, "phrases")
+    (tests.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))).groupBy("block")
+     .applyInArrow(_build_block, "block bigint, body binary").write.partitionBy("block").parquet(folder))
     kinds = dict(zip(names, ["bigint", "bigint", "bigint", "string", "boolean", "array<struct<start:int,end:int>>", "string"]))  # noqa: B905
-    plain = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in (src, hits, items)),
+    plain = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != src),
                        *(f"`{n}` {k}" for n, k in kinds.items())])
-    return rows.mapInArrow(_digest_pass(hits, items, {n: n for n in names}, strip), plain)
+    return rows.mapInArrow(_search(folder, blocks, {n: n for n in names}, strip), plain)

@@ -127,7 +127,7 @@ def test_contamination(spark, tested, shard, phrase_bytes, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
     docs, items = tested
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id int, text string"),
-                                      spark.createDataFrame(items, "item_id int, text string"), strip="clean", phrase_bytes=phrase_bytes).collect()
+                                      spark.createDataFrame(items * 3, "item_id int, text string"), strip="clean", phrase_bytes=phrase_bytes).collect()
     text = dict(docs)
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == \
         collections.Counter(_hits(docs, [(str(i), t) for i, t in items]))
