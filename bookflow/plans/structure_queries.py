@@ -289,6 +289,22 @@ def resolve_toc_links(spark, sf):
     return resolve_href(_toc(spark, sf), spine)
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS name, 1 + c_custkey % 50 AS d FROM customer),
+    n AS (SELECT k, name, d, unnest(generate_series(1, d)) AS l FROM c)
+  SELECT k::VARCHAR AS book, (l - 1)::INTEGER AS seq, l::INTEGER AS level, name || ' ' || l AS title, l || '.xhtml' AS href FROM n WHERE l % 5 <> 0
+  UNION ALL SELECT k::VARCHAR, (2 * d - l)::INTEGER, l::INTEGER, 'leaf ' || l, NULL FROM n""")
+def flatten_deep_toc(spark, sf):
+    """Trees of 1 to 50 levels, a customer each: on every level an entry that holds the next ones, and a leaf behind it; every fifth
+    entry has no title."""
+    depth = 1 + F.col("c_custkey") % 50
+    leaf = lambda l: F.concat(F.lit('{"title": "leaf '), l.cast("string"), F.lit('"}'))
+    entry = lambda l, inner: F.concat(
+        F.lit('{"href": "'), l.cast("string"), F.lit('.xhtml", "title": "'), F.when(l % 5 == 0, " ").otherwise(F.concat("c_name", F.lit(" "), l.cast("string"))),
+        F.lit('", "children": '), inner, F.lit("}"))
+    tree = F.aggregate(F.sequence(depth, F.lit(1).cast("bigint")), F.lit("[]"), lambda inner, l: F.concat(F.lit("["), entry(l, inner), F.lit(", "), leaf(l), F.lit("]")))
+    return flatten_toc(I.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("book"), tree.alias("nav")), "book", "nav")
+
+
 # ---- chapters --------------------------------------------------------------------------------
 
 @query(f"""WITH {BOUNDS} SELECT book, ch, title, page, start, "end" FROM ch""")

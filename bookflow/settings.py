@@ -41,6 +41,8 @@ SESSION_CONF = {
     # Rows here are small but costly (regular expressions, JSON): do not merge partitions below
     # what the cores can share just because they hold few bytes.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Recursive queries (navigation trees) over any number of books.
+    "spark.sql.cteRecursionRowLimit": "-1",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Whole texts travel in Arrow batches: they are bounded in bytes, not only in rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",

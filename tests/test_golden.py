@@ -365,3 +365,22 @@ def test_staged_folders_go(spark):
     settings.drop_staged(spark)
     settings._staged[:] = keep
     assert not os.path.exists(path)
+
+
+def test_navigation_trees(spark):
+    """Preorder over any depth; untitled entries count but go; nulls and damaged documents have no entries."""
+    deep = {"title": "t60"}
+    for k in range(59, 0, -1):
+        deep = {"title": f"t{k}", "href": f"h{k}", "children": [deep, {"title": "", "children": [{"title": f"x{k}"}]}]}
+    want = []
+
+    def walk(entries, level):
+        for x in entries:
+            want.append((len(want), level, x["title"], x.get("href")))
+            walk(x.get("children") or [], level + 1)
+    walk([deep, {"title": " A ", "children": None}], 1)
+    docs = [("a", json.dumps([deep, {"title": " A ", "children": None}])), ("b", None), ("c", ""), ("d", '[{"title": "x"'), ("e", "[]")]
+    got = [tuple(r) for r in files.flatten_toc(spark.createDataFrame(docs, "key string, doc string"), "key", "doc").orderBy("book", "seq").collect()]
+    assert [r for r in got if r[0] == "a"] == [("a", s, level, t.strip(), h) for s, level, t, h in want if t]
+    assert {r[0] for r in got} <= {"a", "d"}
+    assert files.flatten_toc(spark.createDataFrame([], "key string, doc string"), "key", "doc").count() == 0
