@@ -157,11 +157,11 @@ TURN_SENT = f"""tsl AS (SELECT CAST(conv_id AS VARCHAR) AS book, turn AS ch, 0::
   {sql_sentences('tsl')}"""
 
 
-def sql_timeline(src: str = "sen") -> str:
-    """CTEs from sentences to ``tl`` with i, s, e, settled."""
+def sql_timeline(src: str = "sen", said: str = "t") -> str:
+    """CTEs from sentences to ``tl`` with i, s, e, settled; ``said`` is what is spoken of one."""
     ms = lambda x: f"((({x}) * 1000 + 12000) // 24000)"
     w = "OVER (PARTITION BY book, ch ORDER BY page, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return f"""tl0 AS (SELECT *, {sql_samples('t')} AS dur, CASE WHEN p THEN 7680 ELSE 2160 END AS gap FROM {src}),
+    return f"""tl0 AS (SELECT *, {sql_samples(said)} AS dur, CASE WHEN p THEN 7680 ELSE 2160 END AS gap FROM {src}),
   tl1 AS (SELECT *, CAST(coalesce(sum(dur + gap) {w}, 0) AS BIGINT) AS t0,
     row_number() OVER (PARTITION BY book, ch ORDER BY page, k) - 1 AS i FROM tl0),
   tl2 AS (SELECT *, {ms('t0')} AS sm, {ms('t0 + dur')} AS em FROM tl1),

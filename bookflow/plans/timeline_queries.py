@@ -331,7 +331,55 @@ def _manifest_inputs(spark, sf):
     return tl, books, ch, topics
 
 
-@query()
+def _sql_label(k: int) -> str:
+    """Whether paragraph ``k`` is a label: it matches the pattern or repeats the title."""
+    key = I.sql_key(f"h{k}")
+    return (f"(h{k} <> '' AND (regexp_matches(h{k}, '^[A-Za-z]+[.]$') OR (key <> '' AND ({key} = key "
+            f"OR (length(key) >= 4 AND contains(key, {key}))))))")
+
+
+_PARA = f"'^{I.WS}*([^\\n]+?){I.WS}*(?:\\n\\n|\\n|$)'"
+# Words of capitals: two of them with no letter between; two such words or more, then a lone small letter.
+_CAPS = r"'^((?:(?:[^A-Za-z \n]+ )*[^ \n\p{Ll}]*[A-Z][^ \na-zA-Z\p{Ll}]*[A-Z][^ \n\p{Ll}]* ){2,})[a-z]\s'"
+
+
+def _sql_after_blank(cut: str) -> str:
+    return f"{cut} + length(regexp_extract(substr(t, ({cut} + 1)::BIGINT), '^{I.WS}*'))"
+
+
+# A rule says every "the" twice.
+_SAID = r"(t || repeat(' the', len(list_filter(regexp_split_to_array(lower(t), '[^\pL\pN\pM\p{Pc}]+'), lambda w: w = 'the'))))"
+CHAPTER_PIPELINE = f"""WITH {BOUNDS},
+  cs AS (SELECT * EXCLUDE (ch), row_number() OVER (PARTITION BY book ORDER BY start, seq) - 1 AS ch FROM ch
+    WHERE NOT (coalesce(TRY_CAST(substr(book, 4) AS INTEGER) % 2 = 0, FALSE) AND page BETWEEN 3 AND 5)),
+  sl AS (SELECT c.book, c.ch, o.page, greatest(o.page_off, c.start) - c.start AS base,
+    substr(o.text, greatest(c.start - o.page_off, 0) + 1, greatest(least(c."end" - o.page_off, length(o.text)) - greatest(c.start - o.page_off, 0), 0)) AS text
+    FROM cs c JOIN off o ON o.book = c.book AND o.page_off < c."end" AND o.page_off + length(o.text) > c.start),
+  h0 AS (SELECT book, ch, text AS t, {I.sql_key('title')} AS key, {I.sql_norm(I.sql_strip('title'))} AS plain
+    FROM sl JOIN cs USING (book, ch) WHERE base = 0 AND text <> ''),
+  h1 AS (SELECT *, length(regexp_extract(t, {_PARA})) AS n1, regexp_extract(t, {_PARA}, 1) AS g1, substr(t, n1 + 1) AS r1 FROM h0),
+  h2 AS (SELECT *, length(regexp_extract(r1, {_PARA})) AS n2, regexp_extract(r1, {_PARA}, 1) AS g2, substr(r1, n2 + 1) AS r2 FROM h1),
+  h3 AS (SELECT *, length(regexp_extract(r2, {_PARA})) AS n3, regexp_extract(r2, {_PARA}, 1) AS g3 FROM h2),
+  h4 AS (SELECT *, {", ".join(f"CASE WHEN length(g{k}) <= 90 THEN {I.sql_strip(f'g{k}')} ELSE '' END AS h{k}" for k in (1, 2, 3))} FROM h3),
+  h5 AS (SELECT *, CASE WHEN NOT {_sql_label(1)} THEN 0 WHEN NOT {_sql_label(2)} THEN n1 WHEN NOT {_sql_label(3)} THEN n1 + n2 ELSE n1 + n2 + n3 END AS c1 FROM h4),
+  h6 AS (SELECT *, {_sql_after_blank('c1')} AS a1, length(plain) AS pl FROM h5),
+  h7 AS (SELECT *, CASE WHEN pl >= 4 AND lower(substr(t, (a1 + 1)::BIGINT, pl)) = lower(plain) AND regexp_matches(substr(t, (a1 + pl + 1)::BIGINT, 1), '[ \n\t.,:;-]')
+    THEN a1 + pl + length(regexp_extract(substr(t, (a1 + pl + 1)::BIGINT), '^[ \n\t.,:;-]*')) ELSE c1 END AS c2 FROM h6),
+  h8 AS (SELECT *, {_sql_after_blank('c2')} AS a2 FROM h7),
+  h9 AS (SELECT *, length(regexp_extract(substr(t, (a2 + 1)::BIGINT), {_CAPS}, 1)) AS nc FROM h8),
+  cut AS (SELECT book, ch, CASE WHEN key <> '' AND nc > 0 THEN a2 + nc + length(regexp_extract(substr(t, (a2 + nc + 1)::BIGINT), '^[ \n\t]*')) ELSE c2 END AS cut FROM h9),
+  s2 AS (SELECT book, ch AS old_ch, page, greatest(0, base - coalesce(cut, 0)) AS base,
+    CASE WHEN base = 0 THEN substr(text, (coalesce(cut, 0) + 1)::BIGINT) ELSE text END AS text FROM sl LEFT JOIN cut USING (book, ch) WHERE text <> ''),
+  wd AS (SELECT book, old_ch FROM s2 GROUP BY 1, 2 HAVING sum({I.sql_words('text')}) > 0),
+  fin AS (SELECT book, old_ch, title, (start + coalesce(cut, 0))::BIGINT AS start, row_number() OVER (PARTITION BY book ORDER BY start + coalesce(cut, 0), seq) - 1 AS ch
+    FROM (SELECT book, ch AS old_ch, seq, title, start, cut FROM cs LEFT JOIN cut USING (book, ch)) JOIN wd USING (book, old_ch)),
+  src AS (SELECT book, fin.ch, page, base, text FROM s2 JOIN fin USING (book, old_ch) WHERE text <> ''),
+  {I.sql_sentences('src')},
+  {I.sql_timeline(said=_SAID)}
+  SELECT book, ch, title, start, page, k::INTEGER AS k, t, cs, ce, s, e FROM tl JOIN (SELECT book, ch, title, start FROM fin) USING (book, ch)"""
+
+
+@query(CHAPTER_PIPELINE)
 def chapter_pipeline(spark, sf):
     """Headings of the corpus to chapters and their sentence times; books of even sources skip the chapters of one page range."""
     pages = corpus(spark, sf)
