@@ -18,6 +18,7 @@ BATCH_ROWS = 512
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the operators rely on."""
     configure(spark)
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", "1.0")     # broadcasts here are of known, small tables
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
