@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookflow.sources.files import folder_name
+from bookflow.functions.text import strip
+from bookflow.sources import listing
 
 TOPIC = "struct<title:string,level:int,time:double>"
 SENTENCE = "struct<i:int,t:string,s:double,e:double,cs:int,ce:int,p:int>"
@@ -31,11 +32,10 @@ def read_manifests(spark: SparkSession, path: str, summary: bool = False) -> Dat
 
     ``dir`` is the book's folder; id and title default to it.
     """
-    df = (spark.read.schema(manifest_schema(summary)).option("multiLine", True)
-          .option("columnNameOfCorruptRecord", "_corrupt_record")
-          .json(f"{path.rstrip('/')}/*/manifest.json")
-          .withColumn("dir", folder_name()))
-    return with_defaults(df.filter("_corrupt_record IS NULL").drop("_corrupt_record"))
+    files = listing.whole_texts(listing.listed(spark, f"{path.rstrip('/')}/*/manifest.json"))
+    # A file may hold several manifests in a list.
+    each = F.when(strip("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    return parse_manifests(files.select("dir", F.explode(each).alias("value")), "value", "dir", summary)
 
 
 def parse_manifests(df: DataFrame, doc: str, name: str, summary: bool = False) -> DataFrame:
