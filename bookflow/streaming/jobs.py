@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +40,17 @@ def newly_ready(versions: DataFrame) -> DataFrame:
         F.col("chapters_ready") - F.coalesce("_r", F.lit(0))).alias("gained"))
 
 
-def _changes(state, d: pd.DataFrame):
-    ready, status = state if state else (None, None)
-    keep, gained = [], []
-    for r, s in zip(d["chapters_ready"].tolist(), d["status"].tolist(), strict=True):
-        keep.append(r != ready or s != status)
-        gained.append(r - (ready or 0))
-        ready, status = r, s
-    return (int(ready), status), d.assign(gained=gained)[np.array(keep, bool)]
+def _changes(columns):
+    ready, status, gained = (columns.index(c) for c in ("chapters_ready", "status", "gained"))
+
+    def step(state, row):
+        now = (row[ready], row[status])
+        passed = (*row[:gained], now[0] - ((state and state[0]) or 0), *row[gained + 1:]) if now != state else None
+        return now, passed
+    return step
 
 
 def newly_ready_stream(versions: DataFrame, bucket: int = 4096, late: str = "1 seconds") -> DataFrame:
     """Streaming ``newly_ready``; a version's number is its time, as versions only grow."""
     d = versions.withColumn("gained", F.lit(0).cast("long"))
-    return fold_in_order(timed(d, "version", late), ["book"], "version", ["version"], _changes, "ready long, status string", bucket)
+    return fold_in_order(timed(d, "version", late), ["book"], "version", ["version"], _changes, bucket)

@@ -191,10 +191,13 @@ def debounce_stream(progress: DataFrame, gap_ms: int = WEB_DEBOUNCE_MS, late: st
 
 
 def _adopt(viewer: str):
-    def fold(state, d):
-        last = state[0] if state else 0
-        before = np.maximum.accumulate(np.concatenate([[last], d["updated"].to_numpy()]))
-        return (int(before[-1]),), d[(d["device"] != viewer).to_numpy() & (d["updated"].to_numpy() > before[:-1])]
+    def fold(columns):
+        device, updated = columns.index("device"), columns.index("updated")
+
+        def step(state, row):
+            last = state[0] if state else 0
+            return (max(last, row[updated]),), row if row[device] != viewer and row[updated] > last else None
+        return step
     return fold
 
 
@@ -204,24 +207,23 @@ def accept_stream(progress: DataFrame, viewer: str, paused: Column | None = None
     own = F.col("device") == viewer
     d = timed(progress, arrived, late)
     d = usable(d.filter(own | (paused if paused is not None else F.lit(True))), playable, F.lit(viewer))
-    return fold_in_order(d, ["user", "book"], arrived, [arrived, "seq"], _adopt(viewer), "last long", bucket_ms)
+    return fold_in_order(d, ["user", "book"], arrived, [arrived, "seq"], _adopt(viewer), bucket_ms)
 
 
 def _notify(every_ms: int):
-    def fold(state, d):
-        ms, si = state if state else (None, None)
-        keep = []
-        for at, now in zip(d["ms"].tolist(), d["si"].tolist(), strict=True):
-            emit = ms is None or now != si or at - ms >= every_ms
-            ms, si = (at if emit else ms), now
-            keep.append(emit)
-        return (int(ms), int(si)), d[np.array(keep, bool)]
+    def fold(columns):
+        ms, si = columns.index("ms"), columns.index("si")
+
+        def step(state, row):
+            emit = state is None or row[si] != state[1] or row[ms] - state[0] >= every_ms
+            return (row[ms] if emit else state[0], row[si]), row if emit else None
+        return step
     return fold
 
 
 def throttle_stream(ticks: DataFrame, every_ms: int = TICK_MS, bucket_ms: int = 10_000, late: str = "1 seconds") -> DataFrame:
     """Streaming ``throttle``."""
-    return fold_in_order(timed(ticks, "ms", late), ["session"], "ms", ["ms", "seq"], _notify(every_ms), "ms long, si int", bucket_ms)
+    return fold_in_order(timed(ticks, "ms", late), ["session"], "ms", ["ms", "seq"], _notify(every_ms), bucket_ms)
 
 
 def follow_stream(adopted: DataFrame, window: str = "12 seconds", late: str = "10 seconds") -> DataFrame:
