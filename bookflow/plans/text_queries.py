@@ -226,9 +226,11 @@ def letter_spacing(spark, sf):
 def tags(spark, sf):
     """Tags from the words of a document: a string split at commas, '#' stripped."""
     raw = F.replace(F.col("text"), F.lit(" "), F.lit(",#"))
-    d = I.table(spark, sf, "documents").withColumn("t", T.norm_tags(T.split_tags(raw)))
-    return d.filter(F.size("t") > 0).select("doc_id", F.array_join("t", "|").alias("tags"),
-                                            T.inline_tags(F.col("t")).alias("inline_tags"))
+    # A filter would be pushed down and clean every word a second time.
+    some = F.explode(F.filter(F.array(T.norm_tags(T.split_tags(raw))), lambda t: F.size(t) > 0))
+    d = I.dealt(I.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", some.alias("t"))
+    return d.select("doc_id", F.array_join("t", "|").alias("tags"),
+                    T.inline_tags(F.col("t")).alias("inline_tags"))
 
 
 @query("""SELECT c_custkey, CASE WHEN s = '' OR regexp_matches(s, '^[ \\-?]') OR regexp_matches(s, '[:#\\[\\]{},&*!|>%@`"'']')
