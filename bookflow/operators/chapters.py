@@ -30,8 +30,9 @@ def chapter_pipeline(pages: DataFrame, markers: DataFrame, profiles: DataFrame |
     bounds = stage(bounds, "chapter-bounds")
     slices = stage(structure.page_slices(bounds, pages), "chapter-slices")
     heads = slices.filter("base = 0").join(bounds.select("book", "ch", "title"), ["book", "ch"])
-    cuts = heads.select("book", "ch", structure.heading_cut("text", "title", F.array(*map(F.lit, patterns)).cast("array<string>"))
-                        .cast("long").alias("_cut"))
+    # Read twice each, and costly: cuts and sentences, with the length of their spoken form, are written once.
+    cuts = stage(heads.select("book", "ch", structure.heading_cut("text", "title", F.array(*map(F.lit, patterns)).cast("array<string>"))
+                              .cast("long").alias("_cut")), "chapter-cuts")
     cut = F.coalesce("_cut", F.lit(0))
     slices = slices.join(cuts, ["book", "ch"], "left").select(
         "book", F.col("ch").alias("old_ch"), "page", F.greatest(F.lit(0), F.col("base") - cut).alias("base"),
@@ -39,6 +40,6 @@ def chapter_pipeline(pages: DataFrame, markers: DataFrame, profiles: DataFrame |
     moved = bounds.join(cuts, ["book", "ch"], "left").withColumn("start", F.col("start") + cut).drop("_cut")
     chapters = stage(structure.drop_empty(moved, slices.withColumnRenamed("old_ch", "ch")), "chapters")
     kept = slices.filter("text <> ''").join(chapters.select("book", "ch", "old_ch"), ["book", "old_ch"]).drop("old_ch")
-    sents = segment.sentences(kept)
-    spoken = (lambda c: samples(apply_rules(c, rules))) if rules else samples
-    return chapters.drop("old_ch"), timeline.timeline(sents, spoken)
+    said = segment.sentences(kept).withColumn("_said", apply_rules("t", rules))
+    sents = stage(said.withColumn("_samples", samples("_said")).drop("_said"), "chapter-sentences")
+    return chapters.drop("old_ch"), timeline.timeline(sents, lambda _: F.col("_samples")).drop("_samples")
