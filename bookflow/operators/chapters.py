@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import apply_rules, compiles
-from bookflow.functions.times import est_samples
+from bookflow.functions.times import est_samples_all
 from bookflow.operators import segment, structure, timeline
 from bookflow.settings import stage
 
 
 def chapter_pipeline(pages: DataFrame, markers: DataFrame, profiles: DataFrame | None = None, patterns: Sequence[str] = (),
-                     rules: Sequence[tuple[str, str]] = (), samples: Callable[[str], Column] = est_samples
+                     rules: Sequence[tuple[str, str]] = (), samples: Callable[[str], Column] = est_samples_all
                      ) -> tuple[DataFrame, DataFrame]:
     """``(chapters, timeline)`` of books: chapters are bounded by the markers, those that a profile skips go, heading labels at
     the start of a chapter are cut and its start moves past them, chapters without words go, the rest is

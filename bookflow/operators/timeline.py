@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bookflow.functions.text import squash
-from bookflow.functions.times import est_samples
+from bookflow.functions.times import est_samples_all
 from bookflow.operators import scan
 from bookflow.operators.lookup import asof_cells, asof_scan
 from bookflow.operators.structure import OFFSET_CELL
@@ -34,14 +34,19 @@ def _settled(s_ms: Column, prev_end_ms: Column) -> Column:
     return F.floor((2 * s_ms - pause + 1) / 2) / 1000.0
 
 
-def timeline(sents: DataFrame, samples: Callable[[str], Column] = est_samples) -> DataFrame:
+def spoken(sents: DataFrame, samples: Callable[[str], Column] = est_samples_all) -> DataFrame:
+    """Add ``dur``, the spoken length. A timeline reads it twice: write it once with the sentences, whose text is then no longer needed."""
+    return sents.withColumn("dur", samples("t"))
+
+
+def timeline(sents: DataFrame, samples: Callable[[str], Column] = est_samples_all) -> DataFrame:
     """Add index ``i`` and times ``s``, ``e`` within the chapter, and ``settled``, the final start.
 
     ``samples`` is the pluggable duration: spoken text to a number of audio samples.  Sums are
-    over integers, so the result does not depend on how the rows were partitioned.  The pause
-    before a sentence follows from ``first`` alone, so settling needs no second scan here.
+    over integers, so the result does not depend on how the rows were partitioned.  Sentences that
+    are ``spoken`` keep their length.  The pause before a sentence follows from ``first`` alone, so settling needs no second scan here.
     """
-    d = sents.withColumn("dur", samples("t")).withColumn("gap", _gap(F.col("p")))
+    d = (sents if "dur" in sents.columns else spoken(sents, samples)).withColumn("gap", _gap(F.col("p")))
     d = scan.prefix_sum(d, ["book", "ch"], ["page", "k"], F.floor(F.col("page") / PAGES),
                         i=F.lit(1).cast("long"), _t=F.col("dur") + F.col("gap"))
     prev = F.when(F.col("_t") == 0, F.lit(0.0)).otherwise(_ms(F.col("_t") - _gap(F.col("first"))))
@@ -51,7 +56,7 @@ def timeline(sents: DataFrame, samples: Callable[[str], Column] = est_samples) -
         "settled": _settled(ms(_ms(F.col("_t"))), ms(prev))}).drop("_t")
 
 
-def chapter_durations(sents: DataFrame, samples: Callable[[str], Column] = est_samples) -> DataFrame:
+def chapter_durations(sents: DataFrame, samples: Callable[[str], Column] = est_samples_all) -> DataFrame:
     """Audio length per chapter, the trailing gap included."""
     return sents.groupBy("book", "ch").agg(
         _ms(F.sum(samples("t") + _gap(F.col("p")))).alias("duration"))
@@ -134,7 +139,7 @@ def align_spans(words: DataFrame, sents: DataFrame, by: Sequence[str] = ("book",
     return d.withColumns({"s": F.coalesce("s", end), "e": end}).drop("_e", "_prev")
 
 
-def chunked_timeline(sents: DataFrame, words: DataFrame, audio: DataFrame, samples: Callable[[str], Column] = est_samples) -> DataFrame:
+def chunked_timeline(sents: DataFrame, words: DataFrame, audio: DataFrame, samples: Callable[[str], Column] = est_samples_all) -> DataFrame:
     """Times ``s``, ``e`` of sentences that were spoken in chunks: ``sents(book, ch, chunk, i, t, p)``.
 
     ``audio(book, ch, chunk, samples)`` is the length of a chunk that was spoken in one go, ``words(book, ch, chunk, si, w, start, end)`` are its word

@@ -52,19 +52,19 @@ def book_totals(spark, sf):
 
 @query(f"""WITH {I.CORPUS_SENT}, {I.sql_timeline()} SELECT book, page, k::INTEGER AS k, i, s, e FROM tl""")
 def timeline(spark, sf):
-    return TL.timeline(I.corpus_sentences(spark, sf)).select("book", "page", "k", "i", "s", "e")
+    return TL.timeline(I.spoken_sentences(spark, sf)).select("book", "page", "k", "i", "s", "e")
 
 
 @query(f"""WITH {I.CORPUS_SENT}, {I.sql_timeline()} SELECT book, i, settled AS s, e FROM tl""")
 def settled(spark, sf):
     """The general operator on stored (raw) times."""
-    raw = stage(TL.timeline(I.corpus_sentences(spark, sf)).select("book", "ch", "i", "s", "e"), "raw_times")
+    raw = stage(TL.timeline(I.spoken_sentences(spark, sf)).select("book", "ch", "i", "s", "e"), "raw_times")
     return TL.settle(raw).select("book", "i", "s", "e")
 
 
 @query(f"""WITH {I.CORPUS_SENT}, {I.sql_timeline()} SELECT book, i, settled FROM tl""")
 def settled_in_one_scan(spark, sf):
-    return TL.timeline(I.corpus_sentences(spark, sf)).select("book", "i", "settled")
+    return TL.timeline(I.spoken_sentences(spark, sf)).select("book", "i", "settled")
 
 
 @query(f"""WITH {I.TURN_SENT}, tlq AS (SELECT *, {I.sql_words('t')} AS w FROM sen),
@@ -146,8 +146,9 @@ def topic_times(spark, sf):
     pages = corpus(spark, sf)
     m, ch = chapters(spark, sf, pages)
     ch = stage(ch, "chapters")
-    tl = TL.timeline(stage(segment.sentences(structure.page_slices(ch, pages)), "chapter_sentences"))
-    tl = stage(tl.withColumn("s", F.col("settled")), "chapter_timeline")
+    sents = TL.spoken(segment.sentences(structure.page_slices(ch, pages))).drop("t", "ce")
+    tl = TL.timeline(stage(sents, "chapter_sentences"))
+    tl = stage(tl.select("book", "ch", "i", "cs", F.col("settled").alias("s")), "chapter_timeline")
     return TL.time_at_char(TL.topics_of_chapters(m, ch), tl).select("book", "ch", "seq", "title", "time")
 
 

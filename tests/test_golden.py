@@ -384,3 +384,18 @@ def test_navigation_trees(spark):
     assert [r for r in got if r[0] == "a"] == [("a", s, level, t.strip(), h) for s, level, t, h in want if t]
     assert {r[0] for r in got} <= {"a", "d"}
     assert files.flatten_toc(spark.createDataFrame([], "key string, doc string"), "key", "doc").count() == 0
+
+
+def test_batch_forms_of_cutting_and_counting(spark):
+    """Sentences, lines and tokens are taken in batches, with the odd white space and ends that the expressions knew."""
+    texts = [None, "", " \n\n", "...", "One. ... Two!? (x).\" ) z\n\n\n\x1f . Three\u3000", "\n\nA\nb. c\n\n.\n", "a\u2003b\x1cc  d\te"]
+    d = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    got = {r["n"]: r for r in d.select("n", segment.sentence_spans("text").alias("s"), X.est_samples("text").alias("a"), X.est_samples_all("text").alias("b")).collect()}
+    assert got[0]["s"] is None and [got[k]["s"] for k in (1, 2, 3)] == [[], [], []]
+    assert all([(x.cs, x.ce, x.t) for x in got[k]["s"]] == brute_sentences(texts[k]) for k in (4, 5, 6))
+    assert [(x.p, x["first"]) for x in got[5]["s"]] == [(False, True), (True, False)]
+    assert all(r["a"] == r["b"] for r in got.values())
+    raw = spark.createDataFrame([("b", 0, "12\r\n one \x0btwo\x85\n\u2029iv\n three\t x\n\n")], "book string, page long, raw string")
+    assert clean.clean_pages(raw).first()["text"] == "one two\n\nthree x"
+    slim = timeline.spoken(spark.createDataFrame([("b", 0, 0, 0, "One two.", True, True)], "book string, ch long, page long, k int, t string, p boolean, first boolean"))
+    assert timeline.timeline(slim.drop("t")).first()["settled"] == 0.0    # the text isn't read again
