@@ -157,3 +157,25 @@ def test_reset_sum_is_the_fold(spark):
             assert plain.table(x).tolist() == quick.table(x).tolist()
             for e in {0, states - 1, states // 2}:
                 assert plain.states(x, e).tolist() == quick.states(x, e).tolist()
+
+
+def test_folds_take_many_groups_at_a_time(spark):
+    """Groups of all lengths, cut by batches of three rows, without a call for each of them."""
+    rng = np.random.default_rng(5)
+    rows = [(k, None if k == 3 else f"b{k % 5}", i, int(v)) for k in range(12) for i, v in enumerate(rng.integers(0, 9, [1, 2, 3, 7, 40][k % 5]))]
+    df = spark.createDataFrame(rows, "k long, b string, i long, v int").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        d = scan.finite_state(df.where("b IS NOT NULL"), ["k", "b"], ["i"], F.floor(F.col("i") / 4), ["v"], 20, scan.ResetSum(20, 20), name="s", fan=2)
+        assert "FlatMapGroupsInPandas" not in d._jdf.queryExecution().toString()
+        got = {(r["k"], r["i"]): r["s"] for r in d.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want, s, last = {}, 0, None
+    for k, b, i, v in rows:
+        s = 0 if k != last else s
+        if b is not None:
+            want[k, i] = s
+        s, last = (0 if s + v >= 20 else s + v), k
+    assert got == want
