@@ -399,3 +399,12 @@ def test_batch_forms_of_cutting_and_counting(spark):
     assert clean.clean_pages(raw).first()["text"] == "one two\n\nthree x"
     slim = timeline.spoken(spark.createDataFrame([("b", 0, 0, 0, "One two.", True, True)], "book string, ch long, page long, k int, t string, p boolean, first boolean"))
     assert timeline.timeline(slim.drop("t")).first()["settled"] == 0.0    # the text isn't read again
+
+
+def test_keys_in_batches(spark):
+    """Keys of whole texts in batches, and their first characters from the start of a text, are those of the expressions."""
+    texts = [None, "", "Chapter IV: The  \u212aing\u2019s \u0130\u017f ok", " part\t12. - x", "part 12", "chapter\u00a0one", "a" * 39 + "!" * 900 + "bc",
+             " " * 700 + "Section x. " + "Word, " * 300, "é" * 800 + "x y z" * 30, "chapter " + "1" * 700 + " end of it"]
+    d = spark.createDataFrame(list(enumerate(texts)), "n long, t string")
+    rows = d.select(T.match_key("t").alias("a"), T.match_key_all("t").alias("b"), F.substring(T.match_key("t"), 1, 40).alias("c"), T.key_head("t", 40).alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows)
