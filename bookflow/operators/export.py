@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import (block_id, blockquote, chapter_id, escape_markup, inline_tags, squash,
@@ -18,9 +18,12 @@ from bookflow.functions.times import fmt_clock, fmt_dur, fmt_ts, pub_date
 from bookflow.operators import scan
 from bookflow.operators.catalog import book_status
 from bookflow.settings import BLOCK, TIMING_VERSION
+from bookflow.sources import listing
+from bookflow.sources.documents import unquoted, write_documents
 from bookflow.sources.manifests import is_ready
 
 PART = 1024                    # lines, sentences or cues per part
+LINES = "lines.txt"            # file name of documents written as lines
 
 
 def _glue(df: DataFrame, by: Sequence[str], order: Sequence[str], text: Column, sep: str,
@@ -300,8 +303,12 @@ def write_parts(parts: DataFrame, path: str, order: Sequence[str] = ("ch", "kind
     """Write documents as text: a folder per book, its files and lines in document order.
 
     Range partitioning cuts a long document over several files instead of one task.  Each part
-    ends with a line feed, so this suits documents whose parts are joined by one.
+    ends with a line feed, so this suits documents whose parts are joined by one. One rename commits all files, not one for each.
     """
-    keys = [c for c in order if c in parts.columns]
-    (parts.repartitionByRange("book", *keys).sortWithinPartitions("book", *keys)
-     .select("book", "text").write.partitionBy("book").text(path))
+    write_documents(parts, path, LINES, "\n", order=order)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(book, line)`` of what ``write_parts`` has written; tasks list and read the files."""
+    files = listing.listed(spark, f"{path.rstrip('/')}/*/*/*/{LINES}*")
+    return listing.lines(files).select(unquoted("dir").alias("book"), "line")

@@ -295,8 +295,7 @@ def transcript_files(spark, sf):
     """Transcripts written as text files, a folder per book, and read back line by line."""
     path = new_folder(spark, "transcripts")
     export.write_parts(transcript(spark, sf), path)
-    lines = spark.read.schema("value string, book string").text(path)
-    return lines.groupBy("book", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+    return export.read_lines(spark, path).groupBy("book", "line").agg(F.count("*").alias("n"))
 
 
 MANIFEST_PARTS = f"""WITH {CUES}, ok AS (SELECT *, coalesce(status, 'ready') = 'ready' AS ok, min(ch) OVER (PARTITION BY book) AS first,

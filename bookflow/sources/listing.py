@@ -134,6 +134,27 @@ def whole_texts(files: DataFrame) -> DataFrame:
     return dealt(files).mapInArrow(run, "dir string, name string, value string")
 
 
+def lines(files: DataFrame) -> DataFrame:
+    """(dir, line): the listed files' lines, without their line feeds."""
+    schema = pa.schema([("dir", pa.string()), ("line", pa.string())])
+
+    def cut(f, name: str) -> Iterator[tuple]:
+        rest: list[str] = []                           # pieces of a line that goes on
+        for text in _texts(f):
+            *ended, last = text.split("\n")
+            for x in ended:
+                yield name, "".join([*rest, x])
+                rest = []
+            rest.append(last)
+        if last := "".join(rest):
+            yield name, last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for f, kept in _opened(batches, ["dir"]) for r in cut(f, *kept))
+        return _batches(rows, schema, lambda r: len(r[1]) + 50)
+    return dealt(files).mapInArrow(run, "dir string, line string")
+
+
 def lengths(files: DataFrame) -> DataFrame:
     """The listed files with ``n``, their code points."""
     keep = ["dir", "name", "length"]

@@ -83,3 +83,14 @@ def test_places_in_a_hot_order(spark):
     for r in got:
         by.setdefault(r["k"], []).append((r["b"], r["n"]))
     assert len(got) == 5000 and all([n for _, n in sorted(x)] == list(range(len(x))) for x in by.values())
+
+
+def test_lines_of_documents(spark, tmp_path, monkeypatch):
+    """Lines come back as they were written, empty ones too, whatever chunks files are read in."""
+    from bookflow.operators import export
+    from bookflow.sources import listing
+    monkeypatch.setattr(listing, "CHUNK", 3)
+    rows = [("a b+ü", -1, "top\n"), ("a b+ü", 0, "one é\n\ntwo"), ("c", -1, ""), ("c", 5, "x" * 20 + "\r y")]
+    export.write_parts(spark.createDataFrame(rows, "book string, ch long, text string"), f"file://{tmp_path}/lines", ("ch",))
+    got = sorted((r["book"], r["line"]) for r in export.read_lines(spark, f"file://{tmp_path}/lines").collect())
+    assert got == sorted([("a b+ü", x) for x in ("top", "", "one é", "", "two")] + [("c", ""), ("c", "x" * 20 + "\r y")])
