@@ -80,7 +80,9 @@ TURN_TL = f"{I.TURN_SENT}, {I.sql_timeline()}"
 
 
 def turn_timeline(spark, sf):
-    return stage(TL.timeline(I.turn_sentences(spark, sf)).select(
+    # Sentences are cut once, the timeline reads them twice.
+    sents = stage(TL.spoken(I.turn_sentences(spark, sf)), "turn_sentences")
+    return stage(TL.timeline(sents).select(
         "book", "ch", "k", F.col("i").cast("int").alias("i"), "t", "cs", "ce", "p", "s", "e", "settled"), "turns")
 
 
@@ -234,7 +236,8 @@ CUES = f"""{TURN_TL}, dur AS (SELECT book, ch, ((sum(dur + gap) * 1000 + 12000)
 
 
 def turn_chapters(spark, sf, tl=None):
-    d = TL.chapter_durations(I.turn_sentences(spark, sf))
+    # One short row for each turn, that exports read many times.
+    d = stage(TL.chapter_durations(I.turn_sentences(spark, sf)), "turn_durations")
     pending = (F.col("book").cast("int") + F.col("ch")) % 5 == 4
     return d.withColumns({
         "status": F.when(pending, "pending").when(F.col("ch") == 0, None).otherwise("ready"),
