@@ -94,3 +94,11 @@ def test_lines_of_documents(spark, tmp_path, monkeypatch):
     export.write_parts(spark.createDataFrame(rows, "book string, ch long, text string"), f"file://{tmp_path}/lines", ("ch",))
     got = sorted((r["book"], r["line"]) for r in export.read_lines(spark, f"file://{tmp_path}/lines").collect())
     assert got == sorted([("a b+ü", x) for x in ("top", "", "one é", "", "two")] + [("c", ""), ("c", "x" * 20 + "\r y")])
+
+
+def test_notes_are_parsed_once_for_each_form(spark):
+    from bookflow.sources.files import parse_notes
+    docs = [("b", '[{"id":"1"},null]'), ("c", '{"book":"z","notes":[{"id":"2"}]}'), ("d", "[]"), ("e", "x"), ("f", None)]
+    p = parse_notes(spark.createDataFrame(docs, "book string, doc string"), "book", "doc")
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 2
+    assert sorted((r["book"], r["seq"], r["id"]) for r in p.collect()) == [("b", 0, "1"), ("b", 1, None), ("z", 0, "2")]
