@@ -198,13 +198,17 @@ def notes_obsidian(books: DataFrame, notes: DataFrame, chapters: DataFrame, toda
                        tags.unionByName(close))
 
 
-def notes_documents(notes: DataFrame) -> DataFrame:
-    """Notes documents ``{book, version, notes[]}`` in reading order, in parts."""
+def notes_documents(notes: DataFrame, part: int = PART) -> DataFrame:
+    """Notes documents ``{book, version, notes[]}`` in reading order, in parts of ``part`` notes.
+
+    A note may hold some 12,000 characters, so whoever writes the parts to files takes them one by one, without any gathered.
+    """
     from bookflow.settings import NOTE_FIELDS
     fields = [f for f in NOTE_FIELDS if f in notes.columns]
     n = scan.row_index_sorted(notes, ["book"], ["ch", "si", "cs", "created", "id"], "_k")
     x = F.concat(F.when(F.col("_k") > 0, ",").otherwise(""), F.to_json(F.struct(*fields)))
-    body = _glue(n.withColumn("part", F.floor(F.col("_k") / PART)), ["book", "part"], ["_k"], x, "").select(
+    n = n.withColumn("part", F.floor(F.col("_k") / part))
+    body = (n.withColumn("text", x) if part == 1 else _glue(n, ["book", "part"], ["_k"], x, "")).select(
         "book", *_at(0, 1, F.col("part")), "text")
     b = notes.select("book").distinct()
     head = b.select("book", *_at(-1, 0, 0), F.concat(
