@@ -155,7 +155,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
                                  for k, m in enumerate(signed)])).alias("x")
     keyed = distinct.select("fp", spread).select("fp", "x.t", "x.key")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = (keyed.join(sizes, ["t", "key"])
+    # Never a broadcast: Spark sizes what an explode makes as what went in, here one row of 31.
+    cells = (keyed.join(sizes.hint("merge"), ["t", "key"])
              .withColumn("m", F.ceil(F.col("n") / F.lit(block)).cast("int"))
              .withColumn("i", F.pmod(F.xxhash64("fp"), F.col("m").cast("long")).cast("int"))
              .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
@@ -206,6 +207,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rooted = stage(distinct.join(found, distinct["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     lowest = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    member = rooted.join(lowest, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select(
+    member = rooted.join(lowest.hint("merge"), "root").select("fp", "component_id")
+    return fps.join(member.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
