@@ -153,7 +153,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, buckets: int = BUCK
     def met(states: DataFrame) -> DataFrame:
         """Every block of queries (vec_id, q, then their state) with every block of candidates of its dimension."""
         blocks = _packed(states, query_block, "q").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(max(cells, 1) - 1))))
-        return blocks.join(numbered, ["cell", "dim"])
+        # Never a broadcast: Spark sizes what an explode makes as what went in, however many cells there are.
+        return blocks.join(numbered.hint("merge"), ["cell", "dim"])
 
     # Number the candidate blocks 0 .. cells - 1 (a few rows for every thousand vectors).
     numbers = c.select("cell").select("cell", (F.row_number().over(Window.orderBy("cell")) - 1).alias("number"))
